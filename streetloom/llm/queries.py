@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from . import near_dup
+from . import bpe, near_dup, pii, quality
 
 QUERIES = {
+    "op3_quality": quality.op3_quality,
+    "op4_pii": pii.op4_pii,
     "op5_near_dup": near_dup.op5_near_dup,
+    "op7_bpe": bpe.op7_bpe,
 }
 
 ORACLES = {
