@@ -23,6 +23,7 @@ import struct
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -216,28 +217,28 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(documents: DataFrame, path: str) -> DataFrame:
-    """documents (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256; `path` names the vocabulary file.
+def encode(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+    """documents (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids also the array ids.
 
-    Whole texts are encoded, special tokens in a text included as the file says, none added. Defined cases: a null or
-    empty text, or one of white space, has no tokens and both digests are those of empty input; repeated rows and null
-    ids are encoded like others; an empty table gives no rows; other columns are ignored. The vocabulary file must be at
-    the same path on every executor, as an installed package is; it is not copied."""
+    `path` names the vocabulary file. Whole texts are encoded, special tokens in a text included as the file says, none
+    added. Defined cases: a null or empty text, or one of white space, has no tokens and both digests are those of empty
+    input; repeated rows and null ids are encoded like others; an empty table gives no rows; other columns are ignored.
+    The file must be at the same path on every executor, as an installed package is; it is not copied."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, ids, decoded = [], [], []
-                for t in batch.column("text"):
-                    a, b = bpe.encode(t.as_py() or "")
-                    n.append(len(a) // 4)
-                    ids.append(hashlib.sha256(a).hexdigest())
-                    decoded.append(hashlib.sha256(b).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                got = [bpe.encode(t.as_py() or "") for t in batch.column("text")]
+                n = [len(a) // 4 for a, _ in got]
+                columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array([hashlib.sha256(x[k]).hexdigest() for x in got], pa.string()) for k in (0, 1))]
+                if with_ids:
+                    ids = np.frombuffer(b"".join(a for a, _ in got), "<i4")
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(ids, pa.int32())))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.mapInArrow(kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def word_vocabulary() -> str:

@@ -47,6 +47,7 @@ CONTEXT = {
     "not": r"(?i)\b(?:order|invoice|isbn|version|ref|serial|sku|key|token|total|page|date|score|part|at the)",
 }
 _BEFORE = 24
+_BLOCK = 256
 
 
 @dataclass(frozen=True)
@@ -73,39 +74,39 @@ def _long(x: Column) -> Column:
     return F.length(x).cast("long")
 
 
-def matches(text: Column, pattern: str, need: str | None = None) -> Column:
-    """array<struct<start, end, m>>: the non-overlapping matches of a pattern in code points.
-
-    What lies between the matches gives their places, summed up in blocks so that very many matches stay cheap. `need` is
-    a string that every match contains; texts without it aren't searched."""
-    found = F.regexp_extract_all(text, F.lit(pattern), 0)
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.struct((_long(g)).alias("g"), m.alias("m")))
-    kind = "array<struct<start:bigint,end:bigint,m:string>>"
-    none = F.array().cast(kind)
+def let(value: Column, body) -> Column:
+    """body(value), with value evaluated once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
 
-    def placed(block: Column) -> Column:
-        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
 
-        def step(acc, x):
-            a = acc["at"] + x["g"]
-            e = a + _long(x["m"])
-            return F.struct(e.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), e.alias("end"), x["m"].alias("m")))).alias("out"))
+def matches(text: Column, pattern: str, need: Column) -> Column:
+    """array<struct<start, end, m>>: the non-overlapping matches of a pattern in code points.
 
-        return F.aggregate(block, start, step)
+    What lies between the matches gives their places, summed up in blocks so that very many matches stay cheap. `need`
+    is a cheap condition that holds for every text with a match."""
+    none = F.array().cast("array<struct<start:bigint,end:bigint,m:string>>")
+    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+    span = lambda a, e, m: F.struct(a.alias("start"), e.alias("end"), m.alias("m"))
 
-    size = 256
-    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / size).cast("int")), lambda b: placed(F.slice(steps, b * size + 1, F.lit(size))))
+    def step(acc, x):
+        a = acc["at"] + x["g"]
+        e = a + _long(x["m"])
+        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span(a, e, x["m"]))).alias("out"))
 
     def join(acc, b):
-        moved = F.transform(b["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["m"].alias("m")))
+        moved = F.transform(b["out"], lambda x: span(x["start"] + acc["at"], x["end"] + acc["at"], x["m"]))
         return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
 
-    placed_all = F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), none.alias("out")), join, lambda acc: acc["out"])
-    wanted = F.rlike(text, F.lit(pattern))
-    if need:
-        wanted = F.contains(text, F.lit(need)) & wanted
-    return F.when(wanted, placed_all).otherwise(none)
+    def blocks(steps):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int"))
+        return F.transform(numbers, lambda b: F.aggregate(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)), zero, step))
+
+    def steps(found):
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
+        return F.zip_with(gaps, found, lambda g, m: F.struct(_long(g).alias("g"), m.alias("m")))
+
+    places = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: let(steps(found), lambda x: F.aggregate(blocks(x), zero, join, lambda acc: acc["out"])))
+    return F.when(need & F.rlike(text, F.lit(pattern)), places).otherwise(none)
 
 
 def digits(m: Column) -> Column:
@@ -134,7 +135,13 @@ CHECKS = {
     "card": lambda m: F.length(digits(m)).between(14, 19) & luhn(digits(m)),
     "phone": lambda m: F.length(digits(m)).between(10, 15),
 }
-_NEED = {"email": "@", "ip": ".", "phone": "+"}
+
+
+def _needs(text: Column) -> dict[str, Column]:
+    """What every text with a base span of a kind holds, and by wide_ the same for the generators."""
+    digit = F.rlike(text, F.lit("[0-9]"))
+    has = lambda s: F.contains(text, F.lit(s))
+    return {"email": has("@"), "ip": digit & has("."), "card": digit, "phone": has("+"), "wide_email": F.rlike(text, F.lit(r"@|[(\[ ](?:at|AT)[)\] ]")), "wide_ip": has(":"), "wide_card": digit, "wide_phone": digit}
 
 
 def _tagged(spans: Column, kind: str) -> Column:
@@ -143,16 +150,18 @@ def _tagged(spans: Column, kind: str) -> Column:
 
 def base_spans(text: Column) -> Column:
     """array<struct<start, kind, end, m>> of all kinds, sorted by start and then kind."""
+    need = _needs(text)
 
     def valid(k: str) -> Column:
-        return F.filter(matches(text, BASE[k], _NEED.get(k)), lambda x: CHECKS[k](x["m"]))
+        return F.filter(matches(text, BASE[k], need[k]), lambda x: CHECKS[k](x["m"]))
 
     return F.array_sort(F.concat(*(_tagged(valid(k), k) for k in KINDS)))
 
 
 def candidates(text: Column) -> Column:
     """What the wider generators propose; candidates of different kinds may overlap."""
-    return F.concat(*(_tagged(matches(text, WIDE[k]), k) for k in KINDS))
+    need = _needs(text)
+    return F.concat(*(_tagged(matches(text, WIDE[k], need[f"wide_{k}"]), k) for k in KINDS))
 
 
 FEATURES = ("kind", "n_chars", "n_digits", "n_groups", "luhn", "first_zero", "paren", "dots", "dashes", "spaces", "letters", "before_word", "after_word", *(f"says_{k}" for k in CONTEXT))
@@ -294,7 +303,8 @@ def added_spans(text: Column, base: Column, model: Model) -> Column:
     apart = F.filter(candidates(text), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
     taken = F.filter(F.transform(F.transform(apart, rated), judged), lambda c: c["p"] >= cuts[c["kind"]])
     rank = lambda c: F.struct(c["p"], -c["start"], -c["kind"])
-    best = F.filter(taken, lambda c: ~F.exists(taken, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) > rank(c))))
+    beaten = lambda c, all_: F.exists(all_, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) > rank(c)))
+    best = let(taken, lambda all_: F.filter(all_, lambda c: ~beaten(c, all_)))
     return F.transform(best, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m")))
 
 
@@ -304,15 +314,26 @@ def joined(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda x: F.concat(names[x["kind"]], F.lit(":"), x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))))
 
 
+def _with_spans(documents: DataFrame, p: PiiParams) -> DataFrame:
+    """All columns and, by names of its own, the text without null and its spans."""
+    model = _fit(documents.sparkSession, p)
+    base = documents.withColumn("_pii_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_pii_base", base_spans(F.col("_pii_text")))
+    return base.withColumn("_pii_spans", F.array_sort(F.concat("_pii_base", added_spans(F.col("_pii_text"), F.col("_pii_base"), model))))
+
+
+def redact_documents(documents: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
+    """The same rows and columns with each span of text replaced by its mark; a null text stays null."""
+    found = _with_spans(documents, p)
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("_pii_text"), F.col("_pii_spans")))).select(*documents.columns)
+
+
 def find(documents: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """documents (doc_id, text) -> doc_id, text, base and spans (arrays of start, kind, end, m; sorted by start, kind).
 
     Defined cases: a null text counts as empty and has no spans; positions are code points, ends exclusive; repeated rows
     and null ids are treated like others; an empty table gives no rows; other columns are ignored."""
-    model = _fit(documents.sparkSession, p)
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    with_base = docs.withColumn("base", base_spans(F.col("text")))
-    return with_base.withColumn("spans", F.array_sort(F.concat("base", added_spans(F.col("text"), F.col("base"), model))))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return _with_spans(docs, p).select("doc_id", F.col("_pii_text").alias("text"), F.col("_pii_base").alias("base"), F.col("_pii_spans").alias("spans"))
 
 
 def redact(text: Column, spans: Column) -> Column:

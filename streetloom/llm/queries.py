@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
-from . import bpe, near_dup, pii, quality
+from . import bpe, chat, mixing, near_dup, pii, quality, topk, urls, vectors, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
+    "op2_urls": urls.op2_urls,
     "op3_quality": quality.op3_quality,
     "op4_pii": pii.op4_pii,
     "op5_near_dup": near_dup.op5_near_dup,
+    "op6_chat": chat.op6_chat,
     "op7_bpe": bpe.op7_bpe,
+    "op8_mixing": mixing.op8_mixing,
+    "op9_vectors": vectors.op9_vectors,
+    "op10_topk": topk.op10_topk,
 }
 
 ORACLES = {
+    "op1_warc": warc.OP1_SQL,
     "op5_near_dup": near_dup.OP5_SQL,
+    "op8_mixing": mixing.OP8_SQL,
+    "op9_vectors": vectors.OP9_SQL,
+    "op10_topk": topk.OP10_SQL,
 }

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ class TopKParams:
     step: int = 128
 
 
-def usable(column) -> F.Column if hasattr(F, "Column") else object:
+def usable(column: Column) -> Column:
     """Vectors without null or non-finite components."""
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return column.isNotNull() & F.forall(column, fine)
@@ -154,12 +154,13 @@ def _search_blocks(c: DataFrame, q: DataFrame, p: TopKParams) -> DataFrame:
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
-    n = c.count() * q.count()
-    left = q.select(F.col("b").alias("qb"), F.col("ids").alias("qids"), F.col("x").alias("qx"), F.lit(1).alias("one"))
-    right = c.select(F.col("b"), "ids", "x", F.lit(1).alias("one"))
-    # Block numbers are joined first; the payloads follow by equi-joins, so neither side need fit in memory.
-    numbers = left.select("qb", "one").join(right.select("b", "one"), "one").select("qb", "b").withColumn("part", (F.col("b") / p.visits).cast("int"))
-    pairs = numbers.join(right.drop("one"), "b").join(left.drop("one"), "qb")
+    blocks = c.agg(F.max("b")).first()[0]
+    left = q.select(F.col("b").alias("qb"), F.col("ids").alias("qids"), F.col("x").alias("qx"))
+    right = c.select("b", "ids", "x")
+    # Block numbers come first and the payloads follow by equi-joins, so neither side need fit in memory.
+    numbers = left.select("qb", F.explode(F.sequence(F.lit(0), F.lit(blocks or 0))).alias("b")).withColumn("part", F.floor(F.col("b") / p.visits).cast("int"))
+    n = q.count() * ((blocks or 0) + 1)
+    pairs = numbers.join(right, "b").join(left, "qb")
     dealt = pairs.repartition(max(1, n // p.visits), "qb", "part").sortWithinPartitions("qb", "part", "b")
     return dealt.mapInPandas(visit, "query_id long, vec_id long, score long")
 
