@@ -9,8 +9,11 @@
 3. Bands of register values give buckets. A bucket compares its smallest member with all others (a star), not all pairs.
 4. A pair stays a candidate unless the likelihood of the observed register order (greater, equal, less), given both
    cardinalities, makes the threshold implausible; candidates are then confirmed on the full sets.
-5. Members of a bucket that are not yet in one component are compared further, small buckets pair by pair and large ones
-   by pivots in rounds, until no untested pair could join two components. So a star loses no link.
+5. Members of a bucket that lie in different components after that are compared further, so a star loses no link. Small
+   buckets do it pair by pair. In large ones a pair is left out only if a bound proves that it is no link: the sizes; the
+   triangle inequality of Jaccard distances, from both members' exact distances to the bucket's star centre; and each
+   member's core, the shingles that it shares with any other member of a large bucket, which no intersection exceeds. Only
+   members outside the bucket's largest component start such pairs, and a pair is taken in the first band that it shares.
 """
 
 from __future__ import annotations
@@ -37,7 +40,6 @@ class NearDupParams:
     rows: int = 5
     base: float = 1.001
     small_bucket: int = 64
-    pivots: int = 8
     #: A candidate goes if twice the log-likelihood ratio against the threshold exceeds this (five standard deviations).
     reject: float = 25.0
 
@@ -129,21 +131,55 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame, p: NearDupParams) ->
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kernel, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Intersection and set sizes of pairs: a, b, both, na, nb."""
+
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for whole in batches:
             for batch in slices(whole, "ta", "tb"):
-                a, ta, out = batch.column("a").to_pylist(), batch.column("ta"), []
+                a, ta, both, na, nb = batch.column("a").to_pylist(), batch.column("ta"), [], [], []
                 for i, sb in enumerate(shingle_sets(batch.column("tb"))):
                     if last[0] != a[i]:  # rows with one left side mostly follow each other
                         last = (a[i], next(shingle_sets(ta.slice(i, 1))))
-                    both = len(np.intersect1d(last[1], sb, assume_unique=True))
-                    out.append(both > 0 and 100 * both >= p.percent * (len(last[1]) + len(sb) - both))
-                yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(out, pa.bool_()))
+                    both.append(len(np.intersect1d(last[1], sb, assume_unique=True)))
+                    na.append(len(last[1]))
+                    nb.append(len(sb))
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in (both, na, nb))], names=["a", "b", "both", "na", "nb"])
 
     side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(kernel, "a long, b long")
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(kernel, "a long, b long, both long, na long, nb long")
+
+
+def _shingle_rows(texts: DataFrame) -> DataFrame:
+    """A row (rep, g) for each shingle of each text."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", limit=1 << 21):
+                sets = list(shingle_sets(batch.column("text")))
+                rep = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "g"])
+
+    return texts.mapInArrow(kernel, "rep long, g long")
+
+
+def _bounded_pairs(rows: DataFrame, classes: DataFrame, met: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs (a, b) of rows (key, band, rep, center, comp) across components that no bound excludes."""
+    lone = _shingle_rows(texts).groupBy("g").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("lone"))
+    distance = met.select(F.col("a").alias("center"), F.col("b").alias("rep"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
+    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    major = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).getField("comp").alias("major"))
+    full = rows.join(materialise(lone, "nd-lone"), "rep", "left").join(classes, "rep").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0)))
+    full = materialise(full.join(materialise(distance, "nd-distance"), ["center", "rep"]), "nd-full")
+    full = materialise(full.join(materialise(major, "nd-major"), "key").withColumn("minor", F.col("comp") != F.col("major")), "nd-bounded")
+    t = p.percent
+    once = f"x.comp <> y.comp and (not y.minor or x.rep < y.rep) and 100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
+    near = f"abs(x.d - y.d) <= {1 - t / 100 + 1e-9} and {100 + t} * least(x.core, y.core) >= {t} * (x.n + y.n)"
+    first = "array_position(zip_with(x.keys, y.keys, (i, j) -> i = j), true) = x.band + 1"
+    x, y = full.where("minor").alias("x"), full.alias("y")
+    pairs = x.join(y, F.expr(f"x.key = y.key and {once} and {near} and {first}"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
 
 
 def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -163,49 +199,41 @@ def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams()) ->
 
     width = 2 * p.rows
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(p.bands)))
-    banded = classes.select("rep", F.explode(keys).alias("key"))
+    banded = classes.select("rep", F.posexplode(keys).alias("band", "key"))
     buckets = materialise(banded.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1"), "nd-buckets")
     members = materialise(banded.join(buckets, "key"), "nd-members")
 
-    def links(pairs: DataFrame) -> DataFrame:
-        likely = materialise(_plausible_pairs(pairs.distinct(), classes, p), "nd-likely")
-        ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return materialise(_confirmed(likely, materialise(docs.join(ids, "doc_id", "left_semi"), "nd-texts"), p), "nd-links")
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return materialise(docs.join(ids.distinct(), "doc_id", "left_semi"), "nd-texts")
 
-    found = links(members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")))
-    comps = components(found)
+    def measured(pairs: DataFrame, known_pairs: DataFrame | None = None) -> DataFrame:
+        likely = _plausible_pairs(pairs.distinct(), classes, p)
+        likely = materialise(likely if known_pairs is None else likely.union(known_pairs).distinct(), "nd-likely")
+        return materialise(_measured(likely, texts_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")))), "nd-measured")
 
-    def labelled(rows: DataFrame) -> DataFrame:
-        got = rows.join(comps.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-        return materialise(got, "nd-labelled")
+    linked = F.expr(f"100 * both >= {p.percent} * (na + nb - both)")
+    of_large = F.col("size") > p.small_bucket
+    star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), "size")
+    # The stars of large buckets are measured in any case: their distances serve as bounds below.
+    met = measured(star.where(~of_large).drop("size"), star.where(of_large).drop("size"))
+    found = met.where(linked).select("a", "b")
+    comps = components(found)
 
     def unresolved(rows: DataFrame) -> DataFrame:
-        """The rows of buckets whose untested members lie in several components."""
-        mixed = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        return materialise(rows.join(materialise(mixed, "nd-mixed"), "key", "left_semi"), "nd-open")
-
-    # The bucket's centre has met all members already.
-    open_rows = unresolved(labelled(members.where("rep <> center").select("key", "rep", "size")))
-    few = open_rows.where(F.col("size") <= p.small_bucket)
-    if not few.isEmpty():
-        x, y = few.alias("x"), few.alias("y")
-        pairs = x.join(y, "key").where("x.rep < y.rep and x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        found = found.union(links(pairs))
-        comps = components(found)
-
-    # Large buckets: each round a few members of minor components meet all members of other components.
-    left = open_rows.where(F.col("size") > p.small_bucket).select("key", "rep")
-    while not left.isEmpty():
-        left = unresolved(labelled(left))
-        sizes = left.groupBy("key", "comp").agg(F.count("*").alias("n"))
-        major = materialise(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).getField("comp").alias("major")), "nd-major")
-        minor = left.join(major, "key").where("comp <> major")
-        salt = F.pmod(F.xxhash64("rep"), F.lit(p.pivots))
-        pivots = materialise(minor.groupBy("key", salt.alias("salt")).agg(F.min(F.struct("rep", "comp")).alias("pivot")).select("key", "pivot.rep", "pivot.comp"), "nd-pivots")
-        met = left.alias("m").join(pivots.alias("p"), "key").where("m.comp <> p.comp").select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b"))
-        found = found.union(links(met))
-        comps = components(found)
-        left = materialise(left.join(pivots, ["key", "rep"], "left_anti").select("key", "rep"), "nd-left")
+        """Rows with their component, of the buckets whose members lie in several; a bucket's centre has met all others."""
+        rows = materialise(rows.join(comps.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "nd-labelled")
+        mixed = materialise(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "nd-mixed")
+        return materialise(rows.join(mixed, "key", "left_semi"), "nd-open")
+
+    few = unresolved(members.where("rep <> center").where(~of_large).select("key", "rep"))
+    x, y = few.alias("x"), few.alias("y")
+    # Plain joins by key: these buckets have small_bucket members at most.
+    pairs = x.join(y, "key").where("x.rep < y.rep and x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    many = unresolved(members.where("rep <> center").where(of_large).select("key", "band", "rep", "center"))
+    if not many.isEmpty():
+        pairs = pairs.union(_bounded_pairs(many, classes.select("rep", F.col("n_shingles").alias("n"), keys.alias("keys")), met, texts_of(many.select(F.col("rep").alias("doc_id"))), p))
+    found = found.union(measured(pairs).where(linked).select("a", "b"))
+    comps = components(found)
 
     # Every document to its class, every class to its component.
     named = classes.join(comps.withColumnsRenamed({"v": "rep"}), "rep", "left").select("sig1", "sig2", F.coalesce("comp", "rep").alias("component"))
