@@ -117,7 +117,7 @@ def mix(documents: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     # Where each copy of this document begins among the source's words, and how much of it the target leaves.
     second = at + F.col("source_size")
     cut = lambda start: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - start))
-    place = lambda start: F.when(cut(start) > 0, position(F.col("schedule"), start / F.col("target")))
+    place = lambda start: F.when(cut(start) > 0, position(F.col("schedule"), start / F.nullif(F.col("target"), F.lit(0.0))))
     out = rows.select("doc_id", "source", "size", "source_size", "target", (cut(at) + cut(second)).alias("taken"), place(at).alias("position"), place(second).alias("second_position"))
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 

@@ -117,7 +117,7 @@ def luhn(d: Column) -> Column:
     """Whether a string of digits passes the check digit rule."""
 
     def add(acc, i):
-        x = F.substring(d, F.length(d) - i + 1, F.lit(1)).cast("int")
+        x = F.substring(d, F.length(d) - i + 1, F.lit(1)).try_cast("int")
         return acc + F.when(i % 2 == 1, x).when(x > 4, 2 * x - 9).otherwise(2 * x)
 
     return (F.length(d) > 0) & (F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(d), F.lit(1))), F.lit(0), add) % 10 == 0)
@@ -126,7 +126,7 @@ def luhn(d: Column) -> Column:
 def small_parts(m: Column) -> Column:
     """Whether all dotted parts are at most 255."""
     bare = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
-    return F.forall(F.split(m, r"\.", -1), lambda p: (F.length(bare(p)) <= 3) & (bare(p).cast("int") <= 255))
+    return F.forall(F.split(m, r"\.", -1), lambda p: (F.length(bare(p)) <= 3) & (bare(p).try_cast("int") <= 255))
 
 
 CHECKS = {

@@ -73,7 +73,9 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
 
 def _apart(a: str, n: str, b: str, m: str, z: float) -> str:
     """SQL: whether the proportions a / n and b / m differ by a two-proportion test."""
-    return f"({n} > 0 and {m} > 0 and abs({a} / {n} - {b} / {m}) > {z} * sqrt(greatest(({a} + {b}) / ({n} + {m}) * (1 - ({a} + {b}) / ({n} + {m})), 0D) * (1D / {n} + 1D / {m})))"
+    rate, whole = lambda x, y: f"({x} / nullif({y}, 0))", f"(({a} + {b}) / nullif({n} + {m}, 0))"
+    error = f"sqrt(greatest({whole} * (1 - {whole}), 0D) * (1D / nullif({n}, 0) + 1D / nullif({m}, 0)))"
+    return f"coalesce(abs({rate(a, n)} - {rate(b, m)}) > {z} * {error}, false)"
 
 
 def _branches(rows: DataFrame, d: int, p: UrlParams) -> DataFrame:
