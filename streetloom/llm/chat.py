@@ -6,7 +6,7 @@ The template, in grammar form (text is escaped content):
     turn         = "<s>[INST] " text " [/INST]"            a user turn
                  | " " text " </s>"                        an assistant turn
                  | "<<SYS>> " text " <</SYS>>"             a system turn
-                 | "<<ROLE>> " role "<<//>> " text " <</ROLE>>"   a turn of any other role
+                 | "<<ROLE>> " role " <<//>> " text " <</ROLE>>"  a turn of any other role
 
 A deterministic parser reads it back from left to right. A backslash before a control string, or before another backslash,
 makes what follows plain text. A turn is rendered with its text as it is and parsed again; if that does not give the turn,

@@ -7,7 +7,7 @@ token demand. A source's documents stand in a fixed hash order, repeated up to t
 document are put into the inverse of the demand curve, which gives the document's training position, and documents are
 range-sorted by it.
 
-Cumulative words of a hot source never meet in one task: documents fall into hash buckets of a few thousand rows, whose
+Cumulative words of a hot source never meet in one task: documents fall into hash buckets of about a thousand rows, whose
 sums are added up first, and only the order inside a bucket needs a window.
 """
 
@@ -30,7 +30,7 @@ class MixParams:
     repeat: float = 2.0
     #: Weight at times 0, 1/2 and 1, by source in the same repeating order.
     schedules: tuple[tuple[float, float, float], ...] = ((1.0, 1.0, 1.0), (2.0, 1.0, 0.5), (0.5, 1.0, 2.0))
-    bucket_rows: int = 4096
+    bucket_rows: int = 1024
     max_sources: int = 1_000_000
 
 
