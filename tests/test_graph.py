@@ -57,7 +57,7 @@ def test_h_shape_has_five_edges(spark):
     keys, width = pixels(spark, h_shape())
     nodes, edges = corridor.pixel_graph(keys, width)
     assert edges.count() == 5
-    assert edges.agg(F.sum(F.size("path") - 1)).first()[0] > 70
+    assert edges.agg(F.sum(F.size("path") - 1)).first()[0] > 60  # 73 steps, less those inside the junctions
 
 
 def test_ring_keeps_a_node(spark):
