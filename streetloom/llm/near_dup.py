@@ -10,10 +10,10 @@
 4. A pair stays a candidate unless the likelihood of the observed register order (greater, equal, less), given both
    cardinalities, makes the threshold implausible; candidates are then confirmed on the full sets.
 5. Members of a bucket that lie in different components after that are compared further, so a star loses no link. Small
-   buckets do it pair by pair. In large ones a pair is left out only if a bound proves that it is no link: the sizes; the
-   triangle inequality of Jaccard distances, from both members' exact distances to the bucket's star centre; and each
-   member's core, the shingles that it shares with any other member of a large bucket, which no intersection exceeds. Only
-   members outside the bucket's largest component start such pairs, and a pair is taken in the first band that it shares.
+   buckets do it pair by pair. In large ones each member keeps its residual, the symmetric difference of its set and its
+   star centre's. As |A ^ B| = |A ^ C| + |B ^ C| - 2 |(A ^ C) & (B ^ C)|, two residuals give the exact similarity of two
+   members inside the join's condition, behind bounds by size and by the triangle inequality of Jaccard distances, so
+   the join returns links only. Only members outside the bucket's largest component start such pairs.
 """
 
 from __future__ import annotations
@@ -131,55 +131,49 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame, p: NearDupParams) ->
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kernel, "a long, b long")
 
 
-def _measured(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Intersection and set sizes of pairs: a, b, both, na, nb."""
+def _measured(pairs: DataFrame, texts: DataFrame, residuals: bool = False) -> DataFrame:
+    """Intersection and set sizes of pairs: a, b, both, na, nb; with residuals also the symmetric difference."""
+    names = ["a", "b", "both", "na", "nb", "residual"][: 5 + residuals]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for whole in batches:
-            for batch in slices(whole, "ta", "tb"):
-                a, ta, both, na, nb = batch.column("a").to_pylist(), batch.column("ta"), [], [], []
+            for batch in slices(whole, "ta", "tb", limit=1 << 22):
+                a, ta, rows, differ = batch.column("a").to_pylist(), batch.column("ta"), [], []
                 for i, sb in enumerate(shingle_sets(batch.column("tb"))):
                     if last[0] != a[i]:  # rows with one left side mostly follow each other
                         last = (a[i], next(shingle_sets(ta.slice(i, 1))))
-                    both.append(len(np.intersect1d(last[1], sb, assume_unique=True)))
-                    na.append(len(last[1]))
-                    nb.append(len(sb))
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in (both, na, nb))], names=["a", "b", "both", "na", "nb"])
+                    both = np.intersect1d(last[1], sb, assume_unique=True)
+                    rows.append((len(both), len(last[1]), len(sb)))
+                    if residuals:
+                        differ.append(np.setxor1d(last[1], sb, assume_unique=True).view(np.int64))
+                columns = [batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))]
+                if residuals:
+                    ends = np.cumsum([0, *(len(d) for d in differ)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(differ))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(kernel, "a long, b long, both long, na long, nb long")
+    schema = "a long, b long, both long, na long, nb long" + ", residual array<long>" * residuals
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(kernel, schema)
 
 
-def _shingle_rows(texts: DataFrame) -> DataFrame:
-    """A row (rep, g) for each shingle of each text."""
-
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text", limit=1 << 21):
-                sets = list(shingle_sets(batch.column("text")))
-                rep = np.repeat(batch.column("doc_id").to_numpy(), [len(s) for s in sets])
-                yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "g"])
-
-    return texts.mapInArrow(kernel, "rep long, g long")
-
-
-def _bounded_pairs(rows: DataFrame, classes: DataFrame, met: DataFrame, texts: DataFrame, p: NearDupParams) -> DataFrame:
-    """The pairs (a, b) of rows (key, band, rep, center, comp) across components that no bound excludes."""
-    lone = _shingle_rows(texts).groupBy("g").agg(F.count("*").alias("n"), F.min("rep").alias("rep")).where("n = 1").groupBy("rep").agg(F.count("*").alias("lone"))
-    distance = met.select(F.col("a").alias("center"), F.col("b").alias("rep"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
+def _links_of_large(rows: DataFrame, stars: DataFrame, p: NearDupParams) -> DataFrame:
+    """The links (a, b) across components among rows (key, rep, center, comp) of large buckets."""
+    star = stars.select(F.col("a").alias("center"), F.col("b").alias("rep"), F.col("nb").alias("n"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"), "residual")
     sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    major = sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).getField("comp").alias("major"))
-    full = rows.join(materialise(lone, "nd-lone"), "rep", "left").join(classes, "rep").withColumn("core", F.col("n") - F.coalesce("lone", F.lit(0)))
-    full = materialise(full.join(materialise(distance, "nd-distance"), ["center", "rep"]), "nd-full")
-    full = materialise(full.join(materialise(major, "nd-major"), "key").withColumn("minor", F.col("comp") != F.col("major")), "nd-bounded")
+    major = materialise(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).getField("comp").alias("major")), "nd-major")
+    marked = materialise(rows.join(major, "key").withColumn("minor", F.col("comp") != F.col("major")), "nd-marked")
+    full = materialise(marked.join(star, ["center", "rep"]), "nd-full")
     t = p.percent
     once = f"x.comp <> y.comp and (not y.minor or x.rep < y.rep) and 100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
-    near = f"abs(x.d - y.d) <= {1 - t / 100 + 1e-9} and {100 + t} * least(x.core, y.core) >= {t} * (x.n + y.n)"
-    first = "array_position(zip_with(x.keys, y.keys, (i, j) -> i = j), true) = x.band + 1"
+    near = f"abs(x.d - y.d) <= {1 - t / 100 + 1e-9}"
+    # 2 * intersection = x.n + y.n - |x ^ y|, and the union is x.n + y.n - intersection.
+    twice = "(x.n + y.n - (size(x.residual) + size(y.residual) - 2 * size(array_intersect(x.residual, y.residual))))"
+    linked = f"{100 + t} * {twice} >= {2 * t} * (x.n + y.n)"
     x, y = full.where("minor").alias("x"), full.alias("y")
-    pairs = x.join(y, F.expr(f"x.key = y.key and {once} and {near} and {first}"))
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+    pairs = x.join(y, F.expr(f"x.key = y.key and {once} and {near} and {linked}"))
+    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams()) -> DataFrame:
@@ -199,25 +193,19 @@ def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams()) ->
 
     width = 2 * p.rows
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(p.bands)))
-    banded = classes.select("rep", F.posexplode(keys).alias("band", "key"))
+    banded = classes.select("rep", F.explode(keys).alias("key"))
     buckets = materialise(banded.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1"), "nd-buckets")
     members = materialise(banded.join(buckets, "key"), "nd-members")
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        return materialise(docs.join(ids.distinct(), "doc_id", "left_semi"), "nd-texts")
-
-    def measured(pairs: DataFrame, known_pairs: DataFrame | None = None) -> DataFrame:
-        likely = _plausible_pairs(pairs.distinct(), classes, p)
-        likely = materialise(likely if known_pairs is None else likely.union(known_pairs).distinct(), "nd-likely")
-        return materialise(_measured(likely, texts_of(likely.select(F.explode(F.array("a", "b")).alias("doc_id")))), "nd-measured")
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        return materialise(docs.join(ids, "doc_id", "left_semi"), "nd-texts")
 
     linked = F.expr(f"100 * both >= {p.percent} * (na + nb - both)")
-    of_large = F.col("size") > p.small_bucket
-    star = members.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b"), "size")
-    # The stars of large buckets are measured in any case: their distances serve as bounds below.
-    met = measured(star.where(~of_large).drop("size"), star.where(of_large).drop("size"))
-    found = met.where(linked).select("a", "b")
-    comps = components(found)
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        likely = materialise(_plausible_pairs(pairs.distinct(), classes, p), "nd-likely")
+        return materialise(_measured(likely, texts_of(likely)).where(linked).select("a", "b"), "nd-links")
 
     def unresolved(rows: DataFrame) -> DataFrame:
         """Rows with their component, of the buckets whose members lie in several; a bucket's centre has met all others."""
@@ -225,14 +213,24 @@ def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams()) ->
         mixed = materialise(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "nd-mixed")
         return materialise(rows.join(mixed, "key", "left_semi"), "nd-open")
 
-    few = unresolved(members.where("rep <> center").where(~of_large).select("key", "rep"))
+    met = members.where("rep <> center")
+    star = lambda rows: rows.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    small, large = met.where(F.col("size") <= p.small_bucket), met.where(F.col("size") > p.small_bucket)
+    found = confirmed(star(small))
+    any_large = not large.isEmpty()
+    if any_large:
+        stars = materialise(star(large), "nd-stars")
+        stars = materialise(_measured(stars, texts_of(stars), residuals=True), "nd-residuals")
+        found = found.union(stars.where(linked).select("a", "b"))
+    comps = components(found)
+
+    few = unresolved(small.select("key", "rep"))
     x, y = few.alias("x"), few.alias("y")
-    # Plain joins by key: these buckets have small_bucket members at most.
+    # A plain join by key: these buckets have small_bucket members at most.
     pairs = x.join(y, "key").where("x.rep < y.rep and x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    many = unresolved(members.where("rep <> center").where(of_large).select("key", "band", "rep", "center"))
-    if not many.isEmpty():
-        pairs = pairs.union(_bounded_pairs(many, classes.select("rep", F.col("n_shingles").alias("n"), keys.alias("keys")), met, texts_of(many.select(F.col("rep").alias("doc_id"))), p))
-    found = found.union(measured(pairs).where(linked).select("a", "b"))
+    found = found.union(confirmed(pairs))
+    if any_large:
+        found = found.union(materialise(_links_of_large(unresolved(large.select("key", "rep", "center")), stars, p), "nd-links"))
     comps = components(found)
 
     # Every document to its class, every class to its component.
