@@ -1,27 +1,18 @@
-"""Shared helpers: tables cut from their lineage, table readers, and hot-key safe joins."""
+"""Shared helpers: paths in the shared folder, written tables, and words."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes that separate words: space, and tab to carriage return.
-WORD = r"[^\x20\x09-\x0D]+"
-
+from ..tables import materialise, shared_dir, table
 
-@functools.lru_cache(maxsize=1)
-def _own_dir() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="streetloom-")
+__all__ = ["WORD", "ascii_lower", "materialise", "new_path", "table", "word_count"]
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-    return f"{base.rstrip('/')}/streetloom/{spark.sparkContext.applicationId}"
+#: Bytes that separate words: space, and tab to carriage return.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -33,21 +24,6 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage (a lost executor costs a re-read, not a recomputation), evaluates Python kernels once, and
-    gives both sides of a following join a plain exchange, which adaptive execution can split when one key is hot."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
-
-
 def ascii_lower(column):
     """Lower-case A-Z only, whatever the locale or script."""
     return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

@@ -1,27 +1,15 @@
-"""Connected components by minimum labels and pointer jumping, all in DataFrames."""
+"""Connected components of links between documents or vectors."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from ..operators import components as graph
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """Label each vertex of edges (a, b) with the smallest vertex reachable from it.
+    """(v, comp): each vertex of edges (a, b) with another one, and the smallest vertex reachable from it.
 
-    Returns (v, comp), one row per vertex that has an edge to another one; nulls and self-loops are ignored and no
-    edges give no rows. Each round takes the smallest label among a vertex and its neighbours and then follows the label
-    once, so a chain of n vertices needs about log(n) rounds. Hot vertices are pre-aggregated before the shuffle and
-    every join reads written tables, so adaptive execution can split their partitions."""
-    pairs = edges.where("a <> b").select("a", "b")
-    both = materialise(pairs.union(pairs.select("b", "a")).distinct(), "cc-edges")
-    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp")), "cc-labels")
-    while True:
-        near = both.join(labels.withColumnsRenamed({"v": "b"}), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("m"))
-        new = materialise(labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "cc-near")
-        if new.where("old <> comp").isEmpty():
-            return new.select("v", "comp")
-        roots = new.select(F.col("v").alias("comp"), F.col("comp").alias("root"))
-        labels = materialise(new.select("v", "comp").join(roots, "comp").select("v", F.col("root").alias("comp")), "cc-jump")
+    Nulls and self-loops are ignored; no edges give no rows."""
+    return graph.components(edges.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")))
