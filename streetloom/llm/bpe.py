@@ -36,8 +36,8 @@ from .shingles import slices
 _ONLY_SPLIT = regex.compile("[\x1c-\x1f]")
 _SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
 #: Words in the cache of each worker, at about 350 bytes each; two generations are kept.
-CACHE = 150_000
-_KEPT_PAIRS = 1 << 20
+CACHE = 100_000
+_KEPT_PAIRS = 1 << 18
 
 
 def _bytes(ids: list[int]) -> bytes:
@@ -73,6 +73,7 @@ class Automaton:
         self.by_text = {x: t for t, x in texts.items() if t in ready}
         #: Of each token the longest token that it begins with, or -1; of each two symbols the longest token's length.
         self.shorter = {t: next((self.by_text[x[:i]] for i in range(len(x) - 1, 0, -1) if x[:i] in self.by_text), -1) for x, t in self.by_text.items()}
+        self.spans = {t: len(x) for x, t in self.by_text.items()}
         self.reach: dict[str, int] = {}
         for x in self.by_text:
             self.reach[x[:2]] = max(self.reach.get(x[:2], 1), len(x))
@@ -101,7 +102,7 @@ class Automaton:
 
         Longer tokens are tried first. A position that can't be left again is closed: it had one way in, as the path to
         each position is unique, so each position is entered once."""
-        arcs, size, by_text, reach, shorter, texts = self.arcs, self.size, self.by_text, self.reach, self.shorter, self.texts
+        arcs, size, by_text, reach, shorter, spans = self.arcs, self.size, self.by_text, self.reach, self.shorter, self.spans
         n = len(symbols)
         path: list[int] = []
         closed: set[int] = set()
@@ -114,7 +115,7 @@ class Automaton:
                     end -= 1
                     t = by_text.get(symbols[at:end])
             while t >= 0:
-                if at + len(texts[t]) not in closed:
+                if at + spans[t] not in closed:
                     if last < 0:
                         break
                     key = last * size + t
@@ -128,11 +129,11 @@ class Automaton:
                 t = shorter[t]
             if t >= 0:
                 path.append(t)
-                at, last, t = at + len(texts[t]), t, None
+                at, last, t = at + spans[t], t, None
             else:
                 closed.add(at)
                 back = path.pop()
-                at -= len(texts[back])
+                at -= spans[back]
                 last, t = path[-1] if path else -1, shorter[back]
         return path
 
@@ -160,6 +161,7 @@ class WordBpe:
         self.symbol = base
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.labels |= {i: t for t, i in self.special.items()}
+        self.label_bytes = {i: t.encode("utf-8") for i, t in self.labels.items()}
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
         self.young: dict[str, tuple[bytes, bytes]] = {}
@@ -178,9 +180,10 @@ class WordBpe:
         if got is None:
             ids: list[int] = []
             for word in self.words.findall(chunk):
-                s = "".join(map(self.symbol.__getitem__, word.encode("utf-8")))
+                # Visible ASCII characters are their own symbols, and a word has no others below 0x7f.
+                s = word if word.isalnum() and word.isascii() else "".join(map(self.symbol.__getitem__, word.encode("utf-8")))
                 ids += self.automaton.word(s[:-1] + chr(ord(s[-1]) + 0x1000) if self.end else s)
-            got = _bytes(ids), self.decode(ids).encode("utf-8")
+            got = _bytes(ids), b" ".join(map(self.label_bytes.__getitem__, ids))
         if len(chunk) <= 1000:
             if len(self.young) >= CACHE:
                 self.old, self.young = self.young, {}

@@ -31,7 +31,8 @@ class QualityParams:
     dim: int = 12
     ngrams: tuple[int, ...] = (3, 4, 5)
     max_labelled: int = 3000
-    epochs: int = 12
+    #: Steps of gradient descent, one document each, however many are labelled.
+    steps: int = 36_000
     rate: float = 2.0
     seed: int = 7
     accept: float = 0.7
@@ -90,11 +91,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, p: Qual
     rng = np.random.default_rng(p.seed)
     vectors = rng.uniform(-1 / p.dim, 1 / p.dim, (1 << p.bits, p.dim)).astype(np.float32)
     out, bias = np.zeros((2, p.dim), np.float32), np.asarray([-prior / 2, prior / 2], np.float32)
-    total, done = p.epochs * len(bags), 0
+    done = 0
     shares = [(counts / counts.sum()).astype(np.float32) for _, counts in bags]
-    for _ in range(p.epochs):
-        for i in rng.permutation(len(bags)):
-            rate = np.float32(p.rate * (1 - done / total))
+    while done < p.steps:
+        for i in rng.permutation(len(bags))[: p.steps - done]:
+            rate = np.float32(p.rate * (1 - done / p.steps))
             rows, share = bags[i][0], shares[i]
             hidden = share @ vectors[rows]
             z = out @ hidden + bias
@@ -145,7 +146,7 @@ def score(documents: DataFrame, folded: np.ndarray, p: QualityParams = QualityPa
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, bias = folded[:-1], float(folded[-1])
         for whole in batches:
-            for batch in slices(whole, "text", limit=1 << 21):
+            for batch in slices(whole, "text", limit=1 << 20):
                 z = np.fromiter((values[x].mean(dtype=np.float64) + bias for x in features(batch.column("text"), p)), np.float64, batch.num_rows)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(1 / (1 + np.exp(-z)))], names=[*batch.schema.names, into])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterator
 
@@ -13,6 +14,11 @@ U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LONG = 1 << 16
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018  not in every C library
+except (OSError, AttributeError):
+    _LIBC = None
 _CHUNK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -114,7 +120,14 @@ def shingle_sets(column) -> Iterator[np.ndarray]:
             yield np.zeros(0, U)
 
 
-def slices(batch: pa.RecordBatch, *texts: str, limit: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+def _give_back() -> None:
+    """Return freed memory to the system: workers are used again by later stages, beside each other."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def slices(batch: pa.RecordBatch, *texts: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of about `limit` bytes of text, so that a kernel's memory does not follow the batch."""
     if batch.num_rows == 0:
         return
@@ -126,3 +139,4 @@ def slices(batch: pa.RecordBatch, *texts: str, limit: int = 1 << 23) -> Iterator
     for a, b in zip(cuts[:-1], cuts[1:], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    _give_back()

@@ -152,7 +152,7 @@ def test_int8_bounds_hold_and_links_are_exact(scale):
 
 
 def test_classifier_learns_and_tolerates_one_class():
-    p = quality.QualityParams(max_labelled=100, epochs=6)
+    p = quality.QualityParams(max_labelled=100, steps=500)
     r = random.Random(0)
     good = [" ".join(r.choice(["the", "cat", "sat", "here"]) for _ in range(30)) for _ in range(40)]
     bad = [" ".join(r.choice(["THE!!", "CAT%%", "###"]) for _ in range(30)) for _ in range(40)]
