@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word and every character n-gram (3 to 5 characters, word ends included) of a text is hashed into a table of learned
-vectors. A document is the average of its features' vectors, and a softmax over two classes reads it. Training is
+Every word, every character n-gram (3 to 5 characters, word ends included) and whether a word repeats the one before it are
+hashed into a table of learned vectors. A document is the average of its features' vectors, and a softmax over two classes reads it. Training is
 stochastic gradient descent in numpy, on the driver, over a bounded sample of labelled documents (`max_labelled`, drawn by
 a hash of doc_id); scoring covers every document.
 
@@ -45,10 +45,14 @@ def _code_points(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def features(column, p: QualityParams) -> Iterator[np.ndarray]:
-    """For each text the table rows of its features, with repeats: the document itself, its words, its n-grams."""
+    """For each text the table rows of its features, with repeats: the document itself, its words, its n-grams
+    and, by rows 1 and 2, whether each word repeats the one before."""
     raw, at = utf8(column)
     starts, ends, first = word_bounds(raw, at)
-    words = (word_hashes(raw, starts, ends, lower=False) >> np.uint64(64 - p.bits)).astype(np.int32)
+    words = word_hashes(raw, starts, ends, lower=False)
+    again = np.full(len(words), 2, np.int32)
+    again[1:][words[1:] == words[:-1]] = 1
+    words = (words >> np.uint64(64 - p.bits)).astype(np.int32)
     cp, at = _code_points(raw, at)
     space = (cp < 256) & _SPACE[np.minimum(cp, 255)]
     c = np.where(space, np.uint32(0x20), cp)
@@ -70,7 +74,7 @@ def features(column, p: QualityParams) -> Iterator[np.ndarray]:
     one = np.zeros(1, np.int32)
     for i in range(len(at) - 1):
         a, b = at[i], at[i + 1]
-        parts = [one, words[first[i] : first[i + 1]]]
+        parts = [one, words[first[i] : first[i + 1]], again[first[i] + 1 : first[i + 1]]]
         for n, rows, whole in grams:
             if b - a >= n:
                 parts.append(rows[a : b - n + 1][whole[a : b - n + 1]])
