@@ -30,7 +30,7 @@ class TopKParams:
     block: int = 4096
     query_block: int = 512
     #: Blocks that one task visits with the same queries.
-    visits: int = 4
+    visits: int = 8
     step: int = 128
 
 
@@ -51,6 +51,9 @@ class Block:
 
 
 def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(scores) > 2 * k:  # what is below the kth score needs no sort; its ties stay in
+        most = scores >= np.partition(scores, len(scores) - k)[len(scores) - k]
+        ids, scores = ids[most], scores[most]
     order = np.lexsort((ids, -scores))[:k]
     return ids[order], scores[order]
 
@@ -82,7 +85,8 @@ def search(block: Block, q: np.ndarray, own: int, k: int, kth: float = -np.inf,
         rows = np.flatnonzero(fresh)
         if len(rows):
             seen[rows] = True
-            s = block.x[rows] @ q
+            # Where a step meets much of the block, one product over all of it costs less than gathering the rows.
+            s = (block.x @ q)[rows] if 4 * len(rows) > n else block.x[rows] @ q
             fit = s >= floor
             ids, scores = _best(np.concatenate([ids, block.ids[rows[fit]]]), np.concatenate([scores, s[fit]]), k)
         depth, step = to, 2 * step
