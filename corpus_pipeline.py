@@ -22,10 +22,26 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.where(F.col("_quality") >= p.accept).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a number of their own for each row, written so that it stays: ids may repeat or be null."""
+    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+
+
 def stage_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group of near duplicates (5-word shingles, similarity 0.8 or more), the one with the smallest id."""
-    gone = near_dup.near_duplicates(docs, NEAR).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(materialise(gone, "pipeline-gone"), "doc_id", "left_anti").select(*docs.columns)
+    """Keep one row of each group of near duplicates (5-word shingles, similarity 0.8 or more), one with the smallest id.
+
+    Rows are judged each by itself. Of rows that repeat an id and a set one stays; an id with two texts that are not alike
+    keeps both; a null id stands after all others, so a copy with one goes, and what is unique stays. Texts without words
+    are like nothing: they stay, but of those with one id, null ids apart, only one."""
+    rows = _numbered(docs, "pipeline-rows")
+    found = near_dup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("_row"), (F.col("n_shingles") == 0).alias("bare"), "component_id")
+    named = rows.select("_row", "doc_id", F.xxhash64("text").alias("h")).join(found, "_row").where(~F.col("bare") | F.col("doc_id").isNotNull())
+    # Equal ids are parted by their texts, equal rows by their numbers.
+    rank = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h", "_row")
+    named = materialise(named.select("_row", "bare", F.when(F.col("bare"), F.col("doc_id").cast("long")).otherwise(F.col("component_id")).alias("g"), rank.alias("rank")), "pipeline-groups")
+    stay = named.groupBy("bare", "g").agg(F.min("rank").getField("_row").alias("_row"))
+    gone = materialise(named.select("_row").join(stay, "_row", "left_anti"), "pipeline-gone")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,12 +52,14 @@ def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat or leave out documents by their source's target, in the order of their training positions.
 
-    Documents are taken whole here: as often as the taken words make up the text, rounded."""
-    mixed = mixing.mix(docs.select("doc_id", "source", "text"))
+    Documents are taken whole here: as often as the taken words make up the text, rounded. Each row is taken by its own
+    share, whether its id repeats or is null."""
+    rows = _numbered(docs, "pipeline-rows")
+    mixed = mixing.mix(rows.select("doc_id", "source", "text", "_row"), carry=("_row",))
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
     plan = mixed.withColumn("places", F.slice(F.array("position", "second_position"), F.lit(1), copies.cast("int")))
-    plan = materialise(plan.groupBy("doc_id").agg(F.max("places").alias("places")).where(F.size("places") > 0).withColumnRenamed("doc_id", "_id"), "pipeline-plan")
-    placed = docs.join(plan, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("_place", F.explode("places"))
+    plan = materialise(plan.where(F.size("places") > 0).select("_row", "places"), "pipeline-plan")
+    placed = rows.join(plan, "_row").withColumn("_place", F.explode("places"))
     return placed.orderBy("_place", "doc_id").select(*docs.columns)
 
 

@@ -72,7 +72,7 @@ def position(schedule: Column, share: Column) -> Column:
     return F.when(want <= first, F.when(want <= 0, F.lit(0.0)).otherwise(root(a, b, want))).otherwise(F.least(0.5 + root(b, c, want - first), F.lit(1.0)))
 
 
-def mix(documents: DataFrame, p: MixParams = MixParams()) -> DataFrame:
+def mix(documents: DataFrame, p: MixParams = MixParams(), carry: tuple[str, ...] = ()) -> DataFrame:
     """documents (doc_id, source, text) -> doc_id, source, size, source_size, target, taken, position, second_position.
 
     size is the text's number of words; taken the words that the mix takes, repeats counted: a source's documents are
@@ -83,9 +83,9 @@ def mix(documents: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     Defined cases: a null source is a source of its own, after the others; a null or empty text has size 0 and takes
     nothing; a null doc_id is hashed as an empty id; rows with one doc_id are ordered by size, and equal rows may share
     words between them in either way; all sizes 0 give targets 0; an empty table gives no rows; other columns are
-    ignored. One row per source comes to the driver; more than max_sources are refused with an error."""
+    ignored, but for those named in carry, which come back too and order equal rows. One row per source comes to the driver; more than max_sources are refused with an error."""
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *carry)
     # A narrow written table: the texts are read once for any number of passes below.
     docs = materialise(docs.withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")), "mix-sizes")
 
@@ -93,7 +93,7 @@ def mix(documents: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     if len(sums) > p.max_sources:
         raise ValueError(f"more than {p.max_sources} sources")
     if not sums:
-        return docs.select("doc_id", "source", "size", *(F.lit(None).cast(t).alias(n) for n, t in (("source_size", "long"), ("target", "double"), ("taken", "long"), ("position", "double"), ("second_position", "double"))))
+        return docs.select("doc_id", "source", "size", *(F.lit(None).cast(t).alias(n) for n, t in (("source_size", "long"), ("target", "double"), ("taken", "long"), ("position", "double"), ("second_position", "double"))), *carry)
     sums.sort(key=lambda r: (r.source is None, r.source or ""))
     weights = list(itertools.islice(itertools.cycle(p.weights), len(sums)))
     sizes = [int(r.s) for r in sums]
@@ -110,7 +110,7 @@ def mix(documents: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     per_bucket = placed.groupBy("source", "bucket").agg(F.sum("size").alias("inside"))
     before = materialise(per_bucket.select("source", "bucket", (F.sum("inside").over(W.partitionBy("source").orderBy("bucket")) - F.col("inside")).alias("ahead")), "mix-buckets")
     before = before.withColumnsRenamed({"source": "src", "bucket": "b"})
-    run = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(W.unboundedPreceding, W.currentRow))
+    run = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", *carry).rowsBetween(W.unboundedPreceding, W.currentRow))
     rows = placed.withColumn("inner", run - F.col("size")).join(before, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("b")))
     at = F.col("ahead") + F.col("inner")
     goal = F.round("target").cast("long")
@@ -118,7 +118,7 @@ def mix(documents: DataFrame, p: MixParams = MixParams()) -> DataFrame:
     second = at + F.col("source_size")
     cut = lambda start: F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), goal - start))
     place = lambda start: F.when(cut(start) > 0, position(F.col("schedule"), start / F.nullif(F.col("target"), F.lit(0.0))))
-    out = rows.select("doc_id", "source", "size", "source_size", "target", (cut(at) + cut(second)).alias("taken"), place(at).alias("position"), place(second).alias("second_position"))
+    out = rows.select("doc_id", "source", "size", "source_size", "target", (cut(at) + cut(second)).alias("taken"), place(at).alias("position"), place(second).alias("second_position"), *carry)
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 

@@ -49,3 +49,20 @@ def test_near_copies_from_four_fifths_go(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((base, two, three))], "doc_id long, text string")
     assert sorted(r.doc_id for r in corpus_pipeline.stage_near_dup(spark, docs, DATA).collect()) == [0, 2]
     assert near_dup.near_duplicates(docs).where("kept").count() == 3
+
+
+def test_rows_with_repeated_and_null_ids(spark):
+    text = lambda c: " ".join(f"{c}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("a")), (2, text("a")), (None, text("a")), (2, text("b")), (None, text("c")), (None, text("c")), (None, text("d")), (3, ""), (3, None), (4, " "), (None, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "s") for i, t in rows], "doc_id long, text string, source string")
+    kept = sorted((r.doc_id or 0, (r.text or "").strip()[:1]) for r in corpus_pipeline.stage_near_dup(spark, docs, DATA).collect())
+    assert kept == [(0, ""), (0, ""), (0, "c"), (0, "d"), (1, "a"), (2, "b"), (3, ""), (4, "")]
+
+
+def test_mixture_takes_each_row_by_its_own_share(spark):
+    """Two sources of 20 equal texts each: 1.5 times all words is 60 texts, of which the first takes 40 and the other 20."""
+    rows = [(i if k == "ids" else None if k == "null" else 7, f"{s}{i} b c", s) for k in ("ids", "null", "same") for s in "xy" for i in range(20)]
+    for k in range(3):
+        docs = spark.createDataFrame(rows[40 * k : 40 * k + 40], "doc_id long, text string, source string")
+        got = corpus_pipeline.stage_mixing(spark, docs, DATA).collect()
+        assert sorted(sum(r.source == s for r in got) for s in "xy") == [20, 40]
