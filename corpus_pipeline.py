@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,8 +65,19 @@ def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def stage_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document."""
-    return bpe.encode(docs, bpe.word_vocabulary(), with_ids=True)
+    """Token ids of each document, and its place in training: rows in the order of (part, row) are in mixing's order.
+
+    Spark reads written files packed by size, so the order is taken from the files themselves: the mixing stage's range
+    sort numbers them in order, and each is sorted. Both columns are null where docs do not come from Parquet files."""
+    name = F.col("_metadata.file_name")
+    number = lambda form: F.regexp_extract(name, form, 1).try_cast("long")
+    part = number(r"^part-(\d+)") * (1 << 20) + F.coalesce(number(r"-c(\d+)[.]"), F.lit(0))
+    try:
+        placed = docs.select("doc_id", "text", part.alias("part"), F.col("_metadata.row_index").alias("row"))
+        placed.schema  # noqa: B018  raises where there are no such files
+    except AnalysisException:
+        placed = docs.select("doc_id", "text", *(F.lit(None).cast("long").alias(c) for c in ("part", "row")))
+    return bpe.encode(placed, bpe.word_vocabulary(), with_ids=True, carry=("part", "row"))
 
 
 STAGES = [("quality", stage_quality), ("near_dup", stage_near_dup), ("pii", stage_pii), ("mixing", stage_mixing), ("encoding", stage_encoding)]

@@ -220,13 +220,13 @@ def load(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
+def encode(documents: DataFrame, path: str, with_ids: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """documents (doc_id, text) -> doc_id, n_tokens, ids_sha256, decoded_sha256, and with_ids also the array ids.
 
     `path` names the vocabulary file. Whole texts are encoded, special tokens in a text included as the file says, none
     added. Defined cases: a null or empty text, or one of white space, has no tokens and both digests are those of empty
-    input; repeated rows and null ids are encoded like others; an empty table gives no rows; other columns are ignored.
-    The file must be at the same path on every executor, as an installed package is; it is not copied."""
+    input; repeated rows and null ids are encoded like others; an empty table gives no rows; other columns are ignored,
+    but for those named in carry, which come last. The file must be at the same path on every executor, as an installed package is; it is not copied."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
@@ -238,10 +238,12 @@ def encode(documents: DataFrame, path: str, with_ids: bool = False) -> DataFrame
                 if with_ids:
                     ids = np.frombuffer(b"".join(a for a, _ in got), "<i4")
                     columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(ids, pa.int32())))
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)]
+                yield pa.RecordBatch.from_arrays([*columns, *map(batch.column, carry)], names=[*names, *carry])
 
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return docs.mapInArrow(kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *carry)
+    kept = "".join(f", {c} {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return docs.mapInArrow(kernel, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + kept)
 
 
 def word_vocabulary() -> str:

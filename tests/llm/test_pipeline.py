@@ -66,3 +66,14 @@ def test_mixture_takes_each_row_by_its_own_share(spark):
         docs = spark.createDataFrame(rows[40 * k : 40 * k + 40], "doc_id long, text string, source string")
         got = corpus_pipeline.stage_mixing(spark, docs, DATA).collect()
         assert sorted(sum(r.source == s for r in got) for s in "xy") == [20, 40]
+
+
+def test_tokens_keep_the_order_of_training(spark):
+    """Files of very different sizes, which Spark packs out of their order."""
+    docs = spark.createDataFrame([(i, f"{'long words ' * (i % 50) ** 2} {i}", "xyz"[i % 3]) for i in range(400)], "doc_id long, text string, source string").repartition(4)
+    mixed = corpus_pipeline.stage_mixing(spark, docs, DATA)
+    wanted = [r.doc_id for r in mixed.collect()]
+    got = corpus_pipeline.stage_encoding(spark, materialise(mixed, "test"), DATA)
+    assert [r.doc_id for r in got.orderBy("part", "row").collect()] == wanted
+    loose = corpus_pipeline.stage_encoding(spark, docs.limit(3), DATA).collect()
+    assert len(loose) == 3 and all(r.part is None and r.row is None for r in loose)
