@@ -24,8 +24,22 @@ def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def _numbered(docs: DataFrame, name: str) -> DataFrame:
-    """docs with a number of their own for each row, written so that it stays: ids may repeat or be null."""
-    return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    """docs with a number of their own for each row, the same at each reading: ids may repeat or be null.
+
+    Rows read from Parquet files are numbered by file and place in it, without a copy; others are written first."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):  # what neither makes rows nor mixes files
+        plan = plan.children().head()
+    try:
+        if plan.nodeName() != "LogicalRelation":
+            raise AnalysisException("not read from files")
+        at = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+        files = sorted(r[0] for r in at.select("_file").distinct().collect())
+    except AnalysisException:
+        return materialise(docs.withColumn("_row", F.monotonically_increasing_id()), name)
+    # The broadcast side has a row per file.
+    starts = docs.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], "_file string, _start long")
+    return at.join(F.broadcast(starts), "_file").select(*docs.columns, (F.col("_start") + F.col("_at")).alias("_row"))
 
 
 def stage_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
