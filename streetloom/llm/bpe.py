@@ -6,12 +6,17 @@ accepted path, and the arcs' labels along it are its tokens.
 Construction, by successive merge gadgets. At first one state carries an arc to itself for every base symbol. The gadget
 of a merge (u, v) -> w looks at the state q that u's arcs enter: if v leaves q, u's arcs are led to a copy of q without
 v, and w gets an arc from every state that has u's arc, into the state that v's arcs enter. So a token's arcs always enter
-one state, which makes the automaton deterministic. A copy differs from its original by one arc, and w leaves a state if
-u did when w was made. Hence one number for each gadget, the merge at which u's state lost v, describes all states, and
-the transition table is filled from it as arcs are asked for.
+one state, which makes the automaton deterministic.
 
-Encoding follows the transition table through a word; the accepted path up to each position is unique, as BPE of that
-prefix is, so the search enters a position once at most.
+Table. A plain table of states by tokens would have about 49,000 x 49,000 entries, so it is kept row by row as in other
+large automata: a row holds the arcs that its gadgets took away (with the number of the merge), and a default row, that of
+the state from which it was copied, says the rest as it was then. Likewise an arc w that a merge made leaves a state if u
+did at that time, so a column defaults to u's. The whole table is compiled when the vocabulary is loaded; nothing is added
+while encoding. A transition is looked up in the rows along both chains of defaults, three or four each.
+
+Encoding follows the table through a word; the accepted path up to each position is unique, as BPE of that prefix is, so
+the search enters a position once at most. Of each piece of text only the distinct words pass the automaton, all of them
+in step, an array operation for each transition; ids and labels are then gathered by the words' numbers.
 """
 
 from __future__ import annotations
@@ -19,7 +24,6 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
-import struct
 import unicodedata
 from collections.abc import Iterator
 
@@ -32,17 +36,13 @@ from pyspark.sql import functions as F
 from .common import table
 from .shingles import slices
 
-#: White space of the normaliser, and the four control characters that only str.split() takes for it.
-_ONLY_SPLIT = regex.compile("[\x1c-\x1f]")
-_SPACES = regex.compile("[\t-\r \x85\xa0  -     　]+")
-#: Words in the cache of each worker, at about 350 bytes each; two generations are kept.
-CACHE = 100_000
-_KEPT_PAIRS = 1 << 18
-
-
-def _bytes(ids: list[int]) -> bytes:
-    """Little-endian unsigned 32-bit numbers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
+_NEVER = 1 << 60
+_SPACE, _LETTER, _NUMBER, _OTHER = range(4)
+#: White space of the normaliser, and what a word that begins with an apostrophe is cut into first.
+_SPACES = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_SHORT = ("s", "t", "re", "ve", "m", "ll", "d")
+#: Words that are still on their way when so few are left go on one by one.
+_FEW = 48
 
 
 def byte_symbols() -> list[str]:
@@ -52,80 +52,214 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+class Lookup:
+    """Numbers by integer keys: open addressing in arrays, asked for many keys at once; -1 stands for a missing key."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, int(len(keys) * 6).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), np.int64((1 << bits) - 1)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        slot = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self.keys[slot[put]], self.values[slot[put]] = keys[put], values[put]
+            rest = np.ones(len(keys), bool)
+            rest[put] = False
+            keys, values, slot = keys[rest], values[rest], (slot[rest] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.values[slot], np.int32(-1))
+        on = np.flatnonzero((there != keys) & (there >= 0))
+        slot = slot[on]
+        while len(on):
+            slot = (slot + 1) & self.mask
+            there = self.keys[slot]
+            hit = there == keys[on]
+            out[on[hit]] = self.values[slot[hit]]
+            more = ~hit & (there >= 0)
+            on, slot = on[more], slot[more]
+        return out
+
+
 class Automaton:
-    """Compiled from base symbols and ordered merges of token numbers (u, v, w)."""
+    """Compiled from the texts of tokens (tuples of base symbols below 512) and ordered merges of token numbers (u, v, w)."""
 
-    def __init__(self, texts: dict[int, str], merges: list[tuple[int, int, int]]):
-        self.texts = texts
-        self.size = n = max(texts) + 1
+    def __init__(self, texts: dict[int, tuple[int, ...]], merges: list[tuple[int, int, int]]):
+        n = max(texts) + 1
+        #: For a token that a merge made: its parts, and the number of the merge.
         self.left, self.right, self.born = [-1] * n, [-1] * n, [-1] * n
-        made: set[int] = {w for _, _, w in merges}
+        #: Own rows: of the state that a token's arcs enter, the arcs taken away and the merge that took each.
+        self.taken: list[dict[int, int] | None] = [None] * n
+        made = {w for _, _, w in merges}
         ready = {t for t in texts if t not in made}
-        #: (token, v) -> the merge at which the state that token's arcs enter lost its arc v.
-        self.lost: dict[int, int] = {}
-        self.arcs: dict[int, bool] = {}
         for k, (u, v, w) in enumerate(merges):
-            if self.leaves(u, v):
-                self.lost[u * n + v] = k
+            if not self.leaves(u, v):
+                continue  # the pair never stands side by side when this merge has its turn
+            if self.taken[u] is None:
+                self.taken[u] = {}
+            self.taken[u][v] = k
             if w not in ready:
                 self.left[w], self.right[w], self.born[w] = u, v, k
                 ready.add(w)
-        self.by_text = {x: t for t, x in texts.items() if t in ready}
-        #: Of each token the longest token that it begins with, or -1; of each two symbols the longest token's length.
-        self.shorter = {t: next((self.by_text[x[:i]] for i in range(len(x) - 1, 0, -1) if x[:i] in self.by_text), -1) for x, t in self.by_text.items()}
-        self.spans = {t: len(x) for x, t in self.by_text.items()}
-        self.reach: dict[str, int] = {}
-        for x in self.by_text:
-            self.reach[x[:2]] = max(self.reach.get(x[:2], 1), len(x))
+        self.ready = ready
+        #: The tokens' texts as a tree of symbols: step gives the next node, token_of the token that ends at a node.
+        self.step: dict[int, int] = {}
+        self.token_of = [-1]
+        self.shorter, self.spans = [-1] * n, [0] * n
+        for t in sorted(ready, key=lambda t: len(texts[t])):
+            node, best = 0, -1
+            for symbol in texts[t]:
+                best = max(best, self.token_of[node], key=lambda x: self.spans[x] if x >= 0 else -1)
+                key = node << 9 | symbol
+                if key not in self.step:
+                    self.step[key] = len(self.token_of)
+                    self.token_of.append(-1)
+                node = self.step[key]
+            #: shorter: the longest token that this one begins with, or -1.
+            self.token_of[node], self.shorter[t], self.spans[t] = t, best, len(texts[t])
+        self._arrays()
+
+    def _arrays(self) -> None:
+        """The same table as arrays, for many words in step."""
+        rows = [(u << 20 | v, k) for u, row in enumerate(self.taken) if row for v, k in row.items()]
+        self._taken = Lookup(np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int32))
+        self._step = Lookup(np.fromiter(self.step, np.int64), np.fromiter(self.step.values(), np.int32))
+        as_array = lambda x: np.array(x, np.int64)
+        self._left, self._right, self._born, self._spans, self._shorter, self._token_of = map(as_array, (self.left, self.right, self.born, self.spans, self.shorter, self.token_of))
+        self._has_row = np.array([bool(r) for r in self.taken])
+        self._ever_taken = np.zeros(len(self.left), bool)
+        self._ever_taken[as_array([r[0] & (1 << 20) - 1 for r in rows])] = True
 
     def leaves(self, before: int, token: int) -> bool:
-        """Whether token's arc leaves the state that before's arcs enter.
-
-        That state came from the one of before's second part as it was when before was made, so it lacks what that one
-        had lost by then. And token has no arc there if a symbol that it begins with was gone when token was made."""
-        lost, size, left, right, born = self.lost, self.size, self.left, self.right, self.born
-        spine, until = [], 1 << 60
-        while token >= 0:
-            spine.append((token, until))
-            until, token = born[token], left[token]
-        cut = 1 << 60
+        """The table's entry: whether token's arc leaves the state that before's arcs enter.
+
+        Rows: before's own, then that of its second part as it was when before was made, and so on. Columns: token's, then
+        that of its first part as it was when token was made."""
+        taken, left, right, born = self.taken, self.left, self.right, self.born
+        cut = _NEVER
         while before >= 0:
-            for t, until in spine:
-                k = lost.get(before * size + t)
-                if k is not None and k < cut and k <= until:
-                    return False
-            cut, before = min(cut, born[before]), right[before]
+            row = taken[before]
+            if row is not None:
+                t, until = token, cut
+                while t >= 0:
+                    k = row.get(t)
+                    if k is not None and k < cut and k <= until:
+                        return False
+                    until, t = born[t], left[t]
+            if born[before] < cut:
+                cut = born[before]
+            before = right[before]
         return True
 
-    def word(self, symbols: str) -> list[int]:
-        """The arcs' labels on the one accepted path of a word, which is given in base symbols.
+    def leave(self, before: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The table's entries for many pairs, like `leaves`."""
+        out = np.ones(len(before), bool)
+        at, row, cut = np.arange(len(before)), before, np.full(len(before), _NEVER)
+        while len(at):
+            own = self._has_row[row]
+            i, r, c, t = at[own], row[own], cut[own], token[at[own]]
+            until = c
+            while len(i):
+                asked = self._ever_taken[t]
+                k = np.full(len(i), -1, np.int64)
+                k[asked] = self._taken.get(r[asked] << 20 | t[asked])
+                gone = (k >= 0) & (k < c) & (k <= until)
+                out[i[gone]] = False
+                until, t = self._born[t], self._left[t]
+                on = (t >= 0) & ~gone
+                i, r, c, t, until = i[on], r[on], c[on], t[on], until[on]
+            cut, row = np.minimum(cut, self._born[row]), self._right[row]
+            on = (row >= 0) & out[at]
+            at, row, cut = at[on], row[on], cut[on]
+        return out
+
+    def longest(self, symbols: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The longest token at each of these places that does not go beyond the word's end."""
+        out, i, node = np.full(len(at), -1, np.int64), np.arange(len(at)), np.zeros(len(at), np.int64)
+        while len(i):
+            node = self._step.get(node << 9 | symbols[at]).astype(np.int64)
+            token = np.where(node >= 0, self._token_of[node], -1)
+            out[i[token >= 0]] = token[token >= 0]
+            at = at + 1
+            on = (node >= 0) & (at < ends)
+            i, node, at, ends = i[on], node[on], at[on], ends[on]
+        return out
+
+    def words(self, symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of many words, given by their symbols and n + 1 offsets: all tokens, and n + 1 offsets into them.
+
+        The words go in step, each as in `word`; as the way to a position is unique, the token that led there and whether
+        it is closed are kept by position."""
+        n = len(offsets) - 1
+        w = np.flatnonzero(offsets[1:] > offsets[:-1])
+        at, ends = offsets[w], offsets[w + 1]
+        into, closed = np.full(len(symbols) + 1, -1, np.int64), np.zeros(len(symbols) + 1, bool)
+        token, last = self.longest(symbols, at, ends), np.full(len(w), -1, np.int64)
+        while len(w) > _FEW:
+            able = token >= 0
+            to = at + self._spans[token]
+            able &= ~closed[np.where(able, to, 0)]
+            asked = np.flatnonzero(able & (last >= 0))
+            able[asked] = self.leave(last[asked], token[asked])
+            into[to[able]] = token[able]
+            back = np.flatnonzero(token < 0)
+            if len(back):
+                closed[at[back]] = True
+                led = last[back]
+                at[back] -= self._spans[led]
+                token[back] = led  # its next shorter one is tried below
+                last[back] = np.where(at[back] > offsets[w[back]], into[at[back]], -1)
+            at, last, token = np.where(able, to, at), np.where(able, token, last), np.where(able, token, self._shorter[token])
+            on = at < ends
+            w, at, ends, last, token, able = w[on], at[on], ends[on], last[on], token[on], able[on]
+            fresh = np.flatnonzero(able)
+            token[fresh] = self.longest(symbols, at[fresh], ends[fresh])
+        for x in w.tolist():
+            place = offsets[x]
+            for t in self.word(symbols[place : offsets[x + 1]].tolist()):
+                place += self.spans[t]
+                into[place] = t
+        # Read the paths from the words' ends.
+        w = np.flatnonzero(offsets[1:] > offsets[:-1])
+        place, counts = offsets[w + 1], np.zeros(n, np.int64)
+        used = np.zeros(len(symbols) + 1, bool)
+        while len(w):
+            used[place] = True
+            counts[w] += 1
+            place = place - self._spans[into[place]]
+            on = place > offsets[w]
+            w, place = w[on], place[on]
+        return into[used], np.concatenate([[0], np.cumsum(counts)])
+
+    def word(self, symbols: list[int]) -> list[int]:
+        """The arcs' labels on the one accepted path of a word.
 
         Longer tokens are tried first. A position that can't be left again is closed: it had one way in, as the path to
         each position is unique, so each position is entered once."""
-        arcs, size, by_text, reach, shorter, spans = self.arcs, self.size, self.by_text, self.reach, self.shorter, self.spans
+        step, token_of, shorter, spans, leaves = self.step, self.token_of, self.shorter, self.spans, self.leaves
         n = len(symbols)
         path: list[int] = []
         closed: set[int] = set()
         at, last, t = 0, -1, None
         while at < n:
             if t is None:
-                end = min(n, at + reach.get(symbols[at : at + 2], 1)) if n - at > 1 else n
-                t = by_text.get(symbols[at:end])
-                while t is None:
-                    end -= 1
-                    t = by_text.get(symbols[at:end])
-            while t >= 0:
-                if at + spans[t] not in closed:
-                    if last < 0:
-                        break
-                    key = last * size + t
-                    ok = arcs.get(key)
-                    if ok is None:
-                        if len(arcs) >= _KEPT_PAIRS:
-                            arcs.clear()
-                        ok = arcs[key] = self.leaves(last, t)
-                    if ok:
+                node = 0
+                for i in range(at, n):
+                    node = step.get(node << 9 | symbols[i], -1)
+                    if node < 0:
                         break
+                    if token_of[node] >= 0:
+                        t = token_of[node]
+            while t >= 0:
+                if at + spans[t] not in closed and (last < 0 or leaves(last, t)):
+                    break
                 t = shorter[t]
             if t >= 0:
                 path.append(t)
@@ -138,6 +272,37 @@ class Automaton:
         return path
 
 
+def classes() -> np.ndarray:
+    """Of each code point whether it is white space, a letter, a number or something else."""
+    out = np.full(0x110000, _OTHER, np.uint8)
+    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    for form, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
+        for m in regex.finditer(form, every):
+            out[ord(m.group()[0]) : ord(m.group()[-1]) + 1] = kind  # no run goes over the surrogates
+    out[_SPACES] = _SPACE
+    return out
+
+
+def cut_words(points: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin and end in a text's code points: runs of letters, single numbers, runs of other characters, and
+    the short forms behind an apostrophe that is not inside a run of others."""
+    kind = kinds[points]
+    begins = np.ones(len(points), bool)
+    begins[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == _NUMBER)
+    marks = np.flatnonzero((points == 0x27) & begins)
+    if len(marks):
+        padded = np.concatenate([points, np.zeros(3, points.dtype)])
+        for form in _SHORT:
+            fits = marks[np.logical_and.reduce([padded[marks + 1 + i] == ord(c) for i, c in enumerate(form)])]
+            begins[fits + 1] = False
+            after = fits + 1 + len(form)
+            begins[after[after < len(points)]] = True
+    starts = np.flatnonzero(begins)
+    ends = np.append(starts[1:], len(points))
+    real = kind[starts] != _SPACE
+    return starts[real], ends[real]
+
+
 class WordBpe:
     """A tokenizer file of the kind: normalise, split into words, byte-level BPE with a mark at word ends."""
 
@@ -149,70 +314,99 @@ class WordBpe:
         self.end = model["end_of_word_suffix"] or ""
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
-        self.labels = {i: t for t, i in vocab.items()}
-        base = byte_symbols()
-        inner = {i: self._compact(t) for t, i in vocab.items()}
+        number = {c: i for i, c in enumerate(byte_symbols())}
         made = {w for _, _, w in merges}
-        keep = {i: t for i, t in inner.items() if i in made or len(t) == 1}
-        self.automaton = Automaton(keep, merges)
-        missing = [s for s in base for x in (s, chr(ord(s) + 0x1000)) if x not in self.automaton.by_text]
+        texts = {i: self._symbols(t, number) for t, i in vocab.items()}
+        self.automaton = Automaton({i: x for i, x in texts.items() if x and (i in made or len(x) == 1)}, merges)
+        missing = [s for s in range(512 if self.end else 256) if s not in self.automaton.step]
         if missing:
-            raise ValueError(f"the vocabulary lacks base symbols, such as {missing[0]!r}")
-        self.symbol = base
+            raise ValueError(f"the vocabulary lacks base symbols, such as {missing[0]}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.labels |= {i: t for t, i in self.special.items()}
-        self.label_bytes = {i: t.encode("utf-8") for i, t in self.labels.items()}
+        labels = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
+        #: Labels by id, each with the space that parts it from the next one.
+        self.labels = pa.array([f"{labels[i]} " if i in labels else "" for i in range(max(labels) + 1)], pa.large_string())
         self.specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.young: dict[str, tuple[bytes, bytes]] = {}
-        self.old: dict[str, tuple[bytes, bytes]] = {}
-
-    def _compact(self, token: str) -> str:
-        """A token with its last symbol and the end mark as one character."""
-        if self.end and token.endswith(self.end) and token != self.end:
-            token = token[: -len(self.end)]
-            return token[:-1] + chr(ord(token[-1]) + 0x1000)
-        return token
-
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        """Ids and decoded text of a piece without white space, from the cache or by the automaton."""
-        got = self.old.get(chunk)
-        if got is None:
-            ids: list[int] = []
-            for word in self.words.findall(chunk):
-                # Visible ASCII characters are their own symbols, and a word has no others below 0x7f.
-                s = word if word.isalnum() and word.isascii() else "".join(map(self.symbol.__getitem__, word.encode("utf-8")))
-                ids += self.automaton.word(s[:-1] + chr(ord(s[-1]) + 0x1000) if self.end else s)
-            got = _bytes(ids), b" ".join(map(self.label_bytes.__getitem__, ids))
-        if len(chunk) <= 1000:
-            if len(self.young) >= CACHE:
-                self.old, self.young = self.young, {}
-            self.young[chunk] = got
-        return got
-
-    def decode(self, ids) -> str:
-        """Arc labels in order, parted by spaces."""
-        return " ".join(map(self.labels.__getitem__, ids))
-
-    def _plain(self, text: str) -> list[tuple[bytes, bytes]]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each character is lower-cased alone
-        text = text.lower()
-        chunks = _SPACES.split(text) if _ONLY_SPLIT.search(text) else text.split()
-        young = self.young.get
-        return [young(c) or self._chunk(c) for c in chunks]
+        self.kinds = classes()
+
+    def _symbols(self, token: str, number: dict[str, int]) -> tuple[int, ...]:
+        """A token's bytes; the last one of a word, with the end mark, is 256 higher. Empty for what is no such text."""
+        last = bool(self.end) and token.endswith(self.end)
+        body = token[: -len(self.end)] if last else token
+        if not body or any(c not in number for c in body):
+            return ()
+        found = [number[c] for c in body]
+        return (*found[:-1], found[-1] + 256 * last)
+
+    def _plain(self, text: str) -> str:
+        if text.isascii():
+            return text.lower()
+        if not unicodedata.is_normalized("NFC", text):
+            text = unicodedata.normalize("NFC", text)
+        # Each character is lower-cased alone, so there is no final sigma.
+        return text.replace("Σ", "σ").lower()
+
+    def normalise(self, text: str) -> str:
+        """The text in lower case; a special token stands as S and a character of its number, as nothing else there does."""
+        if "<" not in text or not any(x in text for x in self.special):
+            return self._plain(text)
+        parts, at = [], 0
+        for m in self.specials.finditer(text):
+            parts += [self._plain(text[at : m.start()]), f"S{chr(0xF0000 + self.special[m.group()])}"]
+            at = m.end()
+        return " ".join([*parts, self._plain(text[at:])])
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts, and n + 1 offsets into them."""
+        plain = [self.normalise(t) for t in texts]
+        joined = "\n".join(plain)
+        raw = np.frombuffer(joined.encode("utf-8"), np.uint8)
+        points = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        firsts = np.cumsum([0, *(len(t) + 1 for t in plain)])
+        starts, ends = cut_words(points, self.kinds)
+        # A special token's mark is cut into its letter and its character; the letter alone says which word it is.
+        marked = points[starts] == ord("S")
+        special = points[np.minimum(starts[marked] + 1, len(points) - 1)].astype(np.int64) - 0xF0000
+        keep = np.ones(len(starts), bool)
+        keep[np.flatnonzero(marked) + 1] = False
+        keep[marked] = False
+        of_text = np.searchsorted(starts[keep], firsts)
+        if len(raw) == len(points):
+            low, high = starts[keep], ends[keep]
+        else:
+            place = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))
+            low, high = place[starts[keep]], place[ends[keep]]
+        # Words and the gaps between them, of which only the words are taken.
+        bounds = np.empty(2 * len(low) + 1, np.int64)
+        bounds[:-1:2], bounds[1::2], bounds[-1] = low, high, len(raw)
+        whole = pa.LargeStringArray.from_buffers(2 * len(low), pa.py_buffer(bounds), pa.py_buffer(raw.tobytes()))
+        words = whole.take(pa.array(np.arange(0, 2 * len(low), 2))).dictionary_encode()
+        _, offsets, data = words.dictionary.buffers()
+        offsets = np.frombuffer(offsets, np.int64)[: len(words.dictionary) + 1]
+        symbols = np.frombuffer(data, np.uint8)[: offsets[-1]].astype(np.int64) if data is not None and data.size else np.zeros(0, np.int64)
+        if self.end:
+            symbols[offsets[1:][np.diff(offsets) > 0] - 1] += 256
+        found, at = self.automaton.words(symbols, offsets)
+        lists = pa.LargeListArray.from_arrays(pa.array(at, pa.int64()), pa.array(found, pa.int32())).take(words.indices)
+        ids, per_word = lists.values.to_numpy(), lists.offsets.to_numpy()
+        if marked.any():
+            # Put in behind the words that come before each.
+            before = np.cumsum(keep)[marked]
+            ids = np.insert(ids, per_word[before], special)
+            ahead = np.searchsorted(starts[marked], firsts)
+            return ids.astype(np.int32), per_word[of_text] + ahead
+        return ids, per_word[of_text]
+
+    def texts_of(self, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Decoding: the labels of arcs in order, parted by spaces, as bytes and n + 1 offsets; each text ends in a space."""
+        _, offsets, data = self.labels.take(pa.array(ids, pa.int32())).buffers()
+        offsets = np.frombuffer(offsets, np.int64)
+        return np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8), offsets[at]
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Ids as little-endian 32-bit numbers, and the text that decoding them gives, in UTF-8."""
-        parts: list[tuple[bytes, bytes]] = []
-        at = 0
-        for m in self.specials.finditer(text) if any(x in text for x in self.special) else ():
-            parts += self._plain(text[at : m.start()])
-            i = self.special[m.group()]
-            parts.append((i.to_bytes(4, "little"), m.group().encode("utf-8")))
-            at = m.end()
-        parts += self._plain(text[at:] if at else text)
-        return b"".join([p[0] for p in parts]), b" ".join([p[1] for p in parts if p[0]])
+        ids, at = self.tokens([text])
+        labels, to = self.texts_of(ids, at)
+        return ids.astype("<i4").tobytes(), labels[: max(0, to[-1] - 1)].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -230,14 +424,18 @@ def encode(documents: DataFrame, path: str, with_ids: bool = False, carry: tuple
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+
+        def digest(data: np.ndarray, at: np.ndarray, less: int) -> pa.Array:
+            return pa.array([hashlib.sha256(data[i : max(i, j - less)]).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
+
         for whole in batches:
             for batch in slices(whole, "text"):
-                got = [bpe.encode(t.as_py() or "") for t in batch.column("text")]
-                n = [len(a) // 4 for a, _ in got]
-                columns = [batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array([hashlib.sha256(x[k]).hexdigest() for x in got], pa.string()) for k in (0, 1))]
+                ids, at = bpe.tokens([t or "" for t in batch.column("text").to_pylist()])
+                labels, to = bpe.texts_of(ids, at)
+                # The space behind a text's last label belongs to nothing.
+                columns = [batch.column("doc_id"), pa.array(np.diff(at), pa.int64()), digest(ids.astype("<i4").view(np.uint8), 4 * at, 0), digest(labels, to, 1)]
                 if with_ids:
-                    ids = np.frombuffer(b"".join(a for a, _ in got), "<i4")
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *n]), pa.int32()), pa.array(ids, pa.int32())))
+                    columns.append(pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids, pa.int32())))
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)]
                 yield pa.RecordBatch.from_arrays([*columns, *map(batch.column, carry)], names=[*names, *carry])
 
