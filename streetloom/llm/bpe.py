@@ -429,7 +429,7 @@ def encode(documents: DataFrame, path: str, with_ids: bool = False, carry: tuple
             return pa.array([hashlib.sha256(data[i : max(i, j - less)]).hexdigest() for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
 
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", limit=1 << 22):
                 ids, at = bpe.tokens([t or "" for t in batch.column("text").to_pylist()])
                 labels, to = bpe.texts_of(ids, at)
                 # The space behind a text's last label belongs to nothing.
