@@ -19,6 +19,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
+    "op2_urls": urls.OP2_SQL,
     "op5_near_dup": near_dup.OP5_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_vectors": vectors.OP9_SQL,

@@ -131,13 +131,33 @@ def test_threshold_search_equals_brute_force():
         s_own = np.delete(s, 3)
         ids = np.delete(np.arange(700), 3)
         order = np.lexsort((ids, -s_own))[:20]
-        got_ids, got = topk.search(block, q, 3, 20)
+        got_ids, got, _ = topk.search(block, q, 3, 20)
         assert got_ids.tolist() == ids[order].tolist() and got.tolist() == s_own[order].tolist()
         kth = s_own[order][-1]
-        again, _ = topk.search(block, q, 3, 20, kth)
+        again, _, _ = topk.search(block, q, 3, 20, kth)
         assert set(ids[order][s_own[order] > kth]) <= set(again.tolist())
 
 
+def test_threshold_search_scores_few_rows_of_clustered_vectors():
+    """Rows near one of 40 axes each: the bound stops long before all rows are met, at whatever size."""
+    r = np.random.default_rng(5)
+    shares = []
+    for n in (4000, 16_000):
+        x = r.integers(-1, 2, (n, 40)).astype(float)
+        x[np.arange(n), np.arange(n) % 40] += r.integers(30, 60, n)
+        block = topk.Block(np.arange(n), x)
+        scored = 0
+        for i in range(0, n, n // 40 + 1):
+            s = np.delete(x @ x[i], i)
+            ids = np.delete(np.arange(n), i)
+            order = np.lexsort((ids, -s))[:20]
+            got_ids, got, k = topk.search(block, x[i], i, 20)
+            assert got_ids.tolist() == ids[order].tolist() and got.tolist() == s[order].tolist()
+            scored += k
+        shares.append(scored / (40 * n))
+    assert shares[0] < 0.15 and shares[1] < 0.05
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e-200, 1e200])
 def test_int8_bounds_hold_and_links_are_exact(scale):
     r = np.random.default_rng(5)
