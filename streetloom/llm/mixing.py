@@ -123,7 +123,7 @@ def mix(documents: DataFrame, p: MixParams = MixParams(), carry: tuple[str, ...]
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken", "position")
+    return mix(table(spark, sf_dir, "documents", "doc_id", "source", "text")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 #: Everything but the position follows in SQL; the excess is shared again in at most as many rounds as there are sources.

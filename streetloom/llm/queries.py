@@ -21,6 +21,7 @@ ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op2_urls": urls.OP2_SQL,
     "op5_near_dup": near_dup.OP5_SQL,
+    "op6_chat": chat.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_vectors": vectors.OP9_SQL,
     "op10_topk": topk.OP10_SQL,

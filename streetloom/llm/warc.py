@@ -42,8 +42,8 @@ class WarcParams:
     sample_bytes: int = 1 << 20
     #: A new archive begins when one has taken this many uncompressed bytes.
     archive_bytes: int = 128 << 20
-    #: A larger record is refused by the reader rather than taken into memory.
-    max_record: int = 1 << 30
+    #: The reader refuses larger records if a limit is given. None takes whatever one value of a table can hold.
+    max_record: int | None = None
     date: str = "2020-01-01T00:00:00Z"
 
 
@@ -127,7 +127,7 @@ def read_frames(stream: BinaryIO, p: WarcParams = WarcParams(), chunk: int = 1 <
             except zstandard.ZstdError as e:
                 raise WarcError(f"a frame can't be decoded: {e}") from None
             got += len(parts[-1])
-            if got > p.max_record:
+            if p.max_record is not None and got > p.max_record:
                 raise WarcError(f"a record is longer than {p.max_record} bytes")
             if frame.eof:
                 buf = frame.unused_data
@@ -308,7 +308,7 @@ def archive_pages(pages: DataFrame, uri: str | None = None, p: WarcParams = Warc
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
-    return archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("payload")
+    return archive_pages(table(spark, sf_dir, "pages", "page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP1_SQL = """
