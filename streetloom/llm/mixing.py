@@ -7,19 +7,21 @@ token demand. A source's documents stand in a fixed hash order, repeated up to t
 document are put into the inverse of the demand curve, which gives the document's training position, and documents are
 range-sorted by it.
 
-Cumulative words of a hot source never meet in one task: documents fall into hash buckets of about a thousand rows, whose
-sums are added up first, and only the order inside a bucket needs a window.
+Cumulative words of a hot source never meet in one task: equal rows are counted first, the rest falls into hash buckets of
+about a thousand rows and these into groups of buckets. Sums are added up by group, then by bucket, and only the order
+inside a bucket needs a window over rows. Sources are a table as well, of any number, whose targets come from rounds of
+aggregates.
 """
 
 from __future__ import annotations
 
-import itertools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..operators.roads import dense_ids
 from .common import materialise, table, word_count
 
 
@@ -31,25 +33,27 @@ class MixParams:
     #: Weight at times 0, 1/2 and 1, by source in the same repeating order.
     schedules: tuple[tuple[float, float, float], ...] = ((1.0, 1.0, 1.0), (2.0, 1.0, 0.5), (0.5, 1.0, 2.0))
     bucket_rows: int = 1024
-    max_sources: int = 1_000_000
-
-
-def fill(sizes: list[int], weights: list[float], total: float, repeat: float) -> list[float]:
-    """Targets that share total by weight, none above repeat times its size; what is cut off is shared again."""
-    out = [0.0] * len(sizes)
-    open_, left = [i for i in range(len(sizes))], total
-    while open_:
-        unit = left / sum(weights[i] for i in open_)
-        over = [i for i in open_ if weights[i] * unit > repeat * sizes[i]]
-        if not over:
-            for i in open_:
-                out[i] = weights[i] * unit
+    group_buckets: int = 1024
+
+
+def fill(sources: DataFrame, total: float, repeat: float) -> DataFrame:
+    """sources (size, weight and others) with `target`: shares of total by weight, none above repeat times its size.
+
+    What is cut off is shared again by weight among the others, until none is above; a round closes all sources that its
+    share would fill, so there are few. Sums of sizes and weights are whole numbers, which add up alike in any order."""
+    cap = repeat * F.col("size")
+    state, level = sources, None
+    while True:
+        closed = F.lit(False) if level is None else F.col("weight") * level > cap
+        open_weight, used, n = state.agg(F.coalesce(F.sum(F.when(~closed, F.col("weight"))), F.lit(0.0)), F.coalesce(F.sum(F.when(closed, cap)), F.lit(0.0)), F.count_if(closed)).first()
+        if level is not None and n == shut:
             break
-        for i in over:
-            out[i] = repeat * sizes[i]
-            left -= out[i]
-        open_ = [i for i in open_ if i not in set(over)]
-    return out
+        shut = n
+        if open_weight <= 0:
+            break
+        level = (total - used) / open_weight
+    level = 0.0 if level is None else level
+    return sources.withColumn("target", F.when(F.col("weight") * level > cap, cap).otherwise(F.col("weight") * level))
 
 
 def demand(schedule: Column, t: Column) -> Column:
@@ -81,38 +85,41 @@ def mix(documents: DataFrame, p: MixParams = MixParams(), carry: tuple[str, ...]
     if there is none. The rows come sorted by position.
 
     Defined cases: a null source is a source of its own, after the others; a null or empty text has size 0 and takes
-    nothing; a null doc_id is hashed as an empty id; rows with one doc_id are ordered by size, and equal rows may share
-    words between them in either way; all sizes 0 give targets 0; an empty table gives no rows; other columns are
-    ignored, but for those named in carry, which come back too and order equal rows. One row per source comes to the driver; more than max_sources are refused with an error."""
-    spark = documents.sparkSession
+    nothing; a null doc_id is hashed as an empty id, or by the columns in carry if there are any; rows with one doc_id are
+    ordered by size, and equal rows may share words between them in either way; all sizes 0 give targets 0; an empty table
+    gives no rows; other columns are ignored, but for those named in carry, which come back too and order equal rows."""
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat_ws(",", *(F.col(c).cast("string") for c in carry)) if carry else F.lit(""))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), *carry)
-    # A narrow written table: the texts are read once for any number of passes below.
-    docs = materialise(docs.withColumn("h", F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")), "mix-sizes")
-
-    sums = docs.groupBy("source").agg(F.sum("size").alias("s"), F.count("*").alias("n")).limit(p.max_sources + 1).collect()
-    if len(sums) > p.max_sources:
-        raise ValueError(f"more than {p.max_sources} sources")
-    if not sums:
-        return docs.select("doc_id", "source", "size", *(F.lit(None).cast(t).alias(n) for n, t in (("source_size", "long"), ("target", "double"), ("taken", "long"), ("position", "double"), ("second_position", "double"))), *carry)
-    sums.sort(key=lambda r: (r.source is None, r.source or ""))
-    weights = list(itertools.islice(itertools.cycle(p.weights), len(sums)))
-    sizes = [int(r.s) for r in sums]
-    targets = fill(sizes, [float(w) for w in weights], p.share * sum(sizes), p.repeat) if sum(sizes) else [0.0] * len(sums)
-    shapes = list(itertools.islice(itertools.cycle(p.schedules), len(sums)))
-    parts = [max(1, -(-int(r.n) // p.bucket_rows)) for r in sums]
-    rows = [(r.source, s, float(t), n, list(map(float, shape))) for r, s, t, n, shape in zip(sums, sizes, targets, parts, shapes, strict=True)]
-    plan = spark.createDataFrame(rows, "src string, source_size long, target double, parts long, schedule array<double>")
-
-    # The broadcast side is the plan: a row per source, at most max_sources.
-    on = docs["source"].eqNullSafe(plan["src"])
+    docs = docs.withColumn("h", F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long"))
+    # A narrow written table: the texts are read once for any number of passes below. Equal rows become one with a number.
+    docs = materialise(docs.groupBy("doc_id", "source", "size", "h", *carry).agg(F.count("*").alias("copies")), "mix-sizes")
+
+    sources = docs.groupBy(F.col("source").alias("src")).agg(F.sum(F.col("size") * F.col("copies")).alias("size"), F.count("*").alias("rows"))
+    sources = materialise(dense_ids(sources.withColumn("k", F.struct(F.col("src").isNull(), "src")), "k", "i").drop("k"), "mix-sources")
+    of = lambda values: F.element_at(values, (F.col("i") % F.size(values) + 1).cast("int"))
+    weights = F.array(*(F.lit(float(w)) for w in p.weights))
+    schedules = F.array(*(F.array(*(F.lit(float(x)) for x in shape)) for shape in p.schedules))
+    sources = sources.select("src", "size", F.greatest(F.lit(1), F.ceil(F.col("rows") / p.bucket_rows)).alias("parts"), of(weights).alias("weight"), of(schedules).alias("schedule"))
+    total = sources.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    plan = materialise(fill(sources, p.share * total, p.repeat).select("src", F.col("size").alias("source_size"), "target", "parts", "schedule"), "mix-plan")
+
     width = F.ceil(F.lit(float(1 << 60)) / F.col("parts")).cast("long")
-    placed = docs.join(F.broadcast(plan), on).drop("src").withColumn("bucket", F.floor(F.col("h") / width).cast("long"))
-    per_bucket = placed.groupBy("source", "bucket").agg(F.sum("size").alias("inside"))
-    before = materialise(per_bucket.select("source", "bucket", (F.sum("inside").over(W.partitionBy("source").orderBy("bucket")) - F.col("inside")).alias("ahead")), "mix-buckets")
-    before = before.withColumnsRenamed({"source": "src", "bucket": "b"})
-    run = F.sum("size").over(W.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", *carry).rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = placed.withColumn("inner", run - F.col("size")).join(before, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("b")))
-    at = F.col("ahead") + F.col("inner")
+    placed = docs.join(plan, docs["source"].eqNullSafe(plan["src"])).drop("src").withColumn("bucket", F.floor(F.col("h") / width).cast("long")).withColumn("group", F.floor(F.col("bucket") / p.group_buckets))
+    words = F.col("size") * F.col("copies")
+    per_bucket = materialise(placed.groupBy("source", "group", "bucket").agg(F.sum(words).alias("inside")), "mix-buckets")
+    per_group = per_bucket.groupBy("source", "group").agg(F.sum("inside").alias("n"))
+    # A row for each million documents of a source, and then for each thousand of a group, meets in a window.
+    groups = per_group.select(F.col("source").alias("src"), F.col("group").alias("g"), (F.sum("n").over(W.partitionBy("source").orderBy("group")) - F.col("n")).alias("base"))
+    within = F.sum("inside").over(W.partitionBy("source", "group").orderBy("bucket")) - F.col("inside")
+    before = per_bucket.withColumn("within", within).join(groups, F.col("source").eqNullSafe(F.col("src")) & (F.col("group") == F.col("g")))
+    before = materialise(before.select(F.col("source").alias("src"), F.col("bucket").alias("b"), (F.col("base") + F.col("within")).alias("ahead")), "mix-ahead")
+    run = F.sum(words).over(W.partitionBy("source", "bucket").orderBy("h", F.col("doc_id").asc_nulls_first(), "size", *carry).rowsBetween(W.unboundedPreceding, W.currentRow))
+    rows = placed.withColumn("inner", run - words).join(before, F.col("source").eqNullSafe(F.col("src")) & (F.col("bucket") == F.col("b")))
+    # Equal rows come apart again, a million at a time.
+    many = 1_000_000
+    rows = rows.withColumn("_m", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / many))))
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.col("_m") * many, F.least((F.col("_m") + 1) * many, F.col("copies")) - 1)))
+    at = F.col("ahead") + F.col("inner") + F.col("_i") * F.col("size")
     goal = F.round("target").cast("long")
     # Where each copy of this document begins among the source's words, and how much of it the target leaves.
     second = at + F.col("source_size")

@@ -48,6 +48,10 @@ CONTEXT = {
 }
 _BEFORE = 24
 _BLOCK = 256
+_CHUNK = 4096
+#: A candidate has 164 characters at most, and in as many characters begin no more than 76 candidates, as those of a kind
+#: don't overlap and have 6 (email), 15 (ip), 13 (card) and 8 (phone) at least. So what overlaps a candidate is that near.
+_NEAR = 80
 
 
 @dataclass(frozen=True)
@@ -79,34 +83,52 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def matches(text: Column, pattern: str, need: Column) -> Column:
-    """array<struct<start, end, m>>: the non-overlapping matches of a pattern in code points.
+def blocks(values: Column) -> Column:
+    """An array in pieces of _BLOCK; the array must not be empty."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(values) - 1) / _BLOCK).cast("int")), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
 
-    What lies between the matches gives their places, summed up in blocks so that very many matches stay cheap. `need`
-    is a cheap condition that holds for every text with a match."""
-    none = F.array().cast("array<struct<start:bigint,end:bigint,m:string>>")
-    zero = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
-    span = lambda a, e, m: F.struct(a.alias("start"), e.alias("end"), m.alias("m"))
+
+def most_before(values: Column) -> Column:
+    """For each number of an array the greatest one ahead of it, and 0 for the first; by blocks, so that arrays stay short."""
+    start = lambda m: F.struct(m.alias("m"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct(F.greatest(acc["m"], x).alias("m"), F.concat(acc["out"], F.array(acc["m"])).alias("out"))
+    zero = F.lit(0).cast("long")
+    inner = lambda parts: F.flatten(F.zip_with(parts, F.aggregate(F.transform(parts, F.array_max), start(zero), step, lambda acc: acc["out"]), lambda part, m: F.aggregate(part, start(m), step, lambda acc: acc["out"])))
+    return F.when(F.size(values) > 0, let(blocks(values), inner)).otherwise(F.array().cast("array<bigint>"))
+
+
+_MATCH = "array<struct<start:bigint,end:bigint,m:string,before:string,after:string>>"
+
+
+def matches(text: Column, pattern: str, need: Column, context: bool = False) -> Column:
+    """array<struct<start, end, m, before, after>>: the non-overlapping matches of a pattern in code points.
+
+    What lies between the matches gives their places, summed up in blocks so that very many matches stay cheap. before and
+    after, if asked for, are the characters beside a match, as far back as the match ahead of it begins; they come from
+    what lies between too, so no text is walked again for each match. `need` is a cheap condition that holds for every text
+    with a match."""
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_MATCH).alias("out"))
+    span = lambda x, a: F.struct(a.alias("start"), (a + x["n"]).alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"))
 
     def step(acc, x):
         a = acc["at"] + x["g"]
-        e = a + _long(x["m"])
-        return F.struct(e.alias("at"), F.concat(acc["out"], F.array(span(a, e, x["m"]))).alias("out"))
+        return F.struct((a + x["n"]).alias("at"), F.concat(acc["out"], F.array(span(x, a))).alias("out"))
 
     def join(acc, b):
-        moved = F.transform(b["out"], lambda x: span(x["start"] + acc["at"], x["end"] + acc["at"], x["m"]))
+        moved = F.transform(b["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
         return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
 
-    def blocks(steps):
-        numbers = F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / _BLOCK).cast("int"))
-        return F.transform(numbers, lambda b: F.aggregate(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK)), zero, step))
+    def places(found):
+        def steps(gaps):
+            none = F.lit("")
+            before = lambda i: F.right(F.concat(F.coalesce(F.get(found, i - 1), none), gaps[i]), F.lit(_BEFORE))
+            after = lambda i: F.substring(F.concat(gaps[i + 1], F.coalesce(F.get(found, i + 1), none)), 1, 1)
+            return F.transform(found, lambda m, i: F.struct(_long(gaps[i]).alias("g"), _long(m).alias("n"), m.alias("m"), (before(i) if context else none).alias("before"), (after(i) if context else none).alias("after")))
 
-    def steps(found):
-        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(found))
-        return F.zip_with(gaps, found, lambda g, m: F.struct(_long(g).alias("g"), m.alias("m")))
+        all_ = lambda x: F.aggregate(F.transform(blocks(x), lambda part: F.aggregate(part, zero, step)), zero, join, lambda acc: acc["out"])
+        return let(F.split(text, pattern, -1), lambda gaps: let(steps(gaps), all_))
 
-    places = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda found: let(steps(found), lambda x: F.aggregate(blocks(x), zero, join, lambda acc: acc["out"])))
-    return F.when(need & F.rlike(text, F.lit(pattern)), places).otherwise(none)
+    return F.when(need & F.rlike(text, F.lit(pattern)), let(F.regexp_extract_all(text, F.lit(pattern), 0), places)).otherwise(F.array().cast(_MATCH))
 
 
 def digits(m: Column) -> Column:
@@ -144,38 +166,29 @@ def _needs(text: Column) -> dict[str, Column]:
     return {"email": has("@"), "ip": digit & has("."), "card": digit, "phone": has("+"), "wide_email": F.rlike(text, F.lit(r"@|[(\[ ](?:at|AT)[)\] ]")), "wide_ip": has(":"), "wide_card": digit, "wide_phone": digit}
 
 
-def _tagged(spans: Column, kind: str) -> Column:
-    return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), x["m"].alias("m")))
-
-
-def base_spans(text: Column) -> Column:
-    """array<struct<start, kind, end, m>> of all kinds, sorted by start and then kind."""
-    need = _needs(text)
-
-    def valid(k: str) -> Column:
-        return F.filter(matches(text, BASE[k], need[k]), lambda x: CHECKS[k](x["m"]))
-
-    return F.array_sort(F.concat(*(_tagged(valid(k), k) for k in KINDS)))
+def base_of(text: Column, kind: str) -> Column:
+    """The base spans of a kind, in order."""
+    found = F.filter(matches(text, BASE[kind], _needs(text)[kind]), lambda x: CHECKS[kind](x["m"]))
+    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"), x["m"].alias("m")))
 
 
 def candidates(text: Column) -> Column:
-    """What the wider generators propose; candidates of different kinds may overlap."""
+    """What the wider generators propose, sorted by start and kind; candidates of different kinds may overlap."""
     need = _needs(text)
-    return F.concat(*(_tagged(matches(text, WIDE[k], need[f"wide_{k}"]), k) for k in KINDS))
+    tagged = lambda k: F.transform(matches(text, WIDE[k], need[f"wide_{k}"], context=True), lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(k)).alias("kind"), x["end"].alias("end"), x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after")))
+    return F.array_sort(F.concat(*(tagged(k) for k in KINDS)))
 
 
 FEATURES = ("kind", "n_chars", "n_digits", "n_groups", "luhn", "first_zero", "paren", "dots", "dashes", "spaces", "letters", "before_word", "after_word", *(f"says_{k}" for k in CONTEXT))
 
 
-def feature_values(text: Column, c: Column) -> list[Column]:
+def feature_values(c: Column) -> list[Column]:
     """The features of a candidate, in the order of FEATURES, as doubles."""
-    m, d = c["m"], digits(c["m"])
-    before = F.substring(text, F.greatest(c["start"] - _BEFORE, F.lit(0)).cast("int") + 1, F.least(c["start"], F.lit(_BEFORE)).cast("int"))
-    after = F.substring(text, c["end"].cast("int") + 1, F.lit(1))
+    m, d, before = c["m"], digits(c["m"]), c["before"]
     count = lambda s: F.length(m) - F.length(F.replace(m, F.lit(s), F.lit("")))
     values = [
         c["kind"], F.length(m), F.length(d), F.size(F.split(m, "[^0-9A-Za-z]+", -1)), luhn(d), F.startswith(d, F.lit("0")), F.contains(m, F.lit("(")), count("."), count("-"), count(" "),
-        F.length(F.regexp_replace(m, "[^A-Za-z]", "")), F.rlike(before, F.lit(r"[\p{L}0-9]$")), F.rlike(after, F.lit(r"[\p{L}0-9]")), *(F.rlike(before, F.lit(p)) for p in CONTEXT.values()),
+        F.length(F.regexp_replace(m, "[^A-Za-z]", "")), F.rlike(before, F.lit(r"[\p{L}0-9]$")), F.rlike(c["after"], F.lit(r"[\p{L}0-9]")), *(F.rlike(before, F.lit(p)) for p in CONTEXT.values()),
     ]
     return [v.cast("double") for v in values]
 
@@ -275,7 +288,7 @@ def _fit(spark: SparkSession, p: PiiParams) -> Model:
     book = [{"t": t, "s": s, "e": e, "y": y} for t, s, e, y in phrase_book(p)]
     rows = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(book)), "array<struct<t:string,s:bigint,e:bigint,y:int>>")).alias("b")).select("b.*")
     seen = rows.select("s", "e", "y", "t", F.explode(candidates(F.col("t"))).alias("c"))
-    got = seen.select("s", "e", "y", F.col("c.start").alias("cs"), F.col("c.end").alias("ce"), *(v.alias(n) for n, v in zip(FEATURES, feature_values(F.col("t"), F.col("c")), strict=True))).collect()
+    got = seen.select("s", "e", "y", F.col("c.start").alias("cs"), F.col("c.end").alias("ce"), *(v.alias(n) for n, v in zip(FEATURES, feature_values(F.col("c")), strict=True))).collect()
     x = np.array([[r[n] for n in FEATURES] for r in got], float)
     y = np.array([r.y == 1 and r.s == r.cs and r.e == r.ce for r in got], float)
     return boost(x, y, x[:, 0].astype(int), p)
@@ -288,24 +301,39 @@ def _case(tree, values: list[Column]) -> Column:
     return F.when(values[f] < cut, _case(low, values)).otherwise(_case(high, values))
 
 
-def added_spans(text: Column, base: Column, model: Model) -> Column:
-    """The candidates that the model takes, none of which overlaps a base span or a likelier one."""
+def _ahead(base: Column, found: Column) -> Column:
+    """For each candidate the number of base spans of a sorted array that begin where it does or before: one sort."""
+    place = lambda x, t: F.struct(x["start"].alias("start"), F.lit(t).alias("t"))
+    both = F.array_sort(F.concat(F.transform(base, lambda x: place(x, 0)), F.transform(found, lambda x: place(x, 1))))
+    own = F.filter(F.transform(both, lambda x, i: F.struct(x["t"].alias("t"), i.alias("i"))), lambda x: x["t"] == 1)
+    return F.transform(own, lambda x, k: x["i"] - k)
 
-    def rated(c):
-        return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m"), F.array(*feature_values(text, c)).alias("f"))
 
-    def judged(c):
-        total = functools.reduce(lambda a, b: a + b, (_case(t, [c["f"][i] for i in range(len(FEATURES))]) for t in model.trees))
-        prob = 1 / (1 + F.exp(-(F.lit(model.slope) * total + F.lit(model.shift))))
-        return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m"), prob.alias("p"))
+def _hits(base: Column, found: Column, ahead: Column) -> Column:
+    """For each candidate whether a base span overlaps it. Those of a kind don't overlap, so the two beside it decide."""
 
-    cuts = F.array(*(F.lit(model.thresholds[k]) for k in KINDS))
-    apart = F.filter(candidates(text), lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    taken = F.filter(F.transform(F.transform(apart, rated), judged), lambda c: c["p"] >= cuts[c["kind"]])
+    def hit(c, k):
+        r = ahead[k]
+        return F.coalesce(F.get(base, r - 1)["end"] > c["start"], F.lit(False)) | F.coalesce(F.get(base, r)["start"] < c["end"], F.lit(False))
+
+    return F.transform(found, hit)
+
+
+def judged(c: Column, model: Model) -> Column:
+    """The candidate with its probability."""
+    features = F.array(*feature_values(c))
+    total = lambda f: functools.reduce(lambda a, b: a + b, (_case(t, [f[i] for i in range(len(FEATURES))]) for t in model.trees))
+    prob = lambda f: 1 / (1 + F.exp(-(F.lit(model.slope) * total(f) + F.lit(model.shift))))
+    return F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m"), let(features, prob).alias("p"))
+
+
+def best(taken: Column) -> Column:
+    """Of sorted candidates with their probabilities those that no likelier one overlaps."""
     rank = lambda c: F.struct(c["p"], -c["start"], -c["kind"])
-    beaten = lambda c, all_: F.exists(all_, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) > rank(c)))
-    best = let(taken, lambda all_: F.filter(all_, lambda c: ~beaten(c, all_)))
-    return F.transform(best, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m")))
+    beats = lambda o, c: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) > rank(c))
+    near = lambda i: F.slice(taken, F.greatest(i + 1 - _NEAR, F.lit(1)), F.lit(2 * _NEAR + 1))
+    kept = F.filter(taken, lambda c, i: ~F.exists(near(i), lambda o: beats(o, c)))
+    return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m")))
 
 
 def joined(spans: Column) -> Column:
@@ -315,16 +343,27 @@ def joined(spans: Column) -> Column:
 
 
 def _with_spans(documents: DataFrame, p: PiiParams) -> DataFrame:
-    """All columns and, by names of its own, the text without null and its spans."""
+    """All columns and, by names of its own, the text without null and its spans.
+
+    Each step is a column of its own, which the plan computes once. All steps are sorts and passes over a text's spans."""
     model = _fit(documents.sparkSession, p)
-    base = documents.withColumn("_pii_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_pii_base", base_spans(F.col("_pii_text")))
-    return base.withColumn("_pii_spans", F.array_sort(F.concat("_pii_base", added_spans(F.col("_pii_text"), F.col("_pii_base"), model))))
+    text, col = F.col("_pii_text"), lambda n, k="": F.col(f"_pii_{n}{k}")
+    out = documents.withColumn("_pii_text", F.coalesce(F.col("text").cast("string"), F.lit("")))
+    out = out.withColumns({f"_pii_base_{k}": base_of(text, k) for k in KINDS} | {"_pii_found": candidates(text)})
+    out = out.withColumns({f"_pii_ahead_{k}": _ahead(col("base_", k), col("found")) for k in KINDS})
+    out = out.withColumns({f"_pii_hits_{k}": _hits(col("base_", k), col("found"), col("ahead_", k)) for k in KINDS})
+    free = F.filter(col("found"), lambda c, i: ~functools.reduce(lambda a, b: a | b, (col("hits_", k)[i] for k in KINDS)))
+    cuts = F.array(*(F.lit(model.thresholds[k]) for k in KINDS))
+    out = out.withColumn("_pii_taken", F.filter(F.transform(free, lambda c: judged(c, model)), lambda c: c["p"] >= cuts[c["kind"]]))
+    out = out.withColumn("_pii_base", F.array_sort(F.concat(*(col("base_", k) for k in KINDS))))
+    return out.withColumn("_pii_spans", F.array_sort(F.concat("_pii_base", best(col("taken")))))
 
 
 def redact_documents(documents: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     """The same rows and columns with each span of text replaced by its mark; a null text stays null."""
     found = _with_spans(documents, p)
-    return found.withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("_pii_text"), F.col("_pii_spans")))).select(*documents.columns)
+    found = found.withColumn("_pii_cut", to_cut(F.col("_pii_spans"))).withColumn("_pii_chunks", F.when(F.size("_pii_cut") > 0, chunks(F.col("_pii_text"))))
+    return found.withColumn("text", F.when(F.col("text").isNotNull(), redact(F.col("_pii_text"), F.col("_pii_cut"), F.col("_pii_chunks")))).select(*documents.columns)
 
 
 def find(documents: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
@@ -336,24 +375,73 @@ def find(documents: DataFrame, p: PiiParams = PiiParams()) -> DataFrame:
     return _with_spans(docs, p).select("doc_id", F.col("_pii_text").alias("text"), F.col("_pii_base").alias("base"), F.col("_pii_spans").alias("spans"))
 
 
-def redact(text: Column, spans: Column) -> Column:
-    """The text with [EMAIL], [IP], [CARD] or [PHONE] in place of sorted spans; overlapping spans give one mark, the first's."""
+def to_cut(spans: Column) -> Column:
+    """Of sorted spans those that begin behind all before them, with `from`, where the text goes on ahead of each; and at
+    the end one without a kind, for the rest of the text. Overlapping spans become one, of the first's kind."""
+    ahead = lambda all_: most_before(F.transform(all_, lambda x: x["end"]))
+    cut = lambda all_: let(ahead(all_), lambda m: F.filter(F.transform(all_, lambda x, i: F.struct(m[i].alias("from"), x["start"].alias("start"), x["kind"].alias("kind"))), lambda x: x["start"] >= x["from"]))
+    rest = lambda all_: F.struct(F.array_max(F.transform(all_, lambda x: x["end"])).alias("from"), F.lit(None).cast("long").alias("start"), F.lit(None).cast("int").alias("kind"))
+    return F.when(F.size(spans) > 0, let(spans, lambda all_: F.concat(cut(all_), F.array(rest(all_))))).otherwise(F.array().cast("array<struct<from:bigint,start:bigint,kind:int>>"))
+
+
+def chunks(text: Column) -> Column:
+    """A text in pieces of _CHUNK code points, so that no place in it is far from the beginning of a piece."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_CHUNK}}}"), 0)
+
+
+def _piece(parts: Column, a: Column, b: Column) -> Column:
+    """The code points a to b, b exclusive, of a text in chunks; to its end if b is null."""
+    i = F.floor(a / _CHUNK).cast("int")
+    j = F.coalesce(F.floor((b - 1) / _CHUNK).cast("int"), F.size(parts) - 1)
+    head = F.coalesce(F.get(parts, i), F.lit(""))
+    off = (a - i * _CHUNK).cast("int")
+    last = F.when(b.isNull(), F.coalesce(F.get(parts, j), F.lit(""))).otherwise(F.substring(F.coalesce(F.get(parts, j), F.lit("")), F.lit(1), (b - j * _CHUNK).cast("int")))
+    middle = F.array_join(F.slice(parts, i + 2, F.greatest(j - i - 1, F.lit(0))), "")
+    inside = F.substring(head, off + 1, F.coalesce((b - a).cast("int"), F.lit(_CHUNK)))
+    return F.when(b <= a, "").when(i >= j, inside).otherwise(F.concat(F.substring(head, off + 1, F.lit(_CHUNK)), middle, last))
+
+
+def redact(text: Column, cut: Column, parts: Column) -> Column:
+    """The text with [EMAIL], [IP], [CARD] or [PHONE] in place of what to_cut names; parts are the text's chunks."""
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
+    pieces = F.transform(cut, lambda x: F.concat(_piece(parts, x["from"], x["start"]), F.coalesce(F.get(marks, x["kind"]), F.lit(""))))
+    return F.when(F.size(cut) == 0, text).otherwise(F.array_join(pieces, ""))
 
-    def step(acc, x):
-        lead = F.substring(text, acc["at"].cast("int") + 1, (x["start"] - acc["at"]).cast("int"))
-        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(acc["out"], F.array(lead, marks[x["kind"]])).alias("out")))
 
-    tail = lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"].cast("int") + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.aggregate(spans, start, step, tail))
+def _counts() -> list[Column]:
+    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k))
+    return [of(k).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
 
 
 def op4_pii(spark, sf_dir: str) -> DataFrame:
     found = find(table(spark, sf_dir, "documents", "doc_id", "text"))
-
-    def count(k: int) -> Column:
-        return F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
-
-    counts = [count(k) for k in range(len(KINDS))]
-    return found.select("doc_id", *counts, F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), (F.size("spans") - F.size("base")).cast("long").alias("n_added"))
+    return found.select("doc_id", *_counts(), F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def pii_base(spark, sf_dir: str) -> DataFrame:
+    """The columns of op4_pii that SQL can express: those of the base spans, which the same operator gives."""
+    return op4_pii(spark, sf_dir).drop("spans")
+
+
+def _base_sql(kind: str) -> str:
+    """DuckDB SQL: the valid matches of a kind, placed by what lies between the matches."""
+    forms = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    number = "regexp_replace(m, '[^0-9]', '', 'g')"
+    checks = {
+        "email": "true",
+        "ip": "list_max(list_transform(string_split(m, '.'), lambda x: CASE WHEN length(ltrim(x, '0')) > 3 THEN 999 ELSE CAST(x AS INTEGER) END)) <= 255",
+        "card": f"length({number}) BETWEEN 14 AND 19 AND list_sum(list_transform(range(1, length({number}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({number})[i] AS INTEGER) ELSE list_extract([0, 2, 4, 6, 8, 1, 3, 5, 7, 9], CAST(reverse({number})[i] AS INTEGER) + 1) END)) % 10 = 0",
+        "phone": f"length({number}) BETWEEN 10 AND 15",
+    }
+    return f"""SELECT doc_id, rid, {KINDS.index(kind)} AS kind, upto - length(m) AS a, upto AS b FROM (
+      SELECT doc_id, rid, m, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + list_sum(list_transform(ms[1:i], lambda g: length(g))) AS upto
+      FROM (SELECT doc_id, rid, ms, gaps, unnest(ms) AS m, unnest(range(1, len(ms) + 1)) AS i FROM (
+        SELECT doc_id, rid, regexp_extract_all(text, '{forms[kind]}') AS ms, string_split_regex(text, '{forms[kind]}') AS gaps FROM d))) WHERE {checks[kind]}"""
+
+
+PII_BASE_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text FROM documents),
+s AS ({" UNION ALL ".join(_base_sql(k) for k in KINDS)}),
+g AS (SELECT rid, string_agg(['{"', '".join(KINDS)}'][kind + 1] || ':' || CAST(a AS BIGINT) || ':' || CAST(b AS BIGINT), ',' ORDER BY a, kind) AS joined, {", ".join(f"count(*) FILTER (kind = {k}) AS n_{name}" for k, name in enumerate(KINDS))} FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{name}, 0) AS BIGINT) AS n_{name}" for name in KINDS)}, sha256(coalesce(joined, '')) AS base_sha256 FROM d LEFT JOIN g ON g.rid = d.rid
+"""

@@ -1,7 +1,8 @@
 """Quality classifier: supervised subword embeddings.
 
-Every word, every character n-gram (3 to 5 characters, word ends included) and whether a word repeats the one before it are
-hashed into a table of learned vectors. A document is the average of its features' vectors, and a softmax over two classes reads it. Training is
+Every word, every pair of neighbouring words and every character n-gram (3 to 5 characters, word ends included) is
+hashed into a table of learned vectors. Pairs are hashed without order, by the exclusive or of their words' hashes; so a
+word beside itself gives one and the same feature, whatever the word. A document is the average of its features' vectors, and a softmax over two classes reads it. Training is
 stochastic gradient descent in numpy, on the driver, over a bounded sample of labelled documents (`max_labelled`, drawn by
 a hash of doc_id); scoring covers every document.
 
@@ -18,11 +19,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import table
-from .shingles import _SPACE, slices, utf8, word_bounds, word_hashes
+from .shingles import _SPACE, mix, slices, utf8, word_bounds, word_hashes
 
 
 @dataclass(frozen=True)
@@ -30,7 +32,10 @@ class QualityParams:
     bits: int = 17
     dim: int = 12
     ngrams: tuple[int, ...] = (3, 4, 5)
+    #: Training takes at most this many labelled rows, and of these, in their order, as many as have this many bytes in
+    #: all; texts are taken whole or not at all.
     max_labelled: int = 3000
+    max_bytes: int = 32 << 20
     #: Steps of gradient descent, one document each, however many are labelled.
     steps: int = 36_000
     rate: float = 2.0
@@ -45,13 +50,13 @@ def _code_points(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def features(column, p: QualityParams) -> Iterator[np.ndarray]:
-    """For each text the table rows of its features, with repeats: the document itself, its words, its n-grams
-    and, by rows 1 and 2, whether each word repeats the one before."""
+    """For each text the table rows of its features, with repeats: the document itself, its words, its pairs of words and
+    its n-grams."""
     raw, at = utf8(column)
     starts, ends, first = word_bounds(raw, at)
     words = word_hashes(raw, starts, ends, lower=False)
-    again = np.full(len(words), 2, np.int32)
-    again[1:][words[1:] == words[:-1]] = 1
+    pairs = np.zeros(len(words), np.int32)
+    pairs[1:] = (mix(words[1:] ^ words[:-1]) >> np.uint64(64 - p.bits)).astype(np.int32)
     words = (words >> np.uint64(64 - p.bits)).astype(np.int32)
     cp, at = _code_points(raw, at)
     space = (cp < 256) & _SPACE[np.minimum(cp, 255)]
@@ -74,7 +79,7 @@ def features(column, p: QualityParams) -> Iterator[np.ndarray]:
     one = np.zeros(1, np.int32)
     for i in range(len(at) - 1):
         a, b = at[i], at[i + 1]
-        parts = [one, words[first[i] : first[i + 1]], again[first[i] + 1 : first[i + 1]]]
+        parts = [one, words[first[i] : first[i + 1]], pairs[first[i] + 1 : first[i + 1]]]
         for n, rows, whole in grams:
             if b - a >= n:
                 parts.append(rows[a : b - n + 1][whole[a : b - n + 1]])
@@ -121,11 +126,24 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def fit(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> np.ndarray:
-    """Learn from at most `max_labelled` labelled documents outside the held-out fold."""
+def sample(documents: DataFrame, labels: DataFrame, p: QualityParams) -> DataFrame:
+    """doc_id, quality, text of the labelled rows to learn from: one row per id, in the order of a hash, within the limits."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
-    ids = documents.select("doc_id").distinct()
-    chosen = known.join(ids, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    # Narrow rows first: an id that occurs often counts as one row, its smallest text by hash.
+    rows = documents.select("doc_id", F.xxhash64("text").alias("h"), size.alias("size")).join(known, "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("h", "size")).alias("t")).select("doc_id", "quality", "t.h", "t.size")
+    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.max_labelled)
+    # At most max_labelled rows meet in this window.
+    upto = F.sum("size").over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = rows.withColumn("upto", upto).where(F.col("upto") <= p.max_bytes).select("doc_id", "quality", "h")
+    # The broadcast side has at most max_labelled rows of three numbers.
+    texts = documents.withColumn("h", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "h"])
+    return texts.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text").dropDuplicates(["doc_id"])
+
+
+def fit(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParams()) -> np.ndarray:
+    """Learn from a bounded sample of the labelled documents outside the held-out fold."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,9 +154,7 @@ def fit(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParam
                     names=["doc_id", "quality", "rows", "counts"],
                 )
 
-    # The broadcast side has at most max_labelled rows of two numbers.
-    texts = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), F.col("quality").cast("int"), "text")
-    got = sorted(texts.mapInArrow(kernel, "doc_id long, quality int, rows binary, counts binary").collect())
+    got = sorted(sample(documents, labels, p).mapInArrow(kernel, "doc_id long, quality int, rows binary, counts binary").collect())
     bags = [(np.frombuffer(r.rows, np.int32), np.frombuffer(r.counts, np.int32)) for r in got]
     return train(bags, np.asarray([r.quality for r in got], np.int64), p)
 

@@ -15,12 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_vectors": vectors.op9_vectors,
     "op10_topk": topk.op10_topk,
+    "pii_base": pii.pii_base,
 }
 
 ORACLES = {
     "op1_warc": warc.OP1_SQL,
     "op2_urls": urls.OP2_SQL,
     "op5_near_dup": near_dup.OP5_SQL,
+    "pii_base": pii.PII_BASE_SQL,
     "op6_chat": chat.OP6_SQL,
     "op8_mixing": mixing.OP8_SQL,
     "op9_vectors": vectors.OP9_SQL,

@@ -1,9 +1,10 @@
 """Embedding near-duplicates by int8 tile products with rigorous error bounds.
 
 Vectors are scaled to length 1 and compared inside their label only. Equal vectors form classes, of which one row goes on.
-A label's rows are cut into tiles along one projection, so that tiles whose intervals lie too far apart need not meet (for
-unit vectors with cosine c the projections differ by sqrt(2 - 2 c) at most). Each pair of tiles is one row of the join and
-one task's work: an integer product of the int8 vectors estimates all cosines at once, with
+A label's rows are cut into tiles by the nearest of some pivots and their distance from it; a tile knows its least and
+greatest distance from every pivot. By the triangle inequality tiles whose ranges lie too far apart for any one pivot need
+not meet (unit vectors with cosine c are sqrt(2 - 2 c) apart). Each pair of tiles is one row of the join and one task's
+work: an integer product of the int8 vectors estimates all cosines at once, with
 
     |cos(x, y) - s_x s_y <q_x, q_y>| <= e_x + e_y + e_x e_y,    e = |x / |x| - s q|
 
@@ -18,9 +19,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import materialise, table
 from .components import components
@@ -30,8 +33,8 @@ from .components import components
 class VectorParams:
     cosine: float = 0.98
     tile: int = 1024
-    #: Seed of the random directions of which the one that spreads a bounded sample most cuts the tiles.
-    seed: int = 11
+    #: Pivots are taken from a bounded sample, each the furthest from those before it.
+    pivots: int = 24
     sample: int = 2000
 
 
@@ -109,9 +112,8 @@ def near_vectors(embeddings: DataFrame, p: VectorParams = VectorParams()) -> Dat
     fit = fit.withColumn("e", F.transform("e", lambda x: x + F.lit(0.0)))
     classes = materialise(fit.groupBy("label", "e").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "vec-classes")
 
-    cut = _direction(classes, p)
-    placed = classes.withColumn("along", cut(F.col("e"))).withColumn("dim", F.size("e"))
-    tiles = materialise(_tiled(placed, p), "vec-tiles")
+    pivots = _pivots(classes, p)
+    tiles = materialise(_tiled(materialise(_placed(classes, pivots), "vec-placed"), pivots, p), "vec-tiles")
     edges, counts = _tile_links(tiles, p)
     comps = components(edges)
 
@@ -126,61 +128,75 @@ def near_vectors(embeddings: DataFrame, p: VectorParams = VectorParams()) -> Dat
     return out.select("vec_id", n_links.alias("n_links"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
-def _direction(classes: DataFrame, p: VectorParams):
-    """A unit direction for each vector length, as an expression for the projection of the unit vector.
+#: What rounding may add to a distance between unit vectors.
+_SLACK = 1e-6
 
-    Any direction gives right results; the main axis of a bounded sample spreads the tiles well."""
-    rng, found = np.random.default_rng(p.seed), {}
-    sample = classes.orderBy(F.xxhash64("rep")).limit(p.sample).select("e").collect()
+
+def _pivots(classes: DataFrame, p: VectorParams) -> dict[int, np.ndarray]:
+    """For each vector length in a bounded sample some unit vectors that lie far apart. Any pivots give right results, and
+    so do none."""
     by_dim: dict[int, list] = {}
-    for r in sample:
+    for r in classes.orderBy(F.xxhash64("rep")).limit(p.sample).select("e").collect():
         by_dim.setdefault(len(r.e), []).append(r.e)
+    found = {}
     for dim, got in by_dim.items():
         u = unit(np.asarray(got))
-        v = rng.normal(size=dim)
-        for _ in range(20):
-            v = (u - u.mean(0)).T @ ((u - u.mean(0)) @ v)
-            v = v / (np.linalg.norm(v) or 1.0)
-        found[dim] = v if np.linalg.norm(v) > 0.5 else np.eye(dim)[0]
-
-    def along(e: Column) -> Column:
-        out = F.lit(0.0)
-        top = F.array_max(F.transform(e, F.abs))
-        scaled = F.transform(e, lambda x: x / top)
-        length = F.sqrt(F.aggregate(scaled, F.lit(0.0), lambda a, x: a + x * x))
-        for dim, v in found.items():
-            axis = F.array(*(F.lit(float(x)) for x in v))
-            dot = F.aggregate(F.zip_with(scaled, axis, lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-            out = F.when(F.size(e) == dim, dot / length).otherwise(out)
-        return out
-
-    return along
-
-
-def _tiled(placed: DataFrame, p: VectorParams) -> DataFrame:
-    """One row per tile: label, dim, tile, lo, hi and the packed rows.
-
-    Tiles are runs of about p.tile rows of a label along the projection. A histogram of fine cells gives the runs, so no
-    label is sorted in one task; a cell that alone exceeds a tile is dealt on by hash."""
-    cells = 1 << 14
-    cell = F.floor((F.col("along") + 1) * (cells / 2)).cast("int")
-    cut = placed.withColumn("cell", cell)
-    counts = cut.groupBy("label", "dim", "cell").agg(F.count("*").alias("n"))
-    # At most `cells` rows per label meet in this window.
-    before = F.sum("n").over(W.partitionBy("label", "dim").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
-    starts = materialise(counts.select("label", "dim", "cell", F.floor(before / p.tile).cast("int").alias("run"), F.ceil(F.col("n") / p.tile).cast("int").alias("parts")), "vec-cells")
-    dealt = cut.join(starts, ["label", "dim", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+        chosen, least = [0], distances(u, u[:1])[:, 0]
+        while len(chosen) < p.pivots and least.max() > 0.1:
+            chosen.append(int(least.argmax()))
+            least = np.minimum(least, distances(u, u[chosen[-1:]])[:, 0])
+        found[dim] = u[chosen]
+    return found
+
+
+def distances(u: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Between unit vectors, to _SLACK."""
+    return np.sqrt(np.maximum(2 - 2 * (u @ pivots.T), 0))
+
+
+def _placed(classes: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """classes with dim, the number of the nearest pivot and the distance from it."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            e = batch.column("e")
+            offsets, values = e.offsets.to_numpy(), e.values.to_numpy(zero_copy_only=False)
+            dims, nearest, far = np.diff(offsets).astype(np.int32), np.zeros(len(e), np.int32), np.zeros(len(e))
+            for dim in np.unique(dims).tolist():
+                if dim in pivots:
+                    at = np.flatnonzero(dims == dim)
+                    for i in np.array_split(at, -(-len(at) * dim // 1_000_000)):
+                        d = distances(unit(values[offsets[i][:, None] + np.arange(dim)]), pivots[dim])
+                        nearest[i], far[i] = d.argmin(1), d.min(1)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(dims), pa.array(nearest), pa.array(far)], names=[*batch.schema.names, "dim", "pivot", "far"])
+
+    return classes.mapInArrow(kernel, T.StructType([*classes.schema.fields, T.StructField("dim", T.IntegerType()), T.StructField("pivot", T.IntegerType()), T.StructField("far", T.DoubleType())]))
+
+
+def _tiled(placed: DataFrame, pivots: dict[int, np.ndarray], p: VectorParams) -> DataFrame:
+    """One row per tile: label, dim, tile, least and greatest distances from the pivots, and the packed rows.
+
+    Tiles are runs of about p.tile rows of a label and pivot in the order of their distance from it. A histogram of fine
+    cells gives the runs, so no label is sorted in one task; a cell that alone exceeds a tile is dealt on by hash."""
+    cells = 1 << 13
+    cut = placed.withColumn("cell", F.floor(F.col("far") * (cells / 2)).cast("int"))
+    counts = cut.groupBy("label", "dim", "pivot", "cell").agg(F.count("*").alias("n"))
+    # At most `cells` rows per label and pivot meet in this window.
+    before = F.sum("n").over(W.partitionBy("label", "dim", "pivot").orderBy("cell").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n")
+    starts = materialise(counts.select("label", "dim", "pivot", "cell", F.floor(before / p.tile).cast("int").alias("run"), F.ceil(F.col("n") / p.tile).cast("int").alias("parts")), "vec-cells")
+    dealt = cut.join(starts, ["label", "dim", "pivot", "cell"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("rep", kind="stable")
         x = np.stack(pdf["e"].to_numpy()).astype("<f8")
-        q, scale, error = quantise(unit(x))
-        one = pdf.iloc[0]
+        u, one = unit(x), pdf.iloc[0]
+        q, scale, error = quantise(u)
+        d = distances(u, pivots[x.shape[1]]) if x.shape[1] in pivots else np.zeros((len(x), 0))
         raw = {"ids": pdf["rep"].to_numpy("<i8"), "copies": pdf["copies"].to_numpy("<i8"), "x": x, "q": q, "scale": scale, "error": error}
-        return pd.DataFrame({"label": [one["label"]], "dim": [one["dim"]], "run": [one["run"]], "part": [one["part"]], "lo": [pdf["along"].min()], "hi": [pdf["along"].max()], **{k: [v.tobytes()] for k, v in raw.items()}})
+        return pd.DataFrame({"label": [one["label"]], "dim": [one["dim"]], "lo": [d.min(0)], "hi": [d.max(0)], **{k: [v.tobytes()] for k, v in raw.items()}})
 
-    schema = "label string, dim int, run int, part int, lo double, hi double, ids binary, copies binary, x binary, q binary, scale binary, error binary"
-    packed = dealt.select("label", "dim", "run", "part", "rep", "copies", "e", "along").groupBy("label", "dim", "run", "part").applyInPandas(pack, schema)
+    schema = "label string, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary, q binary, scale binary, error binary"
+    packed = dealt.select("label", "dim", "pivot", "run", "part", "rep", "copies", "e").groupBy("label", "dim", "pivot", "run", "part").applyInPandas(pack, schema)
     return packed.withColumn("tile", F.monotonically_increasing_id())
 
 
@@ -218,22 +234,19 @@ def _tile_links(tiles: DataFrame, p: VectorParams) -> tuple[DataFrame, DataFrame
                     out.append(pd.DataFrame({"a": [e[0] for e in edges], "b": [e[1] for e in edges], "edge": True}))
                 yield pd.concat(out, ignore_index=True)
 
-    reach = float(np.sqrt(max(0.0, 2 - 2 * p.cosine)) + 1e-9)
+    reach = float(np.sqrt(max(0.0, 2 - 2 * p.cosine)) + 2 * _SLACK)
     side = lambda s: tiles.select("label", "dim", *(F.col(c).alias(f"{s}_{c}") for c in ("tile", "lo", "hi")))
-    near = side("l").join(side("r"), ["label", "dim"]).where(f"l_tile <= r_tile and l_lo <= r_hi + {reach} and r_lo <= l_hi + {reach}")
+    apart = lambda lo, hi: F.exists(F.zip_with(lo, hi, lambda a, b: a > b + reach), lambda x: x)
+    near = side("l").join(side("r"), ["label", "dim"]).where((F.col("l_tile") <= F.col("r_tile")) & ~apart("l_lo", "r_hi") & ~apart("r_lo", "l_hi"))
     load = lambda s: tiles.select(F.col("tile").alias(f"{s}_tile"), *(F.col(c).alias(f"{s}_{c}") for c in _PACKED))
-    pairs = near.select("dim", "l_tile", "r_tile").join(load("l"), "l_tile").join(load("r"), "r_tile")
-    spread = pairs.repartition(_task_count(tiles, p), "l_tile", "r_tile")
+    near = materialise(near.select("dim", "l_tile", "r_tile"), "vec-pairs")
+    pairs = near.join(load("l"), "l_tile").join(load("r"), "r_tile")
+    # About eight pairs of tiles for each task.
+    spread = pairs.repartition(max(1, min(100_000, near.count() // 8 + 1)), "l_tile", "r_tile")
     met = materialise(spread.mapInPandas(meet, "a long, b long, edge boolean"), "vec-links")
     return met.where("edge").select("a", "b"), met.where("not edge").select(F.col("a").alias("rep"), F.col("b").alias("n"))
 
 
-def _task_count(tiles: DataFrame, p: VectorParams) -> int:
-    """About eight pairs of tiles for each task, as if all tiles of a label met."""
-    n = tiles.groupBy("label", "dim").count().agg(F.sum(F.col("count") * (F.col("count") + 1) / 2).alias("n")).first().n
-    return max(1, min(20_000, int((n or 0) // 8) + 1))
-
-
 def op9_vectors(spark, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
 

@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from streetloom.llm import bpe, chat, mixing, near_dup, quality, shingles, topk, vectors, warc
+from streetloom.llm import bpe, chat, near_dup, quality, shingles, topk, vectors, warc
 
 
 def plain_shingles(text):
@@ -115,12 +115,6 @@ def test_bpe_equals_the_library():
         assert decoded.decode() == t.decode(expected, skip_special_tokens=False)
 
 
-def test_targets_stop_at_twice_the_size_and_reshare():
-    assert mixing.fill([100, 100, 100], [5.0, 2.0, 1.0], 450.0, 2.0) == [200.0, pytest.approx(500 / 3), pytest.approx(250 / 3)]
-    assert mixing.fill([], [], 0.0, 2.0) == []
-    assert sum(mixing.fill([10, 1000, 50, 0], [5, 2, 1, 5], 1590.0, 2.0)) == pytest.approx(1590)
-
-
 def test_threshold_search_equals_brute_force():
     r = np.random.default_rng(4)
     x = r.integers(-20, 20, (700, 12)).astype(float)

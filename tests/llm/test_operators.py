@@ -95,7 +95,7 @@ def plain_spans(text):
 def test_personal_data(spark):
     texts = ["a@b.c%x@y.zz ..@a.b.c. x@y", "1.2.3.4.5 300.1.1.1 0001.2.3.4 1.2.3", "4111 1111 1111 1111 and 4111-1111-1111-1111-", " +1 (555) 123-4567) +49 30 1234 567 89 +1234", "", None, "😀 a@b.cc 10.0.0.1", "n " * 50_000 + "q@r.st", "9" * 20_000, "1.1.1.1 " * 600]
     table = docs(spark, [*enumerate(texts), (None, "z@z.zz"), (0, texts[0])])
-    got = {r.doc_id: (r.base, r.spans, r.red) for r in pii.find(table).select("doc_id", pii.joined(F.col("base")).alias("base"), pii.joined(F.col("spans")).alias("spans"), pii.redact(F.col("text"), F.col("spans")).alias("red")).collect()}
+    got = {r.doc_id: (r.base, r.spans, r.red) for r in pii.find(table).select("doc_id", pii.joined(F.col("base")).alias("base"), pii.joined(F.col("spans")).alias("spans"), pii.redact(F.col("text"), pii.to_cut(F.col("spans")), pii.chunks(F.col("text"))).alias("red")).collect()}
     for i, t in enumerate(texts):
         assert got[i][0] == plain_spans(t) and set(got[i][0].split(",")) <= set(got[i][1].split(","))
     assert got[2][2].startswith("[CARD] and [CARD]") and got[6][2] == "😀 [EMAIL] [IP]"
@@ -187,6 +187,12 @@ def test_templates_learn_from_labelled_urls(spark):
     assert pure["/shop/*/buy"] == pytest.approx((30 + 4 * ((30 + 4 * 31 / 62) / 64)) / 34) and pure["/news/*"] < 0.1
 
 
+@pytest.mark.parametrize("sizes, weights, total, expected", [([100, 100, 100], [5, 2, 1], 450.0, [200.0, 500 / 3, 250 / 3]), ([], [], 0.0, []), ([0, 0], [5, 2], 0.0, [0.0, 0.0]), ([10, 1000, 50, 0], [5, 2, 1, 5], 1590.0, [20.0, 1470.0, 100.0, 0.0])])
+def test_targets_stop_at_twice_the_size_and_reshare(spark, sizes, weights, total, expected):
+    table = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))], "i int, size long, weight double")
+    assert [r.target for r in mixing.fill(table, total, 2.0).orderBy("i").collect()] == pytest.approx(expected)
+
+
 def test_mixture(spark):
     rows = [(i, "w " * (1 + i % 7), "ab"[i % 2]) for i in range(400)] + [(900, "x y z", None), (901, None, "a"), (902, "", None), (None, "p q", "b"), (903, "w", "zz")]
     got = mixing.mix(docs(spark, rows)).collect()
