@@ -64,13 +64,44 @@ def box(line: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x0"), F.array_min(ys).alias("y0"), F.array_max(xs).alias("x1"), F.array_max(ys).alias("y1"))
 
 
+_BLOCK = 256
+
+
+def running_sums(values: Column) -> Column:
+    """array<double>, one longer than the array: 0, the first number, the sum of the first two, and so on.
+
+    By blocks, so that the arrays that grow inside stay short and a long line costs in proportion to its points."""
+    empty = F.array().cast("array<double>")
+    start = lambda s: F.struct(s.alias("s"), empty.alias("out"))
+    step = lambda acc, x: F.struct((acc["s"] + x).alias("s"), F.concat(acc["out"], F.array(acc["s"])).alias("out"))
+    scan = lambda part, s: F.aggregate(part, start(s), step)
+    # A zero at the end makes the last sum one of those that are ahead of a number.
+    padded = F.concat(values, F.array(F.lit(0.0)))
+    numbers = F.sequence(F.lit(0), F.floor((F.size(padded) - 1) / _BLOCK).cast("int"))
+    blocks = F.transform(F.array(padded), lambda v: F.transform(numbers, lambda b: F.slice(v, b * _BLOCK + 1, F.lit(_BLOCK))))[0]
+    zero = F.lit(0.0)
+
+    def joined(parts):
+        # Each block begins with the sum that the one before it came to, as one scan over all would have it.
+        begin = F.struct(zero.alias("s"), F.array().cast("array<array<double>>").alias("out"))
+
+        def carry(acc, part):
+            got = scan(part, acc["s"])
+            return F.transform(F.array(got), lambda g: F.struct(g["s"].alias("s"), F.concat(acc["out"], F.array(g["out"])).alias("out")))[0]
+
+        return F.flatten(F.aggregate(parts, begin, carry, lambda acc: acc["out"]))
+
+    return F.transform(F.array(blocks), joined)[0]
+
+
 def segments(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     """One row per segment: key, seg, ax, ay, bx, by, before (length ahead of it), len."""
-    pairs = F.arrays_zip(F.sequence(F.lit(0), F.size(line) - 2).alias("i"), segment_lengths(F.col(line)).alias("l"))
-    rows = lines.where(F.size(line) >= 2).select(key, F.col(line).alias("_line"), F.inline(pairs).alias("seg", "len"))
-    a, b = F.col("_line")[F.col("seg")], F.col("_line")[F.col("seg") + 1]
-    ahead = F.aggregate(F.slice(segment_lengths(F.col("_line")), F.lit(1), F.col("seg")), F.lit(0.0), lambda s, x: s + x)
-    return rows.select(key, F.col("seg").cast("long").alias("seg"), a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"), ahead.alias("before"), "len")
+    rows = lines.where(F.size(line) >= 2).select(key, F.col(line).alias("_line")).withColumn("_len", segment_lengths(F.col("_line"))).withColumn("_sums", running_sums(F.col("_len")))
+    # Each row of the explosion holds its own two points and numbers only.
+    n = F.size("_len")
+    part = F.arrays_zip(F.slice("_line", F.lit(1), n).alias("a"), F.slice("_line", F.lit(2), n).alias("b"), F.slice("_sums", F.lit(1), n).alias("before"), F.col("_len").alias("len"))
+    rows = rows.select(key, F.posexplode(part).alias("seg", "s"))
+    return rows.select(key, F.col("seg").cast("long").alias("seg"), F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"), F.col("s.before").alias("before"), F.col("s.len").alias("len"))
 
 
 def densified(lines: DataFrame, key: str, step: float, line: str = "line") -> DataFrame:
@@ -84,6 +115,17 @@ def densified(lines: DataFrame, key: str, step: float, line: str = "line") -> Da
     return first.unionByName(inner)
 
 
+def middles(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
+    """(key, x, y): the point half way along each line; the only point of a line without length."""
+    long = lines.where(F.size(line) >= 1).select(key, F.col(line).alias("_line")).withColumn("_sums", running_sums(segment_lengths(F.col("_line"))))
+    half = F.element_at("_sums", -1) / 2
+    # The first segment that reaches the place: as many sums lie below it.
+    i = F.greatest(F.size(F.filter("_sums", lambda x: x < half)) - 1, F.lit(0))
+    a, b = F.get("_line", i), F.coalesce(F.get("_line", i + 1), F.get("_line", i))
+    t = F.coalesce((half - F.get("_sums", i)) / F.nullif(F.get("_sums", i + 1) - F.get("_sums", i), F.lit(0.0)), F.lit(0.0))
+    return long.select(key, (a["x"] + (b["x"] - a["x"]) * t).alias("x"), (a["y"] + (b["y"] - a["y"]) * t).alias("y"))
+
+
 def at_length(line: Column, d: Column) -> Column:
     """The point at length d along a line, its ends beyond them."""
     lengths = segment_lengths(line)
@@ -105,12 +147,26 @@ def at_length(line: Column, d: Column) -> Column:
 
 def samples(lines: DataFrame, key: str, step: float, line: str = "line") -> DataFrame:
     """Points in the middle of n = max(2, floor(length / step)) equal parts, with the heading between a metre before and
-    a metre after (as a unit vector): key, i, n, x, y, hx, hy."""
-    total = lines.select(key, F.col(line).alias("_line"), length(F.col(line)).alias("_len"))
-    n = F.greatest(F.lit(2), F.floor(F.col("_len") / step)).cast("int")
-    rows = total.select(key, "_line", "_len", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    d = F.col("_len") * (F.col("i") + 0.5) / F.col("n")
-    rows = rows.select(key, "i", "n", at_length(F.col("_line"), d).alias("p"), at_length(F.col("_line"), F.greatest(d - 1, F.lit(0.0))).alias("a"), at_length(F.col("_line"), F.least(d + 1, F.col("_len"))).alias("b"))
+    a metre after (as a unit vector): key, i, n, x, y, hx, hy.
+
+    Each segment finds the places that lie on it by arithmetic, so a line costs in proportion to its points and samples."""
+    long = lines.where(F.size(line) >= 2).select(key, F.col(line).alias("_line")).withColumn("_len", segment_lengths(F.col("_line"))).withColumn("_sums", running_sums(F.col("_len")))
+    n = F.size("_len")
+    part = F.arrays_zip(F.slice("_line", F.lit(1), n).alias("a"), F.slice("_line", F.lit(2), n).alias("b"), F.slice("_sums", F.lit(1), n).alias("lo"), F.slice("_sums", F.lit(2), n).alias("hi"))
+    total = F.element_at("_sums", -1)
+    s = long.select(key, total.alias("total"), F.greatest(F.lit(2), F.floor(total / step)).cast("int").alias("n"), F.inline(part)).where((F.col("hi") > F.col("lo")) | (F.col("total") == 0))
+    probes = F.explode(F.array(*(F.lit(d) for d in (0.0, -1.0, 1.0)))).alias("off")
+    at = lambda d: (d - F.col("off")) * F.col("n") / F.nullif("total", F.lit(0.0)) - 0.5
+    low = F.when(F.col("lo") <= 0, 0).otherwise(F.greatest(F.lit(0), F.floor(at(F.col("lo"))) - 1))
+    high = F.when(F.col("hi") >= F.col("total"), F.col("n") - 1).otherwise(F.least(F.col("n") - 1, F.ceil(at(F.col("hi"))) + 1))
+    spread = s.select("*", probes).select("*", low.cast("int").alias("low"), high.cast("int").alias("high")).where("low <= high").withColumn("i", F.explode(F.sequence("low", "high")))
+    spot = F.least(F.greatest(F.col("total") * (F.col("i") + 0.5) / F.col("n") + F.col("off"), F.lit(0.0)), F.col("total"))
+    # The first segment that reaches the place has it; a line without length is its first point.
+    rows = spread.withColumn("d", spot).where(((F.col("lo") < F.col("d")) | (F.col("lo") <= 0)) & (F.col("d") <= F.col("hi")))
+    t = F.coalesce((F.col("d") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0))
+    place = F.struct((F.col("a.x") + (F.col("b.x") - F.col("a.x")) * t).alias("x"), (F.col("a.y") + (F.col("b.y") - F.col("a.y")) * t).alias("y"))
+    of = lambda off: F.min(F.when(F.col("off") == off, F.struct("lo", place.alias("p"))))["p"]
+    rows = rows.groupBy(key, "i", "n").agg(of(0.0).alias("p"), of(-1.0).alias("a"), of(1.0).alias("b"))
     size = _gap(F.col("a"), F.col("b"))
     unit = lambda c: F.when(size > 0, (F.col("b")[c] - F.col("a")[c]) / size).otherwise(F.lit(0.0))
     return rows.select(key, "i", "n", F.col("p")["x"].alias("x"), F.col("p")["y"].alias("y"), unit("x").alias("hx"), unit("y").alias("hy"))

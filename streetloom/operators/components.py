@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import materialise
+from ..tables import free, materialise, replace
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
@@ -15,35 +15,49 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     of a vertex and its neighbours and then follows the label once, so chains need a logarithmic number of rounds."""
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
     both = materialise(both.union(both.select("b", "a")).distinct(), "cc-edges")
-    labels = both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp"))
+    labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp")), "cc-labels")
     while True:
-        labels = materialise(labels, "cc-labels")
         near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("m"))
         new = materialise(labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "cc-near")
+        free(labels)
         if new.where("old <> comp").isEmpty():
             break
         roots = new.select(F.col("v").alias("comp"), F.col("comp").alias("root"))
-        labels = new.select("v", "comp").join(roots, "comp").select("v", F.col("root").alias("comp"))
+        labels = replace(new, new.select("v", "comp").join(roots, "comp").select("v", F.col("root").alias("comp")), "cc-labels")
+    free(both)
     found = new.select("v", "comp")
     if vertices is None:
         return found
     return vertices.select("v").distinct().join(found, "v", "left").withColumn("comp", F.coalesce("comp", "v"))
 
 
+def ranked(parts: DataFrame) -> DataFrame:
+    """(v, comp, rank): components numbered 0, 1, ... in the order of their smallest vertices, over all of them."""
+    from .roads import dense_ids
+
+    return parts.join(dense_ids(parts.select("comp").distinct(), "comp", "rank"), "comp").select("v", "comp", "rank")
+
+
 def arcs(edges: DataFrame) -> DataFrame:
     """Directed arcs (u, v) of edges (u, v, oneway): two-way edges count in both directions."""
     return edges.select("u", "v").union(edges.where(~F.coalesce(F.col("oneway"), F.lit(False))).select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
 
 
 def _spread(labels: DataFrame, arcs_: DataFrame) -> DataFrame:
-    """Carry the smallest label along arcs until nothing changes; labels (v, c) of all vertices."""
+    """Carry the smallest label along arcs until nothing changes; labels (v, c) of all vertices.
+
+    Only vertices whose label has changed pass it on."""
+    labels = materialise(labels, "scc-labels")
+    fresh = labels
     while True:
-        labels = materialise(labels, "scc-labels")
-        step = arcs_.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("m"))
-        new = materialise(labels.join(step, "v", "left").select("v", F.col("c").alias("old"), F.least("c", "m").alias("c")), "scc-step")
-        if new.where("old <> c").isEmpty():
-            return new.select("v", "c")
-        labels = new.select("v", "c")
+        step = arcs_.join(fresh.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("m"))
+        better = materialise(labels.join(step, "v").where("m < c").select("v", F.col("m").alias("c")), "scc-better")
+        if fresh is not labels:
+            free(fresh)
+        if better.isEmpty():
+            return labels
+        labels = replace(labels, labels.join(better.withColumnRenamed("c", "m"), "v", "left").select("v", F.coalesce("m", "c").alias("c")), "scc-labels")
+        fresh = better
 
 
 def strong_components(arcs_: DataFrame, vertices: DataFrame) -> DataFrame:

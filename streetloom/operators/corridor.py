@@ -24,11 +24,13 @@ def georeference(faces: DataFrame, p: CorridorParams) -> DataFrame:
     return ends.select((F.col("x0") - pad).alias("x0"), (F.col("y1") + pad).alias("y0"), pixels("x0", "x1").alias("width"), pixels("y0", "y1").alias("height"))
 
 
-def skeleton(faces: DataFrame, p: CorridorParams = CorridorParams()) -> tuple[DataFrame, DataFrame]:
+def skeleton(faces: DataFrame, p: CorridorParams = CorridorParams(), upto: str = "thin") -> tuple[DataFrame, DataFrame]:
     """faces (face_id, line in metres) -> keys (key = row * width + column) of the thinned corridors, and the georeference.
 
     The image is worked on in tiles of tile_m with a margin around each, of which only the core counts; a segment goes to
-    every tile whose margin its corridor touches. A task holds one tile, whatever the size of the area."""
+    every tile whose margin its corridor touches. A task holds one tile, whatever the size of the area. `upto` ends the
+    work earlier: burn (the corridors as drawn), close, fill or thin."""
+    steps = ("burn", "close", "fill", "thin")[: ("burn", "close", "fill", "thin").index(upto) + 1]
     geo = materialise(georeference(faces, p), "skeleton-geo")
     segs = L.segments(faces.select("face_id", "line"), "face_id")
     last = faces.select("face_id", (F.size("line") - 2).alias("last"))
@@ -50,7 +52,9 @@ def skeleton(faces: DataFrame, p: CorridorParams = CorridorParams()) -> tuple[Da
         segments = pdf[["ax", "ay", "bx", "by"]].to_numpy()
         joints = pdf.loc[pdf["joint"], ["bx", "by"]].to_numpy()
         mask = raster.burn(segments, joints, one["x0"] + c0 * p.resolution_m, one["y0"] - r0 * p.resolution_m, (r1 - r0, c1 - c0), p.resolution_m, p.half_width_m)
-        mask = raster.thin(raster.fill_holes(raster.close(mask, p.close_iterations), p.hole_pixels))
+        mask = raster.close(mask, p.close_iterations) if "close" in steps else mask
+        mask = raster.fill_holes(mask, p.hole_pixels) if "fill" in steps else mask
+        mask = raster.thin(mask) if "thin" in steps else mask
         a, b = tr * core - r0, tc * core - c0
         kept = mask[a : a + min(core, height - tr * core), b : b + min(core, width - tc * core)]
         return pd.DataFrame({"key": raster.skeleton_keys(kept, tr * core, tc * core, width)})
@@ -92,6 +96,10 @@ def pixel_graph(keys: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     # Each chain with its pixels' links, to each other and to node pixels.
     links = chains.join(near, "key").join(blobs.withColumnsRenamed({"key": "other"}), "other", "left").select("chain", "key", "other", "blob")
 
+    def trace_all(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = [trace(own) for _, own in pdf.groupby("chain")]
+        return pd.concat(found, ignore_index=True)
+
     def trace(pdf: pd.DataFrame) -> pd.DataFrame:
         chain = int(pdf["chain"].iloc[0])
         near_: dict[int, list[int]] = {}
@@ -114,7 +122,10 @@ def pixel_graph(keys: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
         return pd.DataFrame({"eid": [chain], "u": [u], "v": [v], "path": [path]})
 
     # Lists of pixel numbers pass as blobs of doubles where a null is among them; ids stay below 2**53.
-    edges = links.groupBy("chain").applyInPandas(trace, "eid long, u long, v long, path array<long>")
+    # Chains are short and many, so a call gets those of a hash bucket; the number of buckets follows the number of pixels.
+    buckets = max(1, keys.count() // 20_000)
+    dealt = links.withColumn("bucket", F.pmod(F.xxhash64("chain"), F.lit(buckets)))
+    edges = dealt.groupBy("bucket").applyInPandas(trace_all, "eid long, u long, v long, path array<long>")
     return nodes, edges
 
 

@@ -10,7 +10,27 @@ from ..functions import lines as L
 from ..kernels.paths import adjacency, crossing, within
 from ..tables import materialise
 from .components import components
-from .grid import in_cells, in_near_cells, pairs_within, without_meeting
+from .grid import in_cells, in_near_cells, pairs_within, without_crossing, without_meeting
+
+
+def limit(gap, max_detour: float):
+    """The longest way by road that a gap may have without a link."""
+    return max_detour * F.greatest(gap, F.lit(10.0))
+
+
+def reaches(pairs: DataFrame, max_detour: float) -> DataFrame:
+    """(u, cutoff): how far to search from each first node of pairs (u, gap): the largest limit of its pairs."""
+    return pairs.groupBy("u").agg(F.max(limit(F.col("gap"), max_detour)).alias("cutoff"))
+
+
+def far_pairs(pairs: DataFrame, edges: DataFrame, max_detour: float) -> DataFrame:
+    """Those of pairs (u, v, gap) whose way by road is over their limit, by one bounded search from each first node."""
+    from .routing import bounded_distances
+
+    pairs = materialise(pairs, "far-pairs")
+    found = bounded_distances(edges.select("u", "v", "length"), reaches(pairs, max_detour).withColumnRenamed("u", "v"), None)
+    near = found.select(F.col("source").alias("u"), "v", "cost")
+    return pairs.join(near, ["u", "v"], "left").where(F.coalesce(F.col("cost") > limit(F.col("gap"), max_detour), F.lit(True))).drop("cost")
 
 
 def link_detours(nodes: DataFrame, edges: DataFrame, barriers: DataFrame, max_gap: float = 100.0, max_detour: float = 10.0) -> DataFrame:
@@ -27,7 +47,7 @@ def link_detours(nodes: DataFrame, edges: DataFrame, barriers: DataFrame, max_ga
     links = materialise(pairs.select(F.struct("u", "v").alias("pair"), "u", "v", "gap", F.col("ux").alias("ax"), F.col("uy").alias("ay"), F.col("vx").alias("bx"), F.col("vy").alias("by")), "detour-pairs")
     size = max(2 * max_gap, 1.0)
     links = without_meeting(links, barriers, L.intersects, size, "pair")
-    links = materialise(without_meeting(links, L.segments(edges, "eid"), L.crosses, size, "pair"), "detour-links")
+    links = materialise(without_crossing(links, edges, "eid", size, "pair"), "detour-links")
     if links.isEmpty():
         return links.select("u", "v", F.col("gap").alias("length"))
 

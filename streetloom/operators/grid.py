@@ -5,12 +5,14 @@ One side is copied to the neighbouring cells, the other is not, so every pair of
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.lines import distance
-from ..tables import materialise
+from ..functions.lines import crosses, distance, point_segment_distance, segments
+from ..tables import materialise, replace
 
 
 def cell(x: Column, size: float) -> Column:
@@ -53,21 +55,59 @@ def knn_within(left: DataFrame, right: DataFrame, radius: float, k: int, left_ke
 def nearest(left: DataFrame, right: DataFrame, start: float, left_key: str, right_key: str) -> DataFrame:
     """The nearest right point of each left point, however far: all left columns, right_key and distance.
 
-    Cells of size `start` are searched first; rows without a hit go to a round with cells twice as large. A hit counts once
-    its distance is within the cell size, as the searched block then holds any closer point. Ties go to the smaller key."""
-    todo, found, size = left, None, start
-    targets = materialise(right.select(right_key, "x", "y"), "nearest-targets")
+    Cells of size `start` are searched first; rows without a hit go to a round with cells four times as large. A hit counts
+    once its distance is within the cell size, as the searched block then holds any closer point. Once the cells are as
+    large as the box around all points the round finds everything, so the rounds end. Ties go to the smaller key. Rows
+    with a null key or a null or non-finite coordinate match nothing, nor does any row where there is no target."""
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    usable = lambda df, key: df.where(F.col(key).isNotNull() & fine("x") & fine("y"))
+    none = (F.lit(None).cast(right.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("distance"))
+    targets = materialise(usable(right.select(right_key, "x", "y"), right_key), "nearest-targets")
     if targets.isEmpty():
-        return left.withColumn(right_key, F.lit(None).cast(right.schema[right_key].dataType)).withColumn("distance", F.lit(None).cast("double"))
-    while True:
-        hits = range_join(todo.select(left_key, "x", "y"), targets, size)
-        best = hits.groupBy(left_key).agg(F.min(F.struct("distance", right_key)).alias("best")).select(left_key, F.col(f"best.{right_key}").alias(right_key), F.col("best.distance").alias("distance"))
+        return left.select("*", *none)
+    todo = materialise(usable(left.select(left_key, "x", "y"), left_key).distinct(), "nearest-todo")
+    ends = [f(c) for c in "xy" for f in (F.min, F.max)]
+    x0, x1, y0, y1 = targets.select("x", "y").union(todo.select("x", "y")).agg(*ends).first()
+    most, size, found = 2 * max(x1 - x0, y1 - y0, start), start, None
+    while not todo.isEmpty():
+        hits = range_join(todo, targets, size)
+        best = hits.groupBy(left_key, "x", "y").agg(F.min(F.struct("distance", right_key)).alias("best")).select(left_key, "x", "y", F.col(f"best.{right_key}").alias(right_key), F.col("best.distance").alias("distance"))
         best = materialise(best, "nearest-hits")
         found = best if found is None else found.union(best)
-        todo = materialise(todo.join(best, left_key, "left_anti"), "nearest-todo")
-        if todo.isEmpty():
-            return left.join(found, left_key)
-        size *= 2
+        if size > most:
+            break
+        todo = replace(todo, todo.join(best, [left_key, "x", "y"], "left_anti"), "nearest-todo")
+        size = min(4 * size, 1.01 * most) if size < most else 1.01 * size
+    if found is None:
+        return left.select("*", *none)
+    return left.join(found, [left_key, "x", "y"], "left").select(*left.columns, right_key, "distance")
+
+
+def nearest_segment(left: DataFrame, segments_: DataFrame, start: float, left_key: str, right_key: str) -> DataFrame:
+    """The nearest segment (right_key, ax, ay, bx, by) of each point (left_key, x, y), however far: left_key, right_key, distance.
+
+    Like nearest, with each segment in all cells that its box touches; a long segment is cut by the cells only, so cells
+    grow by four from round to round and end with the box around everything."""
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    targets = materialise(segments_.where(functools.reduce(lambda a, b: a & b, map(fine, ("ax", "ay", "bx", "by")))).select(right_key, "ax", "ay", "bx", "by"), "segment-targets")
+    todo = materialise(left.where(fine("x") & fine("y")).select(left_key, "x", "y"), "segment-todo")
+    none = left.select(left_key, F.lit(None).cast(segments_.schema[right_key].dataType).alias(right_key), F.lit(None).cast("double").alias("distance"))
+    if targets.isEmpty() or todo.isEmpty():
+        return none
+    corners = targets.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(targets.select("bx", "by")).union(todo.select("x", "y"))
+    x0, x1, y0, y1 = corners.agg(*(f(c) for c in "xy" for f in (F.min, F.max))).first()
+    most, size, found = 2 * max(x1 - x0, y1 - y0, start), start, None
+    gap = point_segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
+    while not todo.isEmpty():
+        near = in_cells(todo, size).join(segment_cells(targets, size, size), ["cx", "cy"]).withColumn("distance", gap)
+        best = near.where(F.col("distance") <= size).groupBy(left_key).agg(F.min(F.struct("distance", right_key)).alias("best"))
+        best = materialise(best.select(left_key, F.col(f"best.{right_key}").alias(right_key), F.col("best.distance").alias("distance")), "segment-hits")
+        found = best if found is None else found.union(best)
+        if size > most:
+            break
+        todo = replace(todo, todo.join(best, left_key, "left_anti"), "segment-todo")
+        size = 4 * size
+    return left.select(left_key).join(found, left_key, "left")
 
 
 def segment_cells(segments: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
@@ -84,3 +124,30 @@ def without_meeting(links: DataFrame, barriers: DataFrame, predicate, size: floa
     b = segment_cells(barriers.select("ax", "ay", "bx", "by"), size).alias("b")
     bad = l.join(b, (F.col("l.cx") == F.col("b.cx")) & (F.col("l.cy") == F.col("b.cy")) & predicate("l", "b")).select(F.col(f"l.{key}").alias(key)).distinct()
     return links.join(bad, key, "left_anti")
+
+
+def without_crossing(links: DataFrame, lines: DataFrame, line_key: str, size: float, key: str) -> DataFrame:
+    """Anti-join: links (key, ax, ay, bx, by, ...) that cross no polyline (line_key, line), at a vertex or between.
+
+    A link crosses a line if points inside both are common to them, but no stretch. Inside a line is all of it but its two
+    ends, so its other vertices count; inside a link are all points but its ends, so links may begin and end on lines."""
+    segs = segments(lines, line_key)
+    last = segs.groupBy(line_key).agg(F.max("seg").alias("last"))
+    b = segment_cells(segs.join(last, line_key).select(F.col(line_key).alias("line_key"), "ax", "ay", "bx", "by", (F.col("seg") < F.col("last")).alias("goes_on")), size).alias("b")
+    l = segment_cells(links.select(key, "ax", "ay", "bx", "by"), size).alias("l")
+    c = F.col
+    dx, dy = c("l.bx") - c("l.ax"), c("l.by") - c("l.ay")
+    square = dx * dx + dy * dy
+
+    def place(x: str, y: str) -> tuple[Column, Column]:
+        """Whether a point is on the link's straight line, and where along it, from 0 to square."""
+        px, py = c(x) - c("l.ax"), c(y) - c("l.ay")
+        return dx * py - dy * px == 0, px * dx + py * dy
+
+    (a_on, a_at), (b_on, b_at) = place("b.ax", "b.ay"), place("b.bx", "b.by")
+    at_vertex = c("b.goes_on") & b_on & (b_at > 0) & (b_at < square)
+    along = a_on & b_on & (F.least(F.greatest(a_at, b_at), square) > F.greatest(F.least(a_at, b_at), F.lit(0.0)))
+    met = l.join(b, (c("l.cx") == c("b.cx")) & (c("l.cy") == c("b.cy")) & (crosses("l", "b") | at_vertex | along))
+    met = met.select(c(f"l.{key}").alias(key), "line_key", along.alias("along"), (crosses("l", "b") | at_vertex).alias("meets"))
+    bad = met.groupBy(key, "line_key").agg(F.max("along").alias("along"), F.max("meets").alias("meets")).where("meets and not along").select(key).distinct()
+    return links.join(bad, key, "left_anti")

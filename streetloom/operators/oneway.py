@@ -14,12 +14,13 @@ from .components import repaired
 from .grid import cell, segment_cells
 
 
-def way_segments(ways: DataFrame, p: MatchParams) -> DataFrame:
-    """Segments of ways (way_id, line) without degenerate ones, with unit headings: ax, ay, bx, by, hx, hy."""
+def way_segments(ways: DataFrame, p: MatchParams, *carry: str) -> DataFrame:
+    """Segments of ways (way_id, line) without degenerate ones, with unit headings: ax, ay, bx, by, sx, sy, and those of key
+    columns asked for."""
     s = L.segments(ways, "way_id")
     close = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-8 + 1e-5 * F.abs(F.col(b))
     same = close("ax", "bx") & close("ay", "by") if p.legacy_degenerate else (F.col("ax") == F.col("bx")) & (F.col("ay") == F.col("by"))
-    return s.where(~same).where("len > 0").select("ax", "ay", "bx", "by", ((F.col("bx") - F.col("ax")) / F.col("len")).alias("sx"), ((F.col("by") - F.col("ay")) / F.col("len")).alias("sy"))
+    return s.where(~same).where("len > 0").select(*carry, "ax", "ay", "bx", "by", ((F.col("bx") - F.col("ax")) / F.col("len")).alias("sx"), ((F.col("by") - F.col("ay")) / F.col("len")).alias("sy"))
 
 
 def match_directions(edges: DataFrame, ways: DataFrame, p: MatchParams = MatchParams()) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lines import XY
-from ..tables import materialise
+from ..tables import materialise, replace
 from .components import components
 from .grid import knn_within
 
@@ -31,7 +31,7 @@ def prune_spurs(edges: DataFrame, min_length: float) -> DataFrame:
         gone = materialise(short.join(ends, "id", "left_semi").select("eid").distinct(), "spurs-gone")
         if gone.isEmpty():
             return edges
-        edges = materialise(edges.join(gone, "eid", "left_anti"), "spurs")
+        edges = replace(edges, edges.join(gone, "eid", "left_anti"), "spurs")
 
 
 def without_loops(edges: DataFrame) -> DataFrame:
@@ -94,42 +94,56 @@ def contract_chains(edges: DataFrame) -> DataFrame:
     at = ends.groupBy("id").agg(F.count("*").alias("n"), F.count_distinct("bridged").alias("kinds"), F.min("eid").alias("e1"), F.max("eid").alias("e2"))
     inner = materialise(at.where("n = 2 and kinds = 1").join(loops, "id", "left_anti").select("id", "e1", "e2"), "chain-inner")
     groups = materialise(components(inner.select(F.col("e1").alias("u"), F.col("e2").alias("v"))).select(F.col("v").alias("eid"), F.col("comp").alias("chain")), "chain-groups")
-    inner_ids = inner.join(groups.withColumnRenamed("eid", "e1"), "e1").select("chain", "id")
-    marks = inner_ids.groupBy("chain").agg(F.collect_list("id").alias("inner"))
-    rows = edges.join(groups, "eid").join(marks, "chain")
+    # An edge says of its own ends whether they are inner ones; no row carries more of the chain than that.
+    flag = lambda c: inner.select(F.col("id").alias(c), F.lit(True).alias(f"{c}_in"))
+    rows = edges.join(groups, "eid").join(flag("u"), "u", "left").join(flag("v"), "v", "left")
 
     def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        inside = set(pdf["inner"].iloc[0].tolist())
-        edge = {r.eid: (r.u, r.v, r.length, [(p["x"], p["y"]) for p in r.line]) for r in pdf.itertuples()}
+        inside: set = set()
+        edge: dict = {}
         touch: dict = {}
-        for e, (u, v, _, _) in edge.items():
-            touch.setdefault(u, []).append(e)
-            touch.setdefault(v, []).append(e)
+        for r in pdf.itertuples():
+            u, v = int(r.u), int(r.v)
+            # A line is kept as a tree of pieces (points, or two trees), with a mark if it is read backwards.
+            edge[r.eid] = (u, v, r.length, ([(p["x"], p["y"]) for p in r.line], False))
+            inside.update(n for n, there in ((u, r.u_in), (v, r.v_in)) if there is True)
+            touch.setdefault(u, []).append(r.eid)
+            touch.setdefault(v, []).append(r.eid)
         for node in sorted(inside):  # in node order; what a merge makes is an edge again
             e, f = touch[node]
             a = edge[e][0] if edge[e][1] == node else edge[e][1]
             b = edge[f][0] if edge[f][1] == node else edge[f][1]
             if e == f or a == b:
                 continue
-            first = _heading_to(edge[e], node)
-            second = _heading_from(edge[f], node)
-            edge[e] = (a, b, edge[e][2] + edge[f][2], first + second[1:])
+            first = _turned(edge[e][3], edge[e][1] != node)
+            second = _turned(edge[f][3], edge[f][0] != node)
+            edge[e] = (a, b, edge[e][2] + edge[f][2], ((first, second), False))
             del edge[f]
             touch[b] = [e if t == f else t for t in touch[b]]
         bridged = bool(pdf["bridged"].iloc[0])
-        return pd.DataFrame([(e, u, v, d, [{"x": x, "y": y} for x, y in line], bridged) for e, (u, v, d, line) in edge.items()], columns=["eid", "u", "v", "length", "line", "bridged"])
+        return pd.DataFrame([(e, u, v, d, [{"x": x, "y": y} for x, y in _points(line)], bridged) for e, (u, v, d, line) in edge.items()], columns=["eid", "u", "v", "length", "line", "bridged"])
 
     merged = rows.groupBy("chain").applyInPandas(follow, _EDGE)
     return edges.join(groups, "eid", "left_anti").unionByName(merged)
 
 
-def _heading_to(edge: tuple, node) -> list:
-    """The edge's line ending at node, given that lines run from u to v."""
-    return edge[3] if edge[1] == node else edge[3][::-1]
+def _turned(line: tuple, turn: bool) -> tuple:
+    return line[0], line[1] != turn
 
 
-def _heading_from(edge: tuple, node) -> list:
-    return edge[3] if edge[0] == node else edge[3][::-1]
+def _points(line: tuple) -> list:
+    """The points of a tree of pieces in order; a piece leaves out its first point, where the one before it has ended."""
+    out: list = []
+    todo = [line]
+    while todo:
+        content, back = todo.pop()
+        if isinstance(content, tuple):
+            parts = [_turned(x, back) for x in (content[::-1] if back else content)]
+            todo += parts[::-1]
+        else:
+            piece = content[::-1] if back else content
+            out += piece[1:] if out else piece
+    return out
 
 
 def major_parts(edges: DataFrame, min_km: float) -> DataFrame:
@@ -169,4 +183,4 @@ def peel_new(edges: DataFrame, first_new: int) -> DataFrame:
         gone = materialise(edges.select("eid", F.explode(F.array("u", "v")).alias("id")).join(ends, "id", "left_semi").select("eid").distinct(), "peel-gone")
         if gone.isEmpty():
             return edges
-        edges = materialise(edges.join(gone, "eid", "left_anti"), "peel")
+        edges = replace(edges, edges.join(gone, "eid", "left_anti"), "peel")

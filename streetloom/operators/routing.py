@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lines import distance
 from ..kernels.finders import FINDERS, Graph
-from ..tables import materialise
+from ..tables import materialise, replace
 
 
 def od_pairs(nodes: DataFrame, strata: tuple[float, ...], per_stratum: int) -> DataFrame:
@@ -30,20 +30,45 @@ def od_pairs(nodes: DataFrame, strata: tuple[float, ...], per_stratum: int) -> D
     return marked.withColumn("n", F.row_number().over(W.partitionBy("stratum").orderBy("h", "a", "b"))).where(F.col("n") <= per_stratum).drop("h", "n")
 
 
-def bounded_distances(edges: DataFrame, sources: DataFrame, cutoff: float) -> DataFrame:
-    """(source, v, cost) for all vertices within cutoff of each source (v), over undirected edges (u, v, length).
+def bounded_distances(edges: DataFrame, sources: DataFrame, cutoff: float | None) -> DataFrame:
+    """(source, v, cost) for all vertices within cutoff of each source (v), over undirected edges (u, v, length). Without
+    a cutoff for all, sources bring their own in a column cutoff.
 
     Rounds of relaxation from the rows that changed last; at most as many as the longest such path has edges."""
+    sources = sources.select("v", (F.lit(float(cutoff)) if cutoff is not None else F.col("cutoff")).alias("cutoff"))
     both = materialise(edges.select("u", "v", "length").union(edges.select("v", "u", "length")).groupBy("u", "v").agg(F.min("length").alias("length")), "paths-edges")
-    best = materialise(sources.select(F.col("v").alias("source"), "v", F.lit(0.0).alias("cost")), "paths-best")
+    best = materialise(sources.select(F.col("v").alias("source"), "v", F.lit(0.0).alias("cost"), "cutoff"), "paths-best")
     fresh = best
     while not fresh.isEmpty():
-        step = fresh.withColumnRenamed("v", "u").join(both, "u").select("source", "v", (F.col("cost") + F.col("length")).alias("cost")).where(F.col("cost") <= cutoff)
-        step = materialise(step.groupBy("source", "v").agg(F.min("cost").alias("cost")), "paths-step")
-        better = step.alias("s").join(best.alias("b"), ["source", "v"], "left").where("b.cost is null or s.cost < b.cost").select("source", "v", F.col("s.cost").alias("cost"))
+        step = fresh.withColumnRenamed("v", "u").join(both, "u").select("source", "v", (F.col("cost") + F.col("length")).alias("cost"), "cutoff").where(F.col("cost") <= F.col("cutoff"))
+        step = step.groupBy("source", "v", "cutoff").agg(F.min("cost").alias("cost"))
+        better = step.alias("s").join(best.alias("b"), ["source", "v"], "left").where("b.cost is null or s.cost < b.cost").select("source", "v", F.col("s.cost").alias("cost"), "s.cutoff")
         fresh = materialise(better, "paths-fresh")
-        best = materialise(best.union(fresh).groupBy("source", "v").agg(F.min("cost").alias("cost")), "paths-best")
-    return best
+        best = replace(best, best.union(fresh).groupBy("source", "v").agg(F.min("cost").alias("cost"), F.first("cutoff").alias("cutoff")), "paths-best")
+    return best.drop("cutoff")
+
+
+def path_similarity(nodes: DataFrame, edges: DataFrame, other_nodes: DataFrame, other_edges: DataFrame, cutoff: float, snap: float) -> DataFrame:
+    """One row: forward, backward and their harmonic mean apls: how alike path lengths are in two graphs (APLS).
+
+    For all pairs of nodes of a graph with a path of at most cutoff the difference to the path between the nearest nodes of
+    the other graph, within snap, counts as a share of its length, one at most; a missing node or path counts one."""
+    from .grid import nearest
+
+    def one_way(n1, e1, n2, e2):
+        near = nearest(n1.select(F.col("id").alias("own"), "x", "y"), n2.select("id", "x", "y"), snap, "own", "id")
+        near = materialise(near.select("own", F.when(F.col("distance") <= snap, F.col("id")).alias("there")), "similar-nodes")
+        to = lambda c: near.select(F.col("own").alias(c), F.col("there").alias(f"{c}_there"))
+        here = bounded_distances(e1, n1.select(F.col("id").alias("v")), cutoff).where("cost > 0").withColumnsRenamed({"source": "a", "v": "b"})
+        # A path that is longer by more than its own length counts one anyway.
+        there = bounded_distances(e2, near.where("there is not null").select(F.col("there").alias("v")).distinct(), 2 * cutoff).withColumnsRenamed({"source": "a_there", "v": "b_there", "cost": "other"})
+        both = here.join(to("a"), "a").join(to("b"), "b").join(there, ["a_there", "b_there"], "left")
+        return both.agg((1 - F.avg(F.coalesce(F.least(F.lit(1.0), F.abs(F.col("cost") - F.col("other")) / F.col("cost")), F.lit(1.0)))).alias("s"))
+
+    f = one_way(nodes, edges, other_nodes, other_edges).withColumnRenamed("s", "forward")
+    b = one_way(other_nodes, other_edges, nodes, edges).withColumnRenamed("s", "backward")
+    mean = F.try_divide(2 * F.col("forward") * F.col("backward"), F.col("forward") + F.col("backward"))
+    return f.crossJoin(b).withColumn("apls", mean)  # a row each
 
 
 _RUN = "area string, pair long, algo string, seed int, path array<long>, cost double, expanded long, runtime_s double"

@@ -11,7 +11,7 @@ from ..functions import lines as L
 from ..kernels.paths import simplify
 from ..operators import corridor, roads
 from ..operators.detours import link_detours
-from ..operators.grid import nearest
+from ..operators.grid import nearest_segment
 from ..tables import materialise
 
 
@@ -25,35 +25,42 @@ def simplified(line, tolerance: float):
     return run(line)
 
 
-def name_edges(edges: DataFrame, faces: DataFrame) -> DataFrame:
+def name_edges(edges: DataFrame, faces: DataFrame, start: float = 64.0) -> DataFrame:
     """edges and name: that of the face nearest to the middle of the line; estimated links have an empty one.
 
-    Faces stand for points every 5 m along them, which places the nearest one to a few centimetres at street distances."""
-    middle = edges.where("not bridged").select("eid", L.at_length(F.col("line"), L.length(F.col("line")) / 2).alias("m")).select("eid", "m.x", "m.y")
-    points = L.densified(faces, "face_id", 5.0).select(F.struct("face_id", "seg", "k").alias("pid"), "x", "y")
-    found = nearest(middle, points, 64.0, "eid", "pid").select("eid", F.col("pid.face_id").alias("face_id"))
+    The distance is that to the face's line, of which each segment is a target; ties go to the smaller face_id."""
+    middle = L.middles(edges.where("not bridged"), "eid")
+    found = nearest_segment(middle, L.segments(faces, "face_id"), start, "eid", "face_id").select("eid", "face_id")
     named = found.join(faces.select("face_id", "name"), "face_id").select("eid", "name")
     return edges.join(named, "eid", "left").withColumn("name", F.coalesce("name", F.lit("")))
 
 
-def build_graph(faces: DataFrame, p: CorridorParams = CorridorParams()) -> tuple[DataFrame, DataFrame]:
-    """faces (face_id, name, line in metres) -> nodes (id, x, y) and edges (eid, u, v, length, line, bridged, name)."""
+def build_graph(faces: DataFrame, p: CorridorParams = CorridorParams(), stages=None) -> tuple[DataFrame, DataFrame]:
+    """faces (face_id, name, line in metres) -> nodes (id, x, y) and edges (eid, u, v, length, line, bridged, name).
+
+    stages, if given, gets a lap after each stage."""
+    lap = stages.lap if stages else lambda stage: None
     faces = materialise(faces.select("face_id", "name", "line"), "build-faces")
     keys, geo = corridor.skeleton(faces, p)
     width = geo.first().width
     if width is None:
         raise ValueError("there are no faces to build a graph from")
+    lap("skeleton")
     nodes, edges = corridor.street_graph(*corridor.pixel_graph(keys, int(width)), geo, p)
+    lap("pixel graph")
     pruned = roads.prune_spurs(edges, p.min_spur_m)
     # Nodes go with their last spur, but the node of an isolated ring stays when its loop is dropped, and may be linked.
     nodes, edges = materialise(roads.without_isolated(nodes, pruned), "build-nodes"), materialise(roads.without_loops(pruned), "build-edges")
     nodes, edges = roads.merge_junctions(nodes, edges, 1.5 * p.half_width_m)
     nodes, edges = materialise(nodes, "build-nodes"), materialise(edges, "build-edges")
+    lap("spurs and junctions")
     edges = _with_links(nodes, edges, roads.link_components(nodes, edges, p.max_gap_m, p.neighbours))
     edges = materialise(roads.contract_chains(edges), "build-edges")
     nodes = materialise(roads.without_isolated(nodes, edges), "build-nodes")
+    lap("parts and chains")
     barriers = L.segments(faces, "face_id")
     edges = _with_links(nodes, edges, link_detours(nodes, edges, barriers, p.detour_gap_m, p.max_detour))
+    lap("detours")
     keep = roads.major_parts(edges, p.min_component_km)
     edges = edges.withColumn("line", simplified(F.col("line"), p.simplify_m))
     edges = name_edges(materialise(edges, "build-edges"), faces)

@@ -204,7 +204,8 @@ def sample_line(spark, d):
 
 @query(f"WITH {POINTS} SELECT label, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1 FROM pts GROUP BY label")
 def bbox_by_group(spark, d):
-    return points(spark, d).groupBy("label").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.max("x").alias("x1"), F.max("y").alias("y1"))
+    lines = points(spark, d).groupBy("label").agg(F.collect_list(F.struct("x", "y")).alias("line"))
+    return lines.select("label", L.box(F.col("line")).alias("box")).select("label", "box.*")
 
 
 @query("SELECT vec_id, CAST(i AS INTEGER) AS i, round(CAST(embedding[2 * i + 1] AS DOUBLE), 5) + 0.0 AS lon, round(CAST(embedding[2 * i + 2] AS DOUBLE), 5) + 0.0 AS lat FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding) // 2)) AS i FROM embeddings)")
@@ -232,7 +233,7 @@ def knn_join(spark, d):
     p = points(spark, d)
     # Five with the point itself, which is its own nearest unless another one lies on it.
     a, b = p.select(F.col("id").alias("a"), "x", "y"), p.select(F.col("id").alias("b"), "x", "y")
-    near = grid.range_join(a, b, 0.05).where("a <> b")
+    near = grid.knn_within(a, b, 0.05, 5, "a", "b").where("a <> b")
     return near.withColumn("rank", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where("rank <= 4").select("a", "b", "rank")
 
 
@@ -259,18 +260,19 @@ def _turn(a: str, b: str, c: str) -> str:
     return _TURN.format(a=a, b=b, c=c)
 
 
-@query(f"""WITH {nation_segments("supplier", "s")}, {nation_segments("customer", "c")}
-SELECT s.eid, s.k FROM s WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.eid = s.eid
-  AND {_turn("s.a", "s.b", "c.a")} * {_turn("s.a", "s.b", "c.b")} < 0 AND {_turn("c.a", "c.b", "s.a")} * {_turn("c.a", "c.b", "s.b")} < 0)""")
+@query(f"""WITH {nation_segments("supplier", "s")}, {nation_segments("customer", "c0")}, c AS (SELECT *, k < max(k) OVER (PARTITION BY eid) AS goes_on FROM c0),
+m AS (SELECT s.eid, s.k, {_turn("s.a", "s.b", "c.a")} * {_turn("s.a", "s.b", "c.b")} < 0 AND {_turn("c.a", "c.b", "s.a")} * {_turn("c.a", "c.b", "s.b")} < 0 AS proper, goes_on AND {_turn("s.a", "s.b", "c.b")} = 0 AND pb > 0 AND pb < sq AS vertex,
+    {_turn("s.a", "s.b", "c.a")} = 0 AND {_turn("s.a", "s.b", "c.b")} = 0 AND least(greatest(pa, pb), sq) > greatest(least(pa, pb), 0) AS along
+  FROM s JOIN c ON c.eid = s.eid, LATERAL (SELECT (c.ax - s.ax) * (s.bx - s.ax) + (c.ay - s.ay) * (s."by" - s.ay) AS pa, (c.bx - s.ax) * (s.bx - s.ax) + (c."by" - s.ay) * (s."by" - s.ay) AS pb, (s.bx - s.ax) * (s.bx - s.ax) + (s."by" - s.ay) * (s."by" - s.ay) AS sq))
+SELECT s.eid, s.k FROM s WHERE (s.eid, s.k) NOT IN (SELECT (eid, k) FROM m GROUP BY eid, k HAVING bool_or(proper OR vertex) AND NOT bool_or(along))""")
 def crossing_anti_join(spark, d):
-    """Segments of suppliers that cross no segment of customers of the same nation."""
-    at = lambda name: L.segments(nation_lines(spark, d, name).where("size(line) >= 2"), "eid")
-    # Nations lie apart, so that only their own segments meet.
-    apart = lambda s: s.withColumn("ax", F.col("ax") + F.col("eid") * 1000).withColumn("bx", F.col("bx") + F.col("eid") * 1000)
+    """Segments of suppliers that do not cross the line of customers of the same nation, between its vertices or at one."""
+    # Nations lie apart, so that only their own lines meet.
+    apart = lambda name: nation_lines(spark, d, name).where("size(line) >= 2").withColumn("line", F.transform("line", lambda p: F.struct((p["x"] + F.col("eid") * 1024).alias("x"), p["y"].alias("y"))))
     keys = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("eid"), F.col("s_suppkey").alias("k"))
     numbered = keys.withColumn("seg", F.row_number().over(W.partitionBy("eid").orderBy("k")) - 1)
-    s = apart(at("supplier")).join(numbered, ["eid", "seg"]).withColumn("pair", F.struct("eid", "k"))
-    return grid.without_meeting(s, apart(at("customer")), L.crosses, 25.0, "pair").select("eid", "k")
+    s = L.segments(apart("supplier"), "eid").join(numbered, ["eid", "seg"]).withColumn("pair", F.struct("eid", "k"))
+    return grid.without_crossing(s, apart("customer"), "eid", 25.0, "pair").select("eid", "k")
 
 
 @query(f"""WITH {PIXELS}, n AS (SELECT a.key, b.key AS other FROM px a JOIN px b ON a.key <> b.key AND abs(a.key // 256 - b.key // 256) <= 1 AND abs(a.key % 256 - b.key % 256) <= 1)
@@ -337,12 +339,15 @@ def major_parts(spark, d):
     return roads.major_parts(chains(spark, d), 2.5)
 
 
-@query()
+@query(f"""WITH RECURSIVE {POINTS}, e AS (SELECT a.id AS u, b.id AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) AS gap FROM pts a JOIN pts b ON a.id < b.id AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= 0.05),
+k AS (SELECT *, row_number() OVER (ORDER BY gap, u, v) AS n FROM e), b AS (SELECT n, u AS a, v AS b FROM k UNION ALL SELECT n, v, u FROM k),
+r(n, goal, here) AS (SELECT n, v, u FROM k UNION SELECT r.n, r.goal, b.b FROM r JOIN b ON b.a = r.here AND b.n < r.n)
+SELECT u, v, round(gap, 9) AS length FROM k WHERE n NOT IN (SELECT n FROM r WHERE here = goal)""")
 def component_links(spark, d):
     """A minimum spanning forest of the points, of links up to 0.05."""
     p = points(spark, d).select("id", "x", "y")
     none = p.limit(0).select(F.col("id").alias("u"), F.col("id").alias("v"))
-    return roads.link_components(p, none, 0.05).select("u", "v", "length")
+    return roads.link_components(p, none, 0.05).select("u", "v", F.round("length", 9).alias("length"))
 
 
 @query(f"WITH {CHAINS} SELECT least(min(u), min(v)) AS a, greatest(max(u), max(v)) AS b, sum(length) AS length, CAST(count(*) + 1 AS BIGINT) AS n FROM e GROUP BY conv_id")
@@ -384,7 +389,19 @@ def direction_vote(spark, d):
     return oneway.match_directions(edges, ways, MatchParams())
 
 
-@query()
+def _repair_round(i: int) -> str:
+    """SQL: the strong parts of the network as round i finds it, and the flows that it opens."""
+    return f"""a{i} AS (SELECT u, v FROM f UNION SELECT v, u FROM f WHERE (u, v) IN (SELECT (u, v) FROM open{i})),
+r{i}(a, b) AS (SELECT v, v FROM vs UNION SELECT r{i}.a, a{i}.v FROM r{i} JOIN a{i} ON r{i}.b = a{i}.u),
+s{i} AS (SELECT x.a AS v, min(x.b) AS scc FROM r{i} x JOIN r{i} y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+g{i} AS (SELECT comp, arg_max(scc, (n, -scc)) AS scc FROM (SELECT comp, scc, count(*) AS n FROM s{i} JOIN weak USING (v) GROUP BY comp, scc) GROUP BY comp),
+bad{i} AS (SELECT v FROM s{i} WHERE scc NOT IN (SELECT scc FROM g{i})),
+open{i + 1} AS (SELECT u, v FROM open{i} UNION SELECT u, v FROM f WHERE u IN (SELECT v FROM bad{i}) OR v IN (SELECT v FROM bad{i}))"""
+
+
+@query(f"""WITH RECURSIVE {FLOWS}, vs AS (SELECT u AS v FROM f UNION SELECT v FROM f), ways AS (SELECT u AS a, v AS b FROM f UNION SELECT v, u FROM f), w(a, b) AS (SELECT v, v FROM vs UNION SELECT w.a, ways.b FROM w JOIN ways ON ways.a = w.b),
+weak AS (SELECT a AS v, min(b) AS comp FROM w GROUP BY a), open0 AS (SELECT u, v FROM f WHERE false), {", ".join(map(_repair_round, range(4)))}
+SELECT u * 100 + v AS eid FROM open4""")
 def oneway_repair(spark, d):
     """The flows that must open for each part of the nations to stay strongly connected."""
     return C.repaired(flows(spark, d))
@@ -442,10 +459,23 @@ def street_graph(spark, d):
     return edges.select("eid", "u", "v", F.round("length", 3).alias("length"), "name", "bridged", F.size("line").alias("points"))
 
 
-@query()
+@query(f"""WITH {POINTS}, p AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, x, y, label FROM pts), e AS (SELECT * FROM (SELECT lag(id) OVER (PARTITION BY label ORDER BY id) AS u, id AS v, x, y, label FROM p) WHERE u IS NOT NULL),
+f AS (SELECT CAST(label AS VARCHAR) AS name, min(v) AS first FROM e GROUP BY label), i AS (SELECT name, row_number() OVER (ORDER BY first) - 1 AS idx FROM f)
+SELECT CAST(count(*) AS BIGINT) AS edges, CAST((SELECT count(*) FROM p) AS BIGINT) AS nodes, CAST((SELECT count(*) FROM i) AS BIGINT) AS names, CAST(sum(u) AS BIGINT) AS us, CAST(sum(v) AS BIGINT) AS vs, CAST(sum(round_even(abs(x) * 1000, 0)) AS BIGINT) AS dm, CAST(sum(idx) AS BIGINT) AS idx,
+  CAST(sum(v) FILTER (label = 0) AS BIGINT) AS bridged, (SELECT string_agg(name, ',' ORDER BY idx) FROM i) AS listed, round((SELECT sum(round_even(x, 5)) FROM p), 5) AS lon, round(sum(round_even(y, 5)), 5) AS lat FROM e JOIN i ON i.name = CAST(e.label AS VARCHAR)""")
 def payload_document(spark, d):
     """A graph document from points and chains between neighbours of a label."""
     p = roads.dense_ids(points(spark, d).select("id", "x", "y", "label"), "id", "n").select(F.col("n").alias("id"), F.col("x").alias("lon"), F.col("y").alias("lat"), "label")
     before = F.lag("id").over(W.partitionBy("label").orderBy("id"))
     edges = p.withColumn("u", before).where("u is not null").select(F.col("id").alias("eid"), "u", F.col("id").alias("v"), (F.abs("lon") * 100).alias("length"), F.col("label").cast("string").alias("name"), F.array(F.struct("lon", "lat")).alias("line"), (F.col("label") == 0).alias("bridged"))
-    return sink.graph_payload(p, edges, "1", "Points", [1], "points", "EPSG:4326", {"half_width_m": 8.0})
+    doc = sink.graph_payload(materialise(p, "points"), materialise(edges, "points-edges"), "1", "Points", [1], "points", "EPSG:4326", {"half_width_m": 8.0})
+    own = doc.select(F.from_json("payload", source.PAYLOAD).alias("p")).select("p.*")
+    each = lambda c, k, n: F.aggregate(F.filter(c, lambda x, i: i % n == k), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    sums = lambda c: F.round(F.aggregate(c, F.lit(0.0), lambda a, x: a + x), 5)
+    return own.select(
+        F.floor(F.size("edges") / 4).alias("edges"), F.floor(F.size("nodes") / 2).alias("nodes"), F.size("names").cast("long").alias("names"), *(each("edges", k, 4).alias(n) for k, n in enumerate(("us", "vs", "dm", "idx"))),
+        F.aggregate("bridged", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("bridged"), F.array_join("names", ",").alias("listed"), sums(F.filter("nodes", lambda x, i: i % 2 == 0)).alias("lon"), sums(F.transform("lines", lambda x: x[1])).alias("lat"),
+    )
+
+
+from . import streets  # noqa: E402,F401  adds its queries to the same lists

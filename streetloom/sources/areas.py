@@ -16,6 +16,18 @@ class Area:
     municipalities: tuple[int, ...]
 
 
+#: The published areas, in catalogue order, with the codes of their municipalities.
+AREAS = (
+    Area("4113700", "Londrina", "PR", (4113700,)),
+    Area("4106902", "Curitiba", "PR", (4106902,)),
+    Area("4115200", "Maringá", "PR", (4115200,)),
+    Area("4205407", "Florianópolis", "SC", (4205407,)),
+    Area("5300108", "Brasília", "DF", (5300108,)),
+    Area("3550308", "São Paulo", "SP", (3550308,)),
+    Area("abc-paulista", "ABC Paulista", "SP", (3547809, 3548708, 3548807, 3513801, 3529401, 3543303, 3544103)),
+)
+
+
 def catalogue(spark: SparkSession, areas: list[Area]) -> DataFrame:
     """(id, name, uf, municipalities, ordinal): a small dimension table in catalogue order."""
     rows = [(a.id, a.name, a.uf, list(a.municipalities), i) for i, a in enumerate(areas)]

@@ -12,10 +12,10 @@ from ..functions.text import direction
 PLACE = "array<struct<id:bigint,sigla:string,nome:string>>"
 FEATURES = "struct<features:array<struct<properties:map<string,string>,geometry:struct<type:string,coordinates:string>>>>"
 WAYS = "struct<elements:array<struct<type:string,id:bigint,tags:map<string,string>,nodes:array<bigint>,geometry:array<struct<lon:double,lat:double>>>>>"
-PAYLOAD = "struct<municipality:struct<code:string,name:string>,municipalities:array<bigint>,source:string,crs:string,params:map<string,double>,nodes:array<double>,edges:array<bigint>,lines:array<array<double>>,names:array<string>,bridged:array<bigint>,oneway:array<bigint>>"
+PAYLOAD = "struct<municipality:struct<code:string,name:string>,municipalities:array<bigint>,source:string,crs:string,params:map<string,double>,nodes:array<double>,edges:array<bigint>,lines:array<array<double>>,names:array<string>,bridged:array<bigint>,oneway:array<bigint>,directionSource:string,linkSource:string>"
 
 
-def whole_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def whole_files(spark: SparkSession, path: str | list[str], schema: str) -> DataFrame:
     """(path, doc): one row per file, parsed by schema. A missing field is null; a file that isn't JSON gives a null doc."""
     text = spark.read.option("wholetext", True).text(path)
     return text.select(F.col("_metadata.file_path").alias("path"), F.from_json("value", schema).alias("doc"))
@@ -26,10 +26,10 @@ def places(spark: SparkSession, path: str) -> DataFrame:
     return whole_files(spark, path, PLACE).select(F.inline("doc"))
 
 
-def boundaries(spark: SparkSession, path: str) -> DataFrame:
-    """GeoJSON features: code (bigint), kind and coordinates as JSON text, which keeps any nesting."""
-    rows = whole_files(spark, path, FEATURES).select(F.explode("doc.features").alias("f"))
-    return rows.select(F.col("f.properties")["codarea"].cast("bigint").alias("code"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+def boundaries(spark: SparkSession, path: str, with_path: bool = False) -> DataFrame:
+    """GeoJSON features: code (bigint), kind and coordinates as JSON text, which keeps any nesting; and the file's path."""
+    rows = whole_files(spark, path, FEATURES).select("path", F.explode("doc.features").alias("f"))
+    return rows.select(*["path"][: int(with_path)], F.col("f.properties")["codarea"].cast("bigint").alias("code"), F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
 
 
 def named_boundaries(features: DataFrame, names: DataFrame, keep_unknown: bool) -> DataFrame:
@@ -46,6 +46,17 @@ def optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def neighbourhoods(spark: SparkSession, path: str, municipality) -> DataFrame:
+    """Neighbourhoods of a municipality from a zipped shapefile: code, name, line; none where there is no such file."""
+    from .shapes import zipped_shapes
+
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(hadoop):
+        return spark.createDataFrame([], "code string, name string, line array<struct<x:double,y:double>>")
+    own = of_municipality(zipped_shapes(spark, path).withColumn("CD_MUN", F.col("attrs")["CD_MUN"]), municipality)
+    return own.select(F.col("attrs")["CD_BAIRRO"].alias("code"), F.col("attrs")["NM_BAIRRO"].alias("name"), "line")
+
+
 def of_municipality(table: DataFrame, code) -> DataFrame:
     """Rows whose CD_MUN equals the code, compared as strings."""
     return table.where(F.col("CD_MUN").cast("string") == str(code))
@@ -63,7 +74,7 @@ def keep_first(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def map_elements(spark: SparkSession, path: str) -> DataFrame:
+def map_elements(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """All elements of a folder of tile files, each way once, from the first tile and place that has it."""
     rows = whole_files(spark, path, WAYS).select("path", F.posexplode("doc.elements").alias("pos", "e")).select("path", "pos", "e.*")
     return keep_first(rows.where("type = 'way'"), "id", "path", "pos").drop("path", "pos")

@@ -51,6 +51,33 @@ def attributes(raw: bytes, encoding: str = "utf-8") -> Iterator[dict[str, str |
         yield row
 
 
+def _shp(lines: list[list[tuple[float, float]]]) -> bytes:
+    body = b""
+    for i, line in enumerate(lines):
+        xs, ys = [p[0] for p in line], [p[1] for p in line]
+        record = struct.pack("<i4d3i", 3, min(xs), min(ys), max(xs), max(ys), 1, len(line), 0) + b"".join(struct.pack("<2d", *p) for p in line)
+        body += struct.pack(">2i", i + 1, len(record) // 2) + record
+    return struct.pack(">i20xi", 9994, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 3, *[0.0] * 8) + body
+
+
+def _dbf(columns: dict[str, list[str]], encoding: str = "utf-8") -> bytes:
+    raw = {n: [v.encode(encoding) for v in values] for n, values in columns.items()}
+    width = {n: max([1, *map(len, values)]) for n, values in raw.items()}
+    head = b"".join(n.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([width[n], 0]) + b"\0" * 14 for n in raw)
+    rows = [b" " + b"".join(raw[n][i].ljust(width[n]) for n in raw) for i in range(len(next(iter(raw.values()), [])))]
+    return struct.pack("<4BIHH20x", 3, 24, 1, 1, len(rows), 33 + len(head), 1 + sum(width.values())) + head + b"\r" + b"".join(rows)
+
+
+def write_zip(members: dict[str, tuple[list, dict[str, list[str]]]]) -> bytes:
+    """A zip of shapefiles of single lines: by member name without ending, the lines and the columns of text."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, (lines, columns) in members.items():
+            z.writestr(f"{name}.shp", _shp(lines))
+            z.writestr(f"{name}.dbf", _dbf(columns))
+    return out.getvalue()
+
+
 def read_zip(raw: bytes, prefix: str = "") -> Iterator[tuple[str, dict[str, str | None], list]]:
     """(member, attributes, parts) of all shapefiles in a zip whose name starts with prefix."""
     with zipfile.ZipFile(io.BytesIO(raw)) as z:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,22 +16,52 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that driver and executors share; one of our own only in local mode, where the session may name none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = _own_dir()
     return f"{base.rstrip('/')}/streetloom/{spark.sparkContext.applicationId}"
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back; the folder goes when the application ends.
 
     Loops use this between rounds: plans stay short, a lost executor costs a re-read, and both sides of a following join
     are plain exchanges, which adaptive execution can split when one key is hot."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(hadoop)
+    path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+_WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Delete what materialise wrote for these very DataFrames; nothing that was derived from them may be read after it."""
+    for df in tables:
+        if df is not None and (path := _WRITTEN.pop(df, None)):
+            hadoop = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(hadoop, True)
+
+
+def replace(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """materialise(new), after which the table of the round before is deleted."""
+    out = materialise(new, name)
+    free(old)
+    return out
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

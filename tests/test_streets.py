@@ -193,9 +193,10 @@ def test_features_by_group(spark, tmp_path):
     docs = sink.feature_collections(f, "uf", "k")
     got = {r.uf: json.loads(r.json) for r in docs.collect()}
     assert [x["properties"]["name"] for x in got["PR"]["features"]] == ["x", "y"]
-    sink.write_documents(docs, str(tmp_path / "out"), "uf")
-    sink.write_documents(docs.where("uf = 'PR'"), str(tmp_path / "out"), "uf")
-    assert spark.read.text(str(tmp_path / "out")).count() == 2
+    out = f"file://{tmp_path}/out"
+    sink.write_documents(docs, out, "uf")
+    assert {r.uf: r.chars for r in sink.write_documents(docs.where("uf = 'PR'"), out, "uf").collect()} == {"PR": len(docs.where("uf = 'PR'").first().json)}
+    assert spark.read.text(out).count() == 2
 
 
 def test_fetch_unpacks_and_caches(tmp_path):
@@ -208,11 +209,11 @@ def test_fetch_unpacks_and_caches(tmp_path):
         return io.BytesIO(gzip.compress(b"{}"))
 
     waits = []
-    path = fetch.fetch_tile("http://example.org/x", "q", tmp_path / "a.json", opener=opener, sleep=waits.append)
-    assert path.read_bytes() == b"{}" and waits == [30.0, 2.0]
+    path = fetch.fetch_tile("http://example.org/x", "q", f"file://{tmp_path}/a.json", opener=opener, sleep=waits.append)
+    assert (tmp_path / "a.json").read_bytes() == b"{}" and waits == [30.0, 2.0]
     fetch.fetch_tile("http://example.org/x", "q", path, opener=opener)
     assert len(calls) == 2
-    assert fetch.tile_path(tmp_path, "k", (0, 0, 1, 1)) != fetch.tile_path(tmp_path, "k", (0, 0, 1, 2))
+    assert fetch.tile_path("file:///x", "k", (0, 0, 1, 1)) != fetch.tile_path("file:///x", "k", (0, 0, 1, 2))
 
 
 def test_tiles():
