@@ -5,25 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import free, materialise, replace
+from ..tables import free, materialise, materialise_counting, replace
 
 
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(v, comp): each vertex of edges (u, v) with the smallest vertex reachable from it, directions ignored.
 
     Without `vertices` (column v) only ends of edges come back, self-loops included. Each round takes the smallest label
-    of a vertex and its neighbours and then follows the label once, so chains need a logarithmic number of rounds."""
+    of a vertex and its neighbours and follows it once more, by the labels of the round before, so chains need a
+    logarithmic number of rounds. A round is one job, which also counts the labels that change."""
     both = edges.select(F.col("u").alias("a"), F.col("v").alias("b"))
     both = materialise(both.union(both.select("b", "a")).distinct(), "cc-edges")
     labels = materialise(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("comp")), "cc-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("m"))
-        new = materialise(labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("comp")), "cc-near")
+        near = both.join(labels.select(F.col("v").alias("b"), "comp"), "b").groupBy(F.col("a").alias("v")).agg(F.min("comp").alias("m"))
+        low = labels.join(near, "v").select("v", F.col("comp").alias("old"), F.least("comp", "m").alias("low"))
+        roots = labels.select(F.col("v").alias("low"), F.col("comp").alias("root"))
+        new = low.join(roots, "low").select("v", "old", F.least("low", "root").alias("comp"))
+        new, changed = materialise_counting(new, "cc-labels", F.col("old") != F.col("comp"))
         free(labels)
-        if new.where("old <> comp").isEmpty():
+        if not changed:
             break
-        roots = new.select(F.col("v").alias("comp"), F.col("comp").alias("root"))
-        labels = replace(new, new.select("v", "comp").join(roots, "comp").select("v", F.col("root").alias("comp")), "cc-labels")
+        labels = new
     free(both)
     found = new.select("v", "comp")
     if vertices is None:
@@ -51,10 +54,10 @@ def _spread(labels: DataFrame, arcs_: DataFrame) -> DataFrame:
     fresh = labels
     while True:
         step = arcs_.join(fresh.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("c").alias("m"))
-        better = materialise(labels.join(step, "v").where("m < c").select("v", F.col("m").alias("c")), "scc-better")
+        better, n = materialise_counting(labels.join(step, "v").where("m < c").select("v", F.col("m").alias("c")), "scc-better", F.lit(True))
         if fresh is not labels:
             free(fresh)
-        if better.isEmpty():
+        if not n:
             return labels
         labels = replace(labels, labels.join(better.withColumnRenamed("c", "m"), "v", "left").select("v", F.coalesce("m", "c").alias("c")), "scc-labels")
         fresh = better

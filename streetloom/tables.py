@@ -7,7 +7,8 @@ import tempfile
 import uuid
 import weakref
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 @functools.lru_cache(maxsize=1)
@@ -46,6 +47,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def materialise_counting(df: DataFrame, name: str, condition: Column) -> tuple[DataFrame, int]:
+    """materialise(df), and the number of its rows that fulfil the condition, counted while they are written."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count_if(condition).alias("n")), name)
+    return out, seen.get["n"]
+
+
 _WRITTEN: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 

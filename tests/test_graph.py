@@ -1,6 +1,7 @@
 """Graph operators on small graphs with hand-made expectations and against plain Python."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from streetloom.config import CorridorParams
 from streetloom.kernels import finders, paths, raster
 from streetloom.operators import components as C
-from streetloom.operators import corridor, roads
-from streetloom.operators.detours import link_detours
+from streetloom.functions import lines as L
+from streetloom.operators import corridor, grid, roads
+from streetloom.operators.detours import far_pairs, link_detours
 from streetloom.plans.build import build_graph
 
 LINE = "array<struct<x:double,y:double>>"
@@ -122,6 +124,50 @@ def test_carriageways_are_linked_around_a_block(spark):
     assert got == {frozenset((0, 3)), frozenset((2, 5))}
 
 
+@pytest.mark.parametrize("line, kept", [
+    ([(0, -4), (0, -2), (0, 0), (0, 2), (0, 4)], False), ([(0, -4), (0, -1), (0, 3)], False), ([(0, -4), (0, 0)], True), ([(-5, 5), (0, 0), (5, 5)], False),
+    ([(-10, 0), (-10, 5)], True), ([(-20, 0), (20, 0)], True), ([(-5, 5), (-5, 0), (5, 0), (5, 5)], True), ([(-10, -5), (-10, 5)], True), ([(0, 1), (0, 5)], True),
+])
+def test_links_cross_lines_at_vertices_too(spark, line, kept):
+    link = spark.createDataFrame([(1, -10.0, 0.0, 10.0, 0.0)], "k int, ax double, ay double, bx double, by double")
+    lines = spark.createDataFrame([(1, [(float(x), float(y)) for x, y in line])], f"eid long, line {LINE}")
+    assert grid.without_crossing(link, lines, "eid", 7.0, "k").count() == int(kept)
+
+
+def test_nearest_ends_with_nulls_and_far_points(spark):
+    nan, inf = float("nan"), float("inf")
+    left = spark.createDataFrame([(1, 0.0, 0.0), (2, 1e6, 0.0), (3, None, 0.0), (4, nan, 0.0), (5, 0.0, inf), (None, 0.0, 0.0)], "a long, x double, y double")
+    right = spark.createDataFrame([(7, 3.0, 4.0), (6, -3.0, 4.0), (8, nan, 0.0), (9, None, None)], "b long, x double, y double")
+    got = {r.a: (r.b, r.distance) for r in grid.nearest(left, right, 0.5, "a", "b").collect()}
+    assert got[1] == (6, 5.0) and got[2][0] == 7 and all(got[k] == (None, None) for k in (3, 4, 5, None)) and len(got) == 6
+    assert {r.b for r in grid.nearest(left, right.where("b > 7"), 0.5, "a", "b").collect()} == {None}
+    walls = spark.createDataFrame([(1, -50.0, 3.0, 50.0, 3.0), (2, 0.0, 4.0, 0.0, 9.0)], "f long, ax double, ay double, bx double, by double")
+    near = {r.a: (r.f, r.distance) for r in grid.nearest_segment(left.where("a is not null"), walls, 0.5, "a", "f").collect()}
+    assert near[1] == (1, 3.0) and near[2][0] == 1 and near[3] == (None, None)
+
+
+def test_long_lines_and_chains_cost_in_proportion(spark):
+    """A line of 20,000 points and a chain of 3,000 edges: quadratic plans took minutes for them."""
+    began = time.perf_counter()
+    xs = [float(i) for i in range(20_001)]
+    line = spark.createDataFrame([(1, [(x, 0.0) for x in xs])], f"k int, line {LINE}")
+    got = L.segments(line, "k").agg(F.max("before"), F.count("*")).first()
+    assert tuple(got) == (19_999.0, 20_000)
+    s = L.samples(line, "k", 10.0).agg(F.count("*"), F.min("hx"), F.max("x"), F.min("x")).first()
+    assert tuple(s) == (2000, 1.0, 19_995.0, 5.0)
+    assert tuple(L.middles(line, "k").first())[1:] == (10_000.0, 0.0)
+    xy = line_xy(3001)
+    (r,) = roads.contract_chains(edges_of(spark, [(i, i + 1, 1) for i in range(3000)], xy)).collect()
+    assert ({r.u, r.v}, r.length, [p.x for p in r.line] in ([100.0 * i for i in range(3001)], [100.0 * i for i in range(3000, -1, -1)])) == ({0, 3000}, 3000.0, True)
+    assert time.perf_counter() - began < 120
+
+
+def test_far_pairs_by_bounded_search(spark):
+    edges = edges_of(spark, [(0, 1, 100), (1, 2, 100), (2, 3, 900)], line_xy(4))
+    pairs = spark.createDataFrame([(0, 2, 30.0), (0, 3, 30.0), (2, 3, 1.0), (3, 9, 5.0)], "u long, v long, gap double")
+    assert {(r.u, r.v) for r in far_pairs(pairs, edges, 10.0).collect()} == {(0, 3), (2, 3), (3, 9)}
+
+
 def test_components_and_strong_components_match_plain_search(spark):
     r = random.Random(3)
     pairs = sorted({(r.randrange(30), r.randrange(30)) for _ in range(38)})
@@ -156,12 +202,22 @@ def test_finders_agree_on_random_grids():
     g = finders.Graph.of(nodes, links)
     for s, t in ((0, 63), (5, 40), (7, 7)):
         path, cost, _ = finders.dijkstra(g, s, t)
-        for name in ("astar", "alt", "bidirectional"):
+        for name in ("astar", "alt", "bidirectional", "contraction"):
             p, c, _ = finders.FINDERS[name](g, s, t)
             assert c == pytest.approx(cost) and p[0] == s and p[-1] == t
-        for name in ("greedy", "beam", "ant_colony", "genetic"):
+            assert c == pytest.approx(finders.cost_of(g, p))
+        for name in ("greedy", "beam", "ant_colony", "genetic", "annealing", "particle_swarm", "nsga2"):
             p, c, _ = finders.FINDERS[name](g, s, t, 1)
             assert c >= cost - 1e-6 and p[0] == s and p[-1] == t and c == pytest.approx(finders.cost_of(g, p))
+    # As wide as the grid, a beam looks at all nodes of a level; the shortest paths here have the fewest edges.
+    assert finders.beam(g, 0, 63)[1] == pytest.approx(finders.dijkstra(g, 0, 63)[1])
+    front = [v for _, v in finders.pareto_paths(g, 0, 63, 1)]
+    assert finders.fronts(front) == [list(range(len(front)))]
+
+
+def test_a_beam_takes_the_shortest_parent():
+    g = finders.Graph.of([(i, 0.0, 0.0) for i in range(4)], [(0, 1, 1.0), (0, 2, 5.0), (1, 3, 9.0), (2, 3, 1.0)])
+    assert finders.beam(g, 0, 3)[:2] == ([0, 2, 3], 6.0)
 
 
 def test_raster_kernels():
