@@ -275,7 +275,8 @@ class Automaton:
 def classes() -> np.ndarray:
     """Of each code point whether it is white space, a letter, a number or something else."""
     out = np.full(0x110000, _OTHER, np.uint8)
-    every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+    points = np.arange(0x110000, dtype="<u4")
+    every = points[(points < 0xD800) | (points >= 0xE000)].tobytes().decode("utf-32-le")
     for form, kind in ((r"\p{L}+", _LETTER), (r"\p{N}+", _NUMBER)):
         for m in regex.finditer(form, every):
             out[ord(m.group()[0]) : ord(m.group()[-1]) + 1] = kind  # no run goes over the surrogates

@@ -6,14 +6,16 @@
    of a union are the larger ones of the parts' (`merge_registers`), and two sets agree in a register with a
    probability near their Jaccard similarity.
 2. Equal sets form classes; only the smallest doc_id of a class goes on, so copies never become pairs.
-3. Bands of register values give buckets. A bucket compares its smallest member with all others (a star), not all pairs.
-4. A pair stays a candidate unless the likelihood of the observed register order (greater, equal, less), given both
-   cardinalities, makes the threshold implausible; candidates are then confirmed on the full sets.
-5. Members of a bucket that lie in different components after that are compared further, so a star loses no link. Small
-   buckets do it pair by pair. In large ones each member keeps its residual, the symmetric difference of its set and its
-   star centre's. As |A ^ B| = |A ^ C| + |B ^ C| - 2 |(A ^ C) & (B ^ C)|, two residuals give the exact similarity of two
-   members inside the join's condition, behind bounds by size and by the triangle inequality of Jaccard distances, so
-   the join returns links only. Only members outside the bucket's largest component start such pairs.
+3. Bands of register values give buckets. A bucket compares its smallest member, its centre, with all others (a star), not
+   all pairs. A centre's star is the same in all buckets that it leads.
+4. Before any text moves, a pair is dropped if the likelihood of the observed register order (greater, equal, less), given
+   both cardinalities, makes the threshold implausible. The others are confirmed on the full sets.
+5. Members that lie in different components after that are compared further, so a star loses no link. Members that are
+   plausibly near their centre keep their residual, the symmetric difference of their set and the centre's. As
+   |A ^ B| = |A ^ C| + |B ^ C| - 2 |(A ^ C) & (B ^ C)|, two residuals give the exact similarity of two members inside the
+   join's condition, behind bounds by size and by the triangle inequality of Jaccard distances, so the join returns links
+   only; only members outside the star's largest component start such pairs. Members of a bucket that are not near its
+   centre meet all others there behind a bound on a bit of each register, and what passes goes through step 4.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import free
 from .common import materialise, table
 from .components import components
 from .shingles import U, mix, shingle_sets, slices
@@ -39,7 +42,8 @@ class NearDupParams:
     bands: int = 24
     rows: int = 5
     base: float = 1.001
-    small_bucket: int = 64
+    #: Members of a star that are measured together, beside one copy of the centre's text.
+    together: int = 256
     #: A candidate goes if twice the log-likelihood ratio against the threshold exceeds this (five standard deviations).
     reject: float = 25.0
 
@@ -96,7 +100,21 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, p: N
     return keep, found
 
 
-_SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, regs binary"
+_SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, regs binary, bits array<long>"
+
+
+def bits_of(regs: np.ndarray) -> np.ndarray:
+    """A bit of each register, packed into 64-bit words: equal registers have equal bits, others in half of the cases."""
+    one = (mix(regs.astype(U) + U(1)) >> U(63)).astype(np.uint8)
+    padded = np.zeros((len(regs), -(-regs.shape[1] // 64) * 64), np.uint8)
+    padded[:, : regs.shape[1]] = one
+    return np.packbits(padded, axis=1).view(np.int64)
+
+
+def most_bits(p: NearDupParams) -> int:
+    """Bits in which a pair at the threshold differs at most, by as many standard deviations as the likelihood allows."""
+    q = (1 - p.percent / 100) / 2
+    return int(np.ceil(p.registers * q + np.sqrt(p.reject * p.registers * q * (1 - q))))
 
 
 def sketch(documents: DataFrame, p: NearDupParams) -> DataFrame:
@@ -108,11 +126,12 @@ def sketch(documents: DataFrame, p: NearDupParams) -> DataFrame:
                 sets = list(shingle_sets(batch.column("text")))
                 n = np.asarray([len(s) for s in sets], np.int64)
                 full = [s for s in sets if len(s)]
-                regs = iter(registers_of(full, p) if full else ())
+                found = registers_of(full, p) if full else np.zeros((0, p.registers), np.uint16)
+                regs, bits = iter(found), iter(bits_of(found).tolist())
                 sums = np.asarray([[mix(s ^ U(c)).sum(dtype=U) for c in (0xA5A5A5A5, 0x3C3C3C3C3C)] for s in sets], U).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["doc_id", "n_shingles", "sig1", "sig2", "regs"],
+                    [batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array([next(regs).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([next(bits) if len(s) else None for s in sets], pa.list_(pa.int64()))],
+                    names=["doc_id", "n_shingles", "sig1", "sig2", "regs", "bits"],
                 )
 
     return documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(kernel, _SKETCH)
@@ -131,48 +150,60 @@ def _plausible_pairs(pairs: DataFrame, classes: DataFrame, p: NearDupParams) ->
     return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ra", "rb").mapInArrow(kernel, "a long, b long")
 
 
-def _measured(pairs: DataFrame, texts: DataFrame, residuals: bool = False) -> DataFrame:
-    """Intersection and set sizes of pairs: a, b, both, na, nb; with residuals also the symmetric difference."""
+def _measured(pairs: DataFrame, docs: DataFrame, p: NearDupParams, residuals: bool = False) -> DataFrame:
+    """Intersection and set sizes of pairs: a, b, both, na, nb; with residuals also the symmetric difference.
+
+    Pairs with one a are cut into parts of about p.together, each with one copy of a's text ahead of those of its bs, so a
+    hot a is spread over tasks and no text is copied for each pair."""
     names = ["a", "b", "both", "na", "nb", "residual"][: 5 + residuals]
+    types = [pa.int64()] * 5 + [pa.list_(pa.int64())] * residuals
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        heads: list = []
+        begins = True
         for whole in batches:
-            for batch in slices(whole, "ta", "tb"):
-                a, ta, rows, differ = batch.column("a").to_pylist(), batch.column("ta"), [], []
-                for i, sb in enumerate(shingle_sets(batch.column("tb"))):
-                    if last[0] != a[i]:  # rows with one left side mostly follow each other
-                        last = (a[i], next(shingle_sets(ta.slice(i, 1))))
-                    both = np.intersect1d(last[1], sb, assume_unique=True)
-                    rows.append((len(both), len(last[1]), len(sb)))
-                    if residuals:
-                        differ.append(np.setxor1d(last[1], sb, assume_unique=True).view(np.int64))
-                columns = [batch.column("a"), batch.column("b"), *(pa.array(x, pa.int64()) for x in zip(*rows, strict=True))]
-                if residuals:
-                    ends = np.cumsum([0, *(len(d) for d in differ)])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(differ))))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    side = lambda s: texts.select(F.col("doc_id").alias(s), F.col("text").alias(f"t{s}"))
-    schema = "a long, b long, both long, na long, nb long" + ", residual array<long>" * residuals
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "ta", "tb").mapInArrow(kernel, schema)
-
-
-def _links_of_large(rows: DataFrame, stars: DataFrame, p: NearDupParams) -> DataFrame:
-    """The links (a, b) across components among rows (key, rep, center, comp) of large buckets."""
-    star = stars.select(F.col("a").alias("center"), F.col("b").alias("rep"), F.col("nb").alias("n"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"), "residual")
-    sizes = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
-    major = materialise(sizes.groupBy("key").agg(F.max(F.struct("n", "comp")).getField("comp").alias("major")), "nd-major")
-    marked = materialise(rows.join(major, "key").withColumn("minor", F.col("comp") != F.col("major")), "nd-marked")
-    full = materialise(marked.join(star, ["center", "rep"]), "nd-full")
+            for batch in slices(whole, "text"):
+                out: list[list] = [[] for _ in names]
+                for a, b, own in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+                    if b is None:
+                        heads = [*([] if begins else heads), own]
+                        begins = False
+                        continue
+                    begins = True
+                    for head in heads:
+                        both = np.intersect1d(head, own, assume_unique=True)
+                        row = [a, b, len(both), len(head), len(own)] + ([np.setxor1d(head, own, assume_unique=True).view(np.int64)] if residuals else [])
+                        for column, x in zip(out, row, strict=True):
+                            column.append(x)
+                if out[0]:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / p.together).cast("int").alias("parts"))
+    dealt = materialise(pairs.join(parts, "a").withColumn("part", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")).drop("parts"), "nd-dealt")
+    ids = dealt.select(F.col("a").alias("doc_id")).union(dealt.select("b")).distinct()
+    # Rows of one id with several texts are all measured, each with each.
+    texts = materialise(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), "nd-texts")
+    heads = dealt.select("a", "part").distinct().join(texts.withColumnRenamed("doc_id", "a"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    rows = dealt.join(texts.withColumnRenamed("doc_id", "b"), "b").select("a", "part", "b", "text").unionByName(heads)
+    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first()).select("a", "b", "text")
+    found = materialise(rows.mapInArrow(kernel, "a long, b long, both long, na long, nb long" + ", residual array<long>" * residuals), "nd-measured")
+    free(dealt, texts)
+    return found
+
+
+def _links_of_stars(rows: DataFrame, p: NearDupParams) -> DataFrame:
+    """The links (a, b) across components among rows (center, rep, comp, major, n, d, residual) of stars."""
+    full = rows.withColumn("minor", F.col("comp") != F.col("major"))
     t = p.percent
     once = f"x.comp <> y.comp and (not y.minor or x.rep < y.rep) and 100 * least(x.n, y.n) >= {t} * greatest(x.n, y.n)"
     near = f"abs(x.d - y.d) <= {1 - t / 100 + 1e-9}"
-    # 2 * intersection = x.n + y.n - |x ^ y|, and the union is x.n + y.n - intersection.
-    twice = "(x.n + y.n - (size(x.residual) + size(y.residual) - 2 * size(array_intersect(x.residual, y.residual))))"
-    linked = f"{100 + t} * {twice} >= {2 * t} * (x.n + y.n)"
+    # 2 * intersection = x.n + y.n - |x ^ y|, and the union is x.n + y.n - intersection. The overlap of the residuals that
+    # a link needs is bounded by the smaller one before the arrays are looked at.
+    need = f"({2 * t} * (x.n + y.n) / {100 + t}.0D - (x.n + y.n) + size(x.residual) + size(y.residual)) / 2"
+    linked = f"least(size(x.residual), size(y.residual)) >= {need} - 1e-6 and size(array_intersect(x.residual, y.residual)) >= {need} - 1e-6"
+    exact = f"{100 + t} * (x.n + y.n - (size(x.residual) + size(y.residual) - 2 * size(array_intersect(x.residual, y.residual)))) >= {2 * t} * (x.n + y.n)"
     x, y = full.where("minor").alias("x"), full.alias("y")
-    pairs = x.join(y, F.expr(f"x.key = y.key and {once} and {near} and {linked}"))
+    pairs = x.join(y, F.expr(f"x.center = y.center and {once} and {near} and {linked} and {exact}"))
     return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
@@ -184,53 +215,46 @@ def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams()) ->
     white-space text has an empty set and is linked with nothing; equal texts of fewer than five words are linked;
     repeated rows give equal result rows; a doc_id with several texts has a row for each of them; a null doc_id takes
     no part and comes back with a null component_id and kept true; no rows give no rows; other columns are ignored."""
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = materialise(sketch(docs, p), "nd-sketch")
     # The registers follow from the set, so grouping by them too keeps the aggregate a plain minimum.
     known = sketches.where("doc_id is not null and n_shingles > 0")
-    classes = materialise(known.groupBy("sig1", "sig2", "n_shingles", "regs").agg(F.min("doc_id").alias("rep")), "nd-classes")
+    classes = materialise(known.groupBy("sig1", "sig2", "n_shingles", "regs", "bits").agg(F.min("doc_id").alias("rep")), "nd-classes")
 
     width = 2 * p.rows
     keys = F.array(*(F.xxhash64(F.lit(i), F.substring("regs", 1 + i * width, width)) for i in range(p.bands)))
     banded = classes.select("rep", F.explode(keys).alias("key"))
-    buckets = materialise(banded.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1"), "nd-buckets")
-    members = materialise(banded.join(buckets, "key"), "nd-members")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        return materialise(docs.join(ids, "doc_id", "left_semi"), "nd-texts")
+    buckets = materialise(banded.groupBy("key").agg(F.min("rep").alias("center"), F.count("*").alias("size")).where("size > 1").drop("size"), "nd-buckets")
+    met = materialise(banded.join(buckets, "key").where("rep <> center"), "nd-members")
 
     linked = F.expr(f"100 * both >= {p.percent} * (na + nb - both)")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        likely = materialise(_plausible_pairs(pairs.distinct(), classes, p), "nd-likely")
-        return materialise(_measured(likely, texts_of(likely)).where(linked).select("a", "b"), "nd-links")
-
-    def unresolved(rows: DataFrame) -> DataFrame:
-        """Rows with their component, of the buckets whose members lie in several; a bucket's centre has met all others."""
-        rows = materialise(rows.join(comps.withColumnsRenamed({"v": "rep"}), "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "nd-labelled")
-        mixed = materialise(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "nd-mixed")
-        return materialise(rows.join(mixed, "key", "left_semi"), "nd-open")
-
-    met = members.where("rep <> center")
-    star = lambda rows: rows.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
-    small, large = met.where(F.col("size") <= p.small_bucket), met.where(F.col("size") > p.small_bucket)
-    found = confirmed(star(small))
-    any_large = not large.isEmpty()
-    if any_large:
-        stars = materialise(star(large), "nd-stars")
-        stars = materialise(_measured(stars, texts_of(stars), residuals=True), "nd-residuals")
-        found = found.union(stars.where(linked).select("a", "b"))
+    stars = met.select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct()
+    likely = materialise(_plausible_pairs(stars, classes, p), "nd-likely")
+    measured = _measured(likely, docs, p)
+    found = measured.where(linked).select("a", "b")
     comps = components(found)
 
-    few = unresolved(small.select("key", "rep"))
-    x, y = few.alias("x"), few.alias("y")
-    # A plain join by key: these buckets have small_bucket members at most.
-    pairs = x.join(y, "key").where("x.rep < y.rep and x.comp <> y.comp").select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    found = found.union(confirmed(pairs))
-    if any_large:
-        found = found.union(materialise(_links_of_large(unresolved(large.select("key", "rep", "center")), stars, p), "nd-links"))
+    # Stars whose members lie in several components; the centre itself has met all of them.
+    named = comps.withColumnsRenamed({"v": "rep"})
+    near = measured.select(F.col("a").alias("center"), F.col("b").alias("rep"), F.col("nb").alias("n"), (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("d"))
+    near = materialise(near.join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep")), "nd-near")
+    sizes = near.groupBy("center", "comp").agg(F.count("*").alias("n"))
+    open_ = sizes.groupBy("center").agg(F.max(F.struct("n", "comp")).getField("comp").alias("major"), F.count("*").alias("comps")).where("comps > 1").drop("comps")
+    open_ = materialise(near.join(open_, "center"), "nd-open")
+    residuals = _measured(open_.select(F.col("center").alias("a"), F.col("rep").alias("b")), docs, p, residuals=True)
+    full = materialise(open_.join(residuals.select(F.col("a").alias("center"), F.col("b").alias("rep"), "residual"), ["center", "rep"]), "nd-full")
+    found = found.union(materialise(_links_of_stars(full, p), "nd-links"))
+
+    # Members that are not near their bucket's centre meet the bucket's others.
+    far = materialise(met.join(likely.select(F.col("a").alias("center"), F.col("b").alias("rep")), ["center", "rep"], "left_anti").select("key", "rep"), "nd-far")
+    own = classes.select("rep", F.col("n_shingles").alias("n"), "bits").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    beside = met.join(far.select("key").distinct(), "key", "left_semi").select("key", "rep")
+    x, y = far.join(own, "rep").alias("x"), beside.join(far.withColumn("far", F.lit(True)), ["key", "rep"], "left").join(own, "rep").alias("y")
+    differ = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(-(-p.registers // 64)))
+    alike = f"x.comp <> y.comp and (y.far is null or x.rep < y.rep) and 100 * least(x.n, y.n) >= {p.percent} * greatest(x.n, y.n) and {differ} <= {most_bits(p)}"
+    pairs = x.join(y, F.expr(f"x.key = y.key and {alike}")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    pairs = materialise(_plausible_pairs(pairs, classes, p), "nd-likely")
+    found = found.union(_measured(pairs, docs, p).where(linked).select("a", "b"))
     comps = components(found)
 
     # Every document to its class, every class to its component.

@@ -312,11 +312,15 @@ def _ahead(base: Column, found: Column) -> Column:
 def _hits(base: Column, found: Column, ahead: Column) -> Column:
     """For each candidate whether a base span overlaps it. Those of a kind don't overlap, so the two beside it decide."""
 
-    def hit(c, k):
-        r = ahead[k]
-        return F.coalesce(F.get(base, r - 1)["end"] > c["start"], F.lit(False)) | F.coalesce(F.get(base, r)["start"] < c["end"], F.lit(False))
+    def hits(x):
+        def hit(c, k):
+            r = x["ahead"][k]
+            return F.coalesce(F.get(x["base"], r - 1)["end"] > c["start"], F.lit(False)) | F.coalesce(F.get(x["base"], r)["start"] < c["end"], F.lit(False))
 
-    return F.transform(found, hit)
+        return F.transform(x["found"], hit)
+
+    # Bound once: the optimiser may put a column's expression in the place of its name, inside a lambda as well.
+    return let(F.struct(base.alias("base"), found.alias("found"), ahead.alias("ahead")), hits)
 
 
 def judged(c: Column, model: Model) -> Column:
@@ -331,8 +335,8 @@ def best(taken: Column) -> Column:
     """Of sorted candidates with their probabilities those that no likelier one overlaps."""
     rank = lambda c: F.struct(c["p"], -c["start"], -c["kind"])
     beats = lambda o, c: (o["start"] < c["end"]) & (c["start"] < o["end"]) & (rank(o) > rank(c))
-    near = lambda i: F.slice(taken, F.greatest(i + 1 - _NEAR, F.lit(1)), F.lit(2 * _NEAR + 1))
-    kept = F.filter(taken, lambda c, i: ~F.exists(near(i), lambda o: beats(o, c)))
+    near = lambda all_, i: F.slice(all_, F.greatest(i + 1 - _NEAR, F.lit(1)), F.lit(2 * _NEAR + 1))
+    kept = let(taken, lambda all_: F.filter(all_, lambda c, i: ~F.exists(near(all_, i), lambda o: beats(o, c))))
     return F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["kind"].alias("kind"), c["end"].alias("end"), c["m"].alias("m")))
 
 
@@ -352,7 +356,8 @@ def _with_spans(documents: DataFrame, p: PiiParams) -> DataFrame:
     out = out.withColumns({f"_pii_base_{k}": base_of(text, k) for k in KINDS} | {"_pii_found": candidates(text)})
     out = out.withColumns({f"_pii_ahead_{k}": _ahead(col("base_", k), col("found")) for k in KINDS})
     out = out.withColumns({f"_pii_hits_{k}": _hits(col("base_", k), col("found"), col("ahead_", k)) for k in KINDS})
-    free = F.filter(col("found"), lambda c, i: ~functools.reduce(lambda a, b: a | b, (col("hits_", k)[i] for k in KINDS)))
+    hits = F.struct(col("found").alias("found"), *(col("hits_", k).alias(k) for k in KINDS))
+    free = let(hits, lambda x: F.filter(x["found"], lambda c, i: ~functools.reduce(lambda a, b: a | b, (x[k][i] for k in KINDS))))
     cuts = F.array(*(F.lit(model.thresholds[k]) for k in KINDS))
     out = out.withColumn("_pii_taken", F.filter(F.transform(free, lambda c: judged(c, model)), lambda c: c["p"] >= cuts[c["kind"]]))
     out = out.withColumn("_pii_base", F.array_sort(F.concat(*(col("base_", k) for k in KINDS))))
@@ -404,8 +409,8 @@ def _piece(parts: Column, a: Column, b: Column) -> Column:
 def redact(text: Column, cut: Column, parts: Column) -> Column:
     """The text with [EMAIL], [IP], [CARD] or [PHONE] in place of what to_cut names; parts are the text's chunks."""
     marks = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
-    pieces = F.transform(cut, lambda x: F.concat(_piece(parts, x["from"], x["start"]), F.coalesce(F.get(marks, x["kind"]), F.lit(""))))
-    return F.when(F.size(cut) == 0, text).otherwise(F.array_join(pieces, ""))
+    pieces = lambda x: F.transform(x["cut"], lambda c: F.concat(_piece(x["parts"], c["from"], c["start"]), F.coalesce(F.get(marks, c["kind"]), F.lit(""))))
+    return F.when(F.size(cut) == 0, text).otherwise(F.array_join(let(F.struct(cut.alias("cut"), parts.alias("parts")), pieces), ""))
 
 
 def _counts() -> list[Column]:

@@ -19,7 +19,7 @@ try:
     _LIBC.malloc_trim  # noqa: B018  not in every C library
 except (OSError, AttributeError):
     _LIBC = None
-_CHUNK = 1 << 20
+_CHUNK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -127,7 +127,7 @@ def _give_back() -> None:
         _LIBC.malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch, *texts: str, limit: int = 1 << 21) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, *texts: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into pieces of about `limit` bytes of text, so that a kernel's memory does not follow the batch."""
     if batch.num_rows == 0:
         return

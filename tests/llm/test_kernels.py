@@ -12,20 +12,14 @@ from hypothesis import strategies as st
 
 from streetloom.llm import bpe, chat, near_dup, quality, shingles, topk, vectors, warc
 
-
-def plain_shingles(text):
-    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
-    for sep in "\t\n\x0b\x0c\r":
-        lower = lower.replace(sep, " ")
-    w = [x for x in lower.split(" ") if x]
-    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()}
+from . import plain
 
 
 def test_shingle_sets_have_plain_sizes_and_overlaps():
     r = random.Random(0)
     texts = [" ".join(r.choice(["a", "B", "c", "É", "ß"]) for _ in range(r.randrange(12))) for _ in range(60)] + [None, "", " \t\n", "x" * 200_000, "A b\x0bC", "a b c", "word " * 3000]
     got = list(shingles.shingle_sets(pa.array(texts)))
-    sets = [plain_shingles(t) for t in texts]
+    sets = [plain.shingles(t) for t in texts]
     assert [len(g) for g in got] == [len(s) for s in sets]
     for i in range(0, len(texts), 3):
         for j in range(len(texts)):
@@ -165,6 +159,50 @@ def test_int8_bounds_hold_and_links_are_exact(scale):
     assert (hit == ((u @ u.T) >= 0.98)).all() and 400 < hit.sum() < 2000
 
 
+def test_features_equal_plain_ones():
+    r = random.Random(4)
+    texts = ["", "a", "aa bb aa aa\tcc", "Ünïcode ß 한국 x", None, " lead", "x" * 300] + ["".join(r.choice("ab é\n.") for _ in range(r.randrange(60))) for _ in range(60)]
+    for t, got in zip(texts, quality.features(pa.array(texts), quality.QualityParams()), strict=True):
+        assert sorted(got.tolist()) == sorted(plain.features(t))
+
+
+def test_training_equals_plain_gradient_descent():
+    p = quality.QualityParams(bits=6, dim=3, steps=60)
+    r = np.random.default_rng(3)
+    bags = [(np.unique(r.integers(0, 64, 8)), None) for _ in range(10)]
+    bags = [(rows, r.integers(1, 4, len(rows))) for rows, _ in bags]
+    labels = np.array([0, 1] * 5)
+    rng = np.random.default_rng(p.seed)
+    vectors_ = [list(map(float, v)) for v in rng.uniform(-1 / p.dim, 1 / p.dim, (64, p.dim)).astype(np.float32)]
+    out, bias, done = [[0.0] * 3, [0.0] * 3], [0.0, 0.0], 0
+    while done < p.steps:
+        for i in rng.permutation(10)[: p.steps - done].tolist():
+            rate, (rows, counts) = p.rate * (1 - done / p.steps), bags[i]
+            share = [c / counts.sum() for c in counts]
+            hidden = [sum(s * vectors_[x][k] for s, x in zip(share, rows, strict=True)) for k in range(3)]
+            e = [np.exp(sum(o * h for o, h in zip(out[c], hidden, strict=True)) + bias[c]) for c in (0, 1)]
+            wrong = [e[c] / sum(e) - (labels[i] == c) for c in (0, 1)]
+            back = [sum(wrong[c] * out[c][k] for c in (0, 1)) for k in range(3)]
+            for c in (0, 1):
+                out[c] = [o - rate * wrong[c] * h for o, h in zip(out[c], hidden, strict=True)]
+                bias[c] -= 0.1 * rate * wrong[c]
+            for s, x in zip(share, rows, strict=True):
+                vectors_[x] = [v - rate * s * b for v, b in zip(vectors_[x], back, strict=True)]
+            done += 1
+    want = [sum(v[k] * (out[1][k] - out[0][k]) for k in range(3)) for v in vectors_] + [bias[1] - bias[0]]
+    assert quality.train(bags, labels, p) == pytest.approx(np.array(want), abs=2e-3)
+
+
+def test_automaton_alone_and_in_step_agree():
+    """Words on their own against many words in step, among them such as have to go back."""
+    b = bpe.load(bpe.word_vocabulary())
+    r = random.Random(5)
+    words = ["".join(r.choice("etaoinshrdlucm") for _ in range(r.randint(1, 24))).encode() for _ in range(3000)]
+    words = [[*w[:-1], w[-1] + 256] for w in words]
+    tokens, at = b.automaton.words(np.concatenate([np.array(w, np.int64) for w in words]), np.cumsum([0, *map(len, words)]))
+    assert [tokens[i:j].tolist() for i, j in zip(at[:-1], at[1:], strict=True)] == [b.automaton.word(w) for w in words]
+
+
 def test_classifier_learns_and_tolerates_one_class():
     p = quality.QualityParams(max_labelled=100, steps=500)
     r = random.Random(0)

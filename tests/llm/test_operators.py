@@ -3,7 +3,8 @@
 import glob
 import hashlib
 import os
-import re
+import random
+import time
 
 import duckdb
 import pytest
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from streetloom.llm import bpe, chat, mixing, near_dup, pii, quality, queries, topk, urls, vectors, warc
 
+from . import plain
+
 DATA = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, score double, rep long, size long"
 
@@ -54,10 +57,26 @@ def test_near_duplicates(spark):
     assert near_dup.near_duplicates(docs(spark, [])).count() == 0
 
 
-def test_large_buckets_equal_brute_force(spark):
-    """Near copies of one text, more than a small bucket holds, with one to twelve edits each, linked or not."""
-    import random
-
+def test_random_copies_equal_brute_force(spark):
+    """Families of edited copies and texts that share a passage; no link may be missing, whatever leads its bucket."""
+    r = random.Random(8)
+    passage = [f"p{i}" for i in range(40)]
+    texts = []
+    for f in range(12):
+        base = [f"f{f}w{r.randrange(1000)}" for _ in range(r.choice((3, 30, 120)))] + (passage if f % 2 else [])
+        for _ in range(r.randint(1, 14)):
+            w = list(base)
+            for _ in range(r.choice((0, 0, 1, 2, 3, 5))):
+                w[r.randrange(len(w))] = f"e{r.random()}"
+            texts.append(" ".join(w))
+    r.shuffle(texts)
+    root = plain.groups([plain.shingles(t) for t in texts], 80)
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs(spark, list(enumerate(texts))), near_dup.NearDupParams(percent=80, bands=36, together=4)).collect()}
+    assert got == dict(enumerate(root))
+
+
+def test_stars_equal_brute_force(spark):
+    """Near copies of one text, more than are measured together, with one to twelve edits each, linked or not."""
     r = random.Random(6)
     rows = []
     for k in range(100):
@@ -72,24 +91,12 @@ def test_large_buckets_equal_brute_force(spark):
             if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = root[a], root[b]
                 root = [min(x, y) if v in (x, y) else v for v in root]
-    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs(spark, rows), near_dup.NearDupParams(small_bucket=8)).collect()}
+    got = {x.doc_id: x.component_id for x in near_dup.near_duplicates(docs(spark, rows), near_dup.NearDupParams(together=8)).collect()}
     assert got == dict(enumerate(root)) and len(set(root)) > 20
 
 
-FORMS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
-
 def plain_spans(text):
-    def luhn(d):
-        return sum(sum(divmod(2 * int(c), 10)) if i % 2 else int(c) for i, c in enumerate(d[::-1])) % 10 == 0
-
-    out = []
-    for n, (k, form) in enumerate(FORMS.items()):
-        for m in re.finditer(form, text or ""):
-            d = re.sub("[^0-9]", "", m.group())
-            if k == "email" or k == "ip" and all(int(x) <= 255 for x in m.group().split(".")) or k == "card" and 14 <= len(d) <= 19 and luhn(d) or k == "phone" and 10 <= len(d) <= 15:
-                out.append((m.start(), n, f"{k}:{m.start()}:{m.end()}"))
-    return ",".join(x[2] for x in sorted(out))
+    return plain.joined(plain.base_spans(text))
 
 
 def test_personal_data(spark):
@@ -106,6 +113,36 @@ def test_personal_data(spark):
     assert pii.find(docs(spark, [])).count() == 0
 
 
+def test_added_spans_equal_brute_force(spark):
+    """Base and added spans and redacted texts against every candidate compared with every other."""
+    r = random.Random(9)
+    texts = [plain.some_text(r, r.randint(0, 60)) for _ in range(150)]
+    table = docs(spark, list(enumerate(texts)))
+    model = pii._fit(spark, pii.PiiParams())
+    red = {x.doc_id: x.text for x in pii.redact_documents(table).collect()}
+    added = 0
+    for x in pii.find(table).select("doc_id", pii.joined(F.col("base")).alias("base"), pii.joined(F.col("spans")).alias("spans")).collect():
+        base = plain.base_spans(texts[x.doc_id])
+        more = plain.added_spans(texts[x.doc_id], pii.WIDE, pii.CONTEXT, model)
+        every = sorted([*base, *more])
+        assert (x.base, x.spans) == (plain.joined(base), plain.joined(every))
+        assert red[x.doc_id] == plain.redacted(texts[x.doc_id], every)
+        added += len(more)
+    assert added > 50
+
+
+def test_a_text_full_of_spans_takes_time_in_proportion(spark):
+    def seconds(n):
+        table = docs(spark, [(1, "1.1.1.1 (555) 123-4567, " * (n // 2))])
+        began = time.perf_counter()
+        (x,) = pii.find(table).select(F.size("spans").alias("n"), pii.redact(F.col("text"), pii.to_cut(F.col("spans")), pii.chunks(F.col("text"))).alias("red")).collect()
+        assert x.n >= n // 2 and x.red.count("[IP]") == n // 2
+        return time.perf_counter() - began
+
+    seconds(100)
+    assert seconds(40_000) < 20 + 20 * seconds(4_000)
+
+
 def test_tokens(spark):
     table = docs(spark, [(1, "Hello, hello!"), (1, "Hello, hello!"), (2, None), (None, "a" * 5000), (3, " ")])
     got = bpe.encode(table, bpe.word_vocabulary(), with_ids=True).collect()
@@ -116,6 +153,43 @@ def test_tokens(spark):
     assert bpe.encode(docs(spark, []), bpe.word_vocabulary()).count() == 0
 
 
+def test_token_digests_equal_the_library(spark):
+    """Whole documents of the smallest table through the query, against the library."""
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(bpe.word_vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = bpe.op7_bpe(spark, DATA).collect()
+    assert len(got) == len(texts) > 100
+    for r in got:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        digest = lambda raw: hashlib.sha256(raw).hexdigest()
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), digest(b"".join(i.to_bytes(4, "little") for i in ids)), digest(library.decode(ids, skip_special_tokens=False).encode()))
+
+
+def test_scores_follow_from_plain_features(spark):
+    p = quality.QualityParams(max_labelled=100, steps=300)
+    table, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    some = table.where(F.length("text") < 400)
+    folded = quality.fit(table, labels, p)
+    scores = quality.score(some, folded, p).collect()
+    assert len(scores) > 20
+    for r in scores:
+        rows = plain.features(r.text)
+        assert r.score == pytest.approx(1 / (1 + 2.718281828459045 ** -(sum(float(folded[x]) for x in rows) / len(rows) + float(folded[-1]))), abs=1e-6)
+
+
+def test_the_sample_is_bounded_in_rows_and_bytes(spark):
+    rows = [(7, f"same id {i % 5}", "s") for i in range(300)] + [(i, "x" * 1000, "s") for i in range(100, 160)]
+    labels = spark.createDataFrame([(7, 1, 0)] + [(i, i % 2, 0) for i in range(100, 160)], "doc_id long, quality int, toxic int")
+    table = docs(spark, rows).select("doc_id", "text")
+    got = quality.sample(table, labels, quality.QualityParams(max_bytes=10_000)).collect()
+    assert 5 <= len(got) <= 11 and len({r.doc_id for r in got}) == len(got) and sum(len(r.text) for r in got) <= 10_000
+    assert quality.sample(table, labels, quality.QualityParams(max_labelled=3)).count() == 3
+
+
 def test_quality_on_held_out_rows(spark):
     rows = [(i, ("the cat sat on a mat and looked at me " if i % 3 else "THE!! CAT%% ### || $$ ") * (1 + i % 5)) for i in range(240)]
     labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(240)] + [(7, None, 0), (None, 1, 0), (9999, 1, 0)], "doc_id long, quality int, toxic int")
@@ -142,6 +216,31 @@ def test_conversations(spark):
     assert chat.format_conversations(spark.createDataFrame([], CHAT)).count() == 0
 
 
+def test_turns_for_a_trainer(spark):
+    rows = [(1, 1, "user", "a </s> b", "x"), (1, 2, "assistant", "yes \\\\ </s>", "x"), (1, 3, "system", "s", "x"), (2, 1, "assistant", "", "x")]
+    table = spark.createDataFrame(rows, CHAT)
+    turns = chat.training_turns(table).orderBy("conv_id", "place").collect()
+    text = "".join(t.formatted for t in turns if t.conv_id == 1)
+    assert chat.parse(text) == [(r[2], r[3]) for r in rows[:3]]
+    for t in turns[:3]:
+        assert text[t.start : t.start + len(t.formatted)] == t.formatted
+    assert [t.loss_start is None for t in turns] == [True, False, True, False]
+    assert chat.unescape(text[turns[1].loss_start : turns[1].loss_end]) == rows[1][3]
+    assert chat.training_turns(table.limit(0)).count() == 0
+
+
+def test_a_joined_text_is_read_without_knowing_its_turns():
+    now = chat._Running(1)
+    whole = chat.format_turn("user", "one") + chat.format_turn("assistant", "two </s>")
+    got = [r for i in range(0, len(whole), 3) for r in now.add(whole[i : i + 3])]
+    assert [(r[2], chat.parse(r[3])[0][1]) for r in got] == [("user", "one"), ("assistant", "two </s>")] and now.row()[1] == 2
+    for broken in ("<s>[INST] a", " a [/INST]"):
+        now = chat._Running(1)
+        with pytest.raises(chat.Malformed):
+            now.add(broken)
+            now.row()
+
+
 PAGES = "page_id long, url string, html string, digest string, refers_to long, host string"
 
 
@@ -176,20 +275,34 @@ def test_url_parts_and_rules(spark):
     assert urls.judge(pages(spark, [])).count() == 0
 
 
-def test_templates_learn_from_labelled_urls(spark):
+def test_the_tree_decides_where_no_rule_does(spark):
+    """One host without rules: its German pages are known as bad from other hosts of the domain, its French ones as good,
+    and a section that is labelled by itself goes its own way."""
+    urls_ = [f"http://{h}.com/{lang}/{i}.html" for h in ("a", "b", "c") for lang in ("de", "fr") for i in range(20)]
+    urls_ += [f"http://x.net/{lang}/{i}.html" for lang in ("de", "fr", "zz") for i in range(30)]
+    got = urls.judge(pages(spark, [(i, u, "h") for i, u in enumerate(urls_)])).where("host = 'x.net'").collect()
+    verdicts = {(r.path.split("/")[1], r.verdict) for r in got}
+    assert {("de", "block"), ("fr", "allow")} <= verdicts and len(verdicts) == 3 and {r.rule for r in got} == {None}
+
+
+def test_trees_part_and_merge_by_tests(spark):
     rows = [("h", f"/shop/item{i}/buy", 1) for i in range(30)] + [("h", f"/news/{i}", 0) for i in range(30)] + [("h", "/shop/new/buy", None), ("h", "/news/new", None)]
-    table = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "page_id long, host string, path string, bad int")
-    named = urls.templates(table, urls.UrlParams())
-    got = {(r.template, r.n) for r in named.groupBy("template").agg(F.count("*").alias("n")).collect()}
-    assert got == {("/shop/*/buy", 31), ("/news/*", 31)}
-    counted = named.groupBy("host", "template").agg(F.sum("bad").cast("double").alias("bad"), F.count("bad").alias("lab"))
-    pure = {r.template: r.purity for r in urls.purity(counted, urls.UrlParams()).collect()}
-    assert pure["/shop/*/buy"] == pytest.approx((30 + 4 * ((30 + 4 * 31 / 62) / 64)) / 34) and pure["/news/*"] < 0.1
+    rows += [("g", f"/{s}/{i:04d}", None) for s in ("a", "b") for i in range(40)] + [("g", f"/c/{'long-name-' * 3}{i}", None) for i in range(40)] + [("d", "/x" * 200, None)]
+    table = spark.createDataFrame(rows, "dom string, path string, bad int").groupBy("dom", "path").agg(F.count("*").cast("double").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("double").alias("bad"), F.count("bad").cast("double").alias("lab"))
+    named = urls.templates(table, urls.UrlParams()).select("dom", F.element_at("way", -1).alias("template"))
+    got = {(r.dom, r.template): r.n for r in named.groupBy("dom", "template").agg(F.count("*").alias("n")).collect()}
+    assert got == {("h", "/shop/*/buy"): 31, ("h", "/news/*"): 31, ("g", "/{a,b}/*"): 80, ("g", "/c/*"): 40, ("d", "/**"): 1}
+
+
+def test_domains(spark):
+    df = spark.createDataFrame([("a.b.c",), ("",), ("c.",)], "h string")
+    assert [r[0] for r in df.select(urls.domains(F.col("h"))).collect()] == [["a.b.c", "b.c", "c", ""], [""], ["c.", ""]]
 
 
 @pytest.mark.parametrize("sizes, weights, total, expected", [([100, 100, 100], [5, 2, 1], 450.0, [200.0, 500 / 3, 250 / 3]), ([], [], 0.0, []), ([0, 0], [5, 2], 0.0, [0.0, 0.0]), ([10, 1000, 50, 0], [5, 2, 1, 5], 1590.0, [20.0, 1470.0, 100.0, 0.0])])
 def test_targets_stop_at_twice_the_size_and_reshare(spark, sizes, weights, total, expected):
     table = spark.createDataFrame([(i, s, float(w)) for i, (s, w) in enumerate(zip(sizes, weights, strict=True))], "i int, size long, weight double")
+    assert plain.targets(sizes, weights, total) == pytest.approx(expected)
     assert [r.target for r in mixing.fill(table, total, 2.0).orderBy("i").collect()] == pytest.approx(expected)
 
 
@@ -211,6 +324,15 @@ def test_mixture(spark):
     assert mixing.mix(docs(spark, [])).count() == 0 and mixing.mix(docs(spark, [(1, None)])).first().target == 0
 
 
+def test_equal_rows_are_counted_and_come_apart(spark):
+    rows = [(None, "a b c", "s")] * 500 + [(1, "a b", "s")] * 40 + [(2, "x " * 100, "t")]
+    got = mixing.mix(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and all(0 <= r.taken <= 2 * r.size for r in got)
+    for source in "st":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 0.5
+
+
 VECTORS = "vec_id long, embedding array<float>, label int, rank int"
 
 

@@ -1,11 +1,17 @@
 """The pipeline's stages, each on what the one before it kept."""
 
+import hashlib
+import math
+
 import corpus_pipeline
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from streetloom.llm import bpe, near_dup
+from streetloom.llm import bpe, near_dup, pii, quality
 from streetloom.llm.common import materialise, table
 
+from . import plain
+
 DATA = "/root/testdata/sf0.001"
 
 
@@ -37,9 +43,38 @@ def test_stages_take_effect(spark):
         assert r.n_tokens == len(r.ids) == len(vocabulary.encode(own[r.doc_id])[0]) // 4
 
 
-def test_run_equals_its_stages(spark):
-    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_dup", "pii", "mixing", "encoding"]
-    assert corpus_pipeline.ORACLE_SQL is None
+def test_run_equals_a_plain_pipeline(spark, tmp_path):
+    """The whole pipeline on 120 documents against one text, pair and source at a time."""
+    docs = table(spark, DATA, "documents").orderBy("doc_id").limit(120)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    table(spark, DATA, "labels").write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    folded = quality.fit(docs, table(spark, DATA, "labels", "doc_id", "quality"))
+    rows = {r.doc_id: (r.source, r.text) for r in docs.collect()}
+    score = {i: sum(float(folded[x]) for x in f) / len(f) + float(folded[-1]) for i, (_, t) in rows.items() for f in [plain.features(t)]}
+    left = sorted(i for i in rows if 1 / (1 + math.exp(-score[i])) >= 0.7)
+    assert 0 < len(left) < len(rows)
+    root = plain.groups([plain.shingles(rows[i][1]) for i in left], 80)
+    left = [i for k, i in enumerate(left) if root[k] == k]
+    model = pii._fit(spark, pii.PiiParams())
+    text = {i: plain.redacted(rows[i][1] or "", sorted([*plain.base_spans(rows[i][1]), *plain.added_spans(rows[i][1], pii.WIDE, pii.CONTEXT, model)])) for i in left}
+    size = {i: len(plain.WORD.findall(text[i])) for i in left}
+    sources = sorted({rows[i][0] for i in left}, key=lambda s: (s is None, s or ""))
+    total = {s: sum(size[i] for i in left if rows[i][0] == s) for s in sources}
+    goal = plain.targets([total[s] for s in sources], [(5, 2, 1)[k % 3] for k in range(len(sources))], 1.5 * sum(total.values()))
+    library = Tokenizer.from_file(bpe.word_vocabulary())
+    library.no_truncation()
+    library.no_padding()
+    want = []
+    for s, g in zip(sources, goal, strict=True):
+        at = 0
+        for i in sorted((i for i in left if rows[i][0] == s), key=lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)):
+            taken = sum(max(0, min(size[i], round(g) - start)) for start in (at, at + total[s]))
+            at += size[i]
+            ids = library.encode(text[i], add_special_tokens=False).ids
+            want += [(i, ids)] * (int(taken / size[i] + 0.5) if size[i] else 0)
+    assert sorted((r.doc_id, list(r.ids)) for r in got) == sorted(want)
 
 
 def test_near_copies_from_four_fifths_go(spark):
