@@ -15,8 +15,21 @@ from streetloom.llm.common import materialise, table
 NEAR = near_dup.NearDupParams(percent=80, bands=36)
 
 
+#: Texts go to the Python workers in batches of this many bytes, as the stages' workers live beside each other.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    """For the pipeline's session: the setting counts when a stage's result is written, so it stays."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that the classifier accepts."""
+    """Keep the documents that the classifier accepts.
+
+    Each row is judged by its text alone, so repeated rows and ids, null ids and null or empty texts are no special cases:
+    a null text counts as empty, which has one feature; an empty table stays empty."""
+    _small_batches(spark)
     p = quality.QualityParams()
     folded = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality"), p)
     scored = quality.score(docs, folded, p, into="_quality")
@@ -48,6 +61,7 @@ def stage_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Rows are judged each by itself. Of rows that repeat an id and a set one stays; an id with two texts that are not alike
     keeps both; a null id stands after all others, so a copy with one goes, and what is unique stays. Texts without words
     are like nothing: they stay, but of those with one id, null ids apart, only one."""
+    _small_batches(spark)
     rows = _numbered(docs, "pipeline-rows")
     found = near_dup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), NEAR).select(F.col("doc_id").alias("_row"), (F.col("n_shingles") == 0).alias("bare"), "component_id")
     named = rows.select("_row", "doc_id", F.xxhash64("text").alias("h")).join(found, "_row").where(~F.col("bare") | F.col("doc_id").isNotNull())
@@ -60,7 +74,9 @@ def stage_near_dup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def stage_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by marks; n_chars follows the text."""
+    """Replace personal data by marks; n_chars follows the text.
+
+    Rows stay as many as they are, whatever their ids; a null text stays null and has no characters."""
     return pii.redact_documents(docs).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
@@ -82,7 +98,9 @@ def stage_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     """Token ids of each document, and its place in training: rows in the order of (part, row) are in mixing's order.
 
     Spark reads written files packed by size, so the order is taken from the files themselves: the mixing stage's range
-    sort numbers them in order, and each is sorted. Both columns are null where docs do not come from Parquet files."""
+    sort numbers them in order, and each is sorted. Both columns are null where docs do not come from Parquet files. Every
+    row is encoded by itself, repeated and null ids too; a null text has no tokens."""
+    _small_batches(spark)
     name = F.col("_metadata.file_name")
     number = lambda form: F.regexp_extract(name, form, 1).try_cast("long")
     part = number(r"^part-(\d+)") * (1 << 20) + F.coalesce(number(r"-c(\d+)[.]"), F.lit(0))
