@@ -35,7 +35,7 @@ class QualityParams:
     #: Training takes at most this many labelled rows, and of these, in their order, as many as have this many bytes in
     #: all; texts are taken whole or not at all.
     max_labelled: int = 3000
-    max_bytes: int = 32 << 20
+    max_bytes: int = 4 << 20
     #: Steps of gradient descent, one document each, however many are labelled.
     steps: int = 36_000
     rate: float = 2.0
@@ -126,6 +126,12 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts in as many bytes each as the largest one needs: 1, 2 or 4."""
+    most = int(counts.max())
+    return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
+
+
 def sample(documents: DataFrame, labels: DataFrame, p: QualityParams) -> DataFrame:
     """doc_id, quality, text of the labelled rows to learn from: one row per id, in the order of a hash, within the limits."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
@@ -150,13 +156,16 @@ def fit(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParam
             for batch in slices(whole, "text"):
                 bags = [np.unique(x, return_counts=True) for x in features(batch.column("text"), p)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("quality"), pa.array([a.astype(np.int32).tobytes() for a, _ in bags], pa.binary()), pa.array([n.astype(np.int32).tobytes() for _, n in bags], pa.binary())],
+                    [batch.column("doc_id"), batch.column("quality"), pa.array([a.astype(np.int32).tobytes() for a, _ in bags], pa.binary()), pa.array([_packed(n) for _, n in bags], pa.binary())],
                     names=["doc_id", "quality", "rows", "counts"],
                 )
 
     got = sorted(sample(documents, labels, p).mapInArrow(kernel, "doc_id long, quality int, rows binary, counts binary").collect())
-    bags = [(np.frombuffer(r.rows, np.int32), np.frombuffer(r.counts, np.int32)) for r in got]
-    return train(bags, np.asarray([r.quality for r in got], np.int64), p)
+    # What comes to the driver: at most 4 + 4 bytes for each feature of a text, mostly 4 + 1.
+    labels_ = [r.quality for r in got]
+    bags = [(np.frombuffer(r.rows, np.int32), np.frombuffer(r.counts, f"<u{4 * len(r.counts) // len(r.rows)}")) for r in got]
+    del got
+    return train(bags, np.asarray(labels_, np.int64), p)
 
 
 def score(documents: DataFrame, folded: np.ndarray, p: QualityParams = QualityParams(), into: str = "score") -> DataFrame:

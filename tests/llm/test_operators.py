@@ -172,10 +172,10 @@ def test_token_digests_equal_the_library(spark):
 def test_scores_follow_from_plain_features(spark):
     p = quality.QualityParams(max_labelled=100, steps=300)
     table, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
-    some = table.where(F.length("text") < 400)
+    some = table.where(F.length("text") < 1500)
     folded = quality.fit(table, labels, p)
     scores = quality.score(some, folded, p).collect()
-    assert len(scores) > 20
+    assert len(scores) > 10
     for r in scores:
         rows = plain.features(r.text)
         assert r.score == pytest.approx(1 / (1 + 2.718281828459045 ** -(sum(float(folded[x]) for x in rows) / len(rows) + float(folded[-1]))), abs=1e-6)
