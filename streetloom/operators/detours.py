@@ -30,10 +30,10 @@ def far_pairs(pairs: DataFrame, edges: DataFrame, max_detour: float) -> DataFram
     pairs = materialise(pairs, "far-pairs")
     found = bounded_distances(edges.select("u", "v", "length"), reaches(pairs, max_detour).withColumnRenamed("u", "v"), None)
     near = found.select(F.col("source").alias("u"), "v", "cost")
-    return pairs.join(near, ["u", "v"], "left").where(F.coalesce(F.col("cost") > limit(F.col("gap"), max_detour), F.lit(True))).drop("cost")
+    return pairs.join(near, ["u", "v"], "left").where(F.coalesce(F.col("cost") > limit(F.col("gap"), max_detour), F.lit(True))).select(*pairs.columns)
 
 
-def link_detours(nodes: DataFrame, edges: DataFrame, barriers: DataFrame, max_gap: float = 100.0, max_detour: float = 10.0) -> DataFrame:
+def link_detours(nodes: DataFrame, edges: DataFrame, barriers: DataFrame, max_gap: float = 100.0, max_detour: float = 10.0, many: int = 10_000) -> DataFrame:
     """New straight edges (u, v, length) between nodes at most max_gap apart whose road distance is more than max_detour
     times their gap (10 m at least). A link may not touch a barrier (segments ax, ay, bx, by), cross a street or cross an
     earlier link; candidates are taken by gap and ends, and distances count the links already taken.
@@ -41,14 +41,20 @@ def link_detours(nodes: DataFrame, edges: DataFrame, barriers: DataFrame, max_ga
     Gap, barrier and street tests are joins. Only candidates that are near each other can influence one another: the
     cutoff is max_detour * max_gap, so a path that decides on a pair stays within half of it, and gaps, of the pair. The
     rest therefore falls into clusters of candidates within reach of each other, and the order-dependent part runs per
-    cluster, on the edges around it."""
+    cluster, on the edges around it. Links only shorten ways, so pairs that are near by road now stay so: where there are
+    more than `many` candidates, searches from all first nodes at once leave those out before, and clusters stay small;
+    fewer are not worth these rounds. The result is the same."""
     place = lambda c: nodes.select(F.col("id").alias(c), F.col("x").alias(f"{c}x"), F.col("y").alias(f"{c}y"))
     pairs = pairs_within(nodes, max_gap).withColumnsRenamed({"a": "u", "b": "v", "distance": "gap"}).join(place("u"), "u").join(place("v"), "v")
     links = materialise(pairs.select(F.struct("u", "v").alias("pair"), "u", "v", "gap", F.col("ux").alias("ax"), F.col("uy").alias("ay"), F.col("vx").alias("bx"), F.col("vy").alias("by")), "detour-pairs")
     size = max(2 * max_gap, 1.0)
     links = without_meeting(links, barriers, L.intersects, size, "pair")
     links = materialise(without_crossing(links, edges, "eid", size, "pair"), "detour-links")
-    if links.isEmpty():
+    n = links.count()
+    if n > many:
+        links = materialise(far_pairs(links, edges, max_detour), "detour-far")
+        n = links.count()
+    if not n:
         return links.select("u", "v", F.col("gap").alias("length"))
 
     reach = max_detour * max(max_gap, 10.0) + 2 * max_gap
@@ -69,8 +75,8 @@ def link_detours(nodes: DataFrame, edges: DataFrame, barriers: DataFrame, max_ga
         graph = adjacency(pdf.loc[~pdf["link"], ["u", "v", "d"]].itertuples(index=False, name=None))
         taken: list[tuple] = []
         for r in pdf[pdf["link"]].sort_values(["d", "u", "v"]).itertuples():
-            limit = max_detour * max(r.d, 10.0)
-            if within(graph, r.u, limit, r.v).get(r.v, float("inf")) <= limit:
+            most = max_detour * max(r.d, 10.0)
+            if within(graph, r.u, most, r.v).get(r.v, float("inf")) <= most:
                 continue
             a, b = (r.ax, r.ay), (r.bx, r.by)
             if any(crossing(a, b, c, d) for _, _, _, c, d in taken):

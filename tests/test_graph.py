@@ -120,8 +120,9 @@ def test_carriageways_are_linked_around_a_block(spark):
     edges = edges_of(spark, [(0, 1, 500), (1, 2, 500), (3, 4, 500), (4, 5, 500), (2, 5, 3000)], {**xy})
     edges = edges.where("eid < 4").union(edges.where("eid = 4").withColumn("line", F.expr("array(named_struct('x', 1000D, 'y', 0D), named_struct('x', 2500D, 'y', 20D), named_struct('x', 1000D, 'y', 40D))")))
     barriers = spark.createDataFrame([(400.0, 20.0, 600.0, 20.0)], "ax double, ay double, bx double, by double")
-    got = {frozenset((r.u, r.v)) for r in link_detours(nodes_of(spark, xy), edges, barriers, 70.0, 10.0).collect()}
-    assert got == {frozenset((0, 3)), frozenset((2, 5))}
+    for many in (10_000, 0):  # with and without the searches ahead
+        got = {frozenset((r.u, r.v)) for r in link_detours(nodes_of(spark, xy), edges, barriers, 70.0, 10.0, many).collect()}
+        assert got == {frozenset((0, 3)), frozenset((2, 5))}
 
 
 @pytest.mark.parametrize("line, kept", [
