@@ -83,11 +83,18 @@ def nearest(left: DataFrame, right: DataFrame, start: float, left_key: str, righ
     return left.join(found, [left_key, "x", "y"], "left").select(*left.columns, right_key, "distance")
 
 
+#: Distances from segments tie if they are equal once rounded to this part of a unit, as a foot point is rounded itself.
+_EQUAL = 1e-9
+#: So many points at most are broadcast to the cells of segments.
+_FEW = 10_000
+
+
 def nearest_segment(left: DataFrame, segments_: DataFrame, start: float, left_key: str, right_key: str) -> DataFrame:
     """The nearest segment (right_key, ax, ay, bx, by) of each point (left_key, x, y), however far: left_key, right_key, distance.
 
     Like nearest, with each segment in all cells that its box touches; a long segment is cut by the cells only, so cells
-    grow by four from round to round and end with the box around everything."""
+    grow by four from round to round and end with the box around everything. Distances that agree to nine places tie, and
+    ties go to the smaller key: of lines through one point none is nearer because its foot point was rounded otherwise."""
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     targets = materialise(segments_.where(functools.reduce(lambda a, b: a & b, map(fine, ("ax", "ay", "bx", "by")))).select(right_key, "ax", "ay", "bx", "by"), "segment-targets")
     todo = materialise(left.where(fine("x") & fine("y")).select(left_key, "x", "y"), "segment-todo")
@@ -98,9 +105,14 @@ def nearest_segment(left: DataFrame, segments_: DataFrame, start: float, left_ke
     x0, x1, y0, y1 = corners.agg(*(f(c) for c in "xy" for f in (F.min, F.max))).first()
     most, size, found = 2 * max(x1 - x0, y1 - y0, start), start, None
     gap = point_segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
-    while not todo.isEmpty():
-        near = in_cells(todo, size).join(segment_cells(targets, size, size), ["cx", "cy"]).withColumn("distance", gap)
-        best = near.where(F.col("distance") <= size).groupBy(left_key).agg(F.min(F.struct("distance", right_key)).alias("best"))
+    while n := todo.count():
+        # A bounded number of points may go to all tasks, the cells of segments never.
+        at = F.broadcast(in_cells(todo, size)) if n <= _FEW else in_cells(todo, size)
+        # What ties with a distance within the cell size may lie a rounding further.
+        cells = segment_cells(targets, size, size + _EQUAL)
+        near = at.join(cells, ["cx", "cy"]).withColumn("distance", gap)
+        near = near.where(F.col("distance") <= size + _EQUAL).withColumn("steps", F.round(F.col("distance") * 1e9))
+        best = near.groupBy(left_key).agg(F.min(F.struct("steps", right_key, "distance")).alias("best")).where(F.col("best.steps") <= size * 1e9)
         best = materialise(best.select(left_key, F.col(f"best.{right_key}").alias(right_key), F.col("best.distance").alias("distance")), "segment-hits")
         found = best if found is None else found.union(best)
         if size > most:

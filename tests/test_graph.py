@@ -147,6 +147,16 @@ def test_nearest_ends_with_nulls_and_far_points(spark):
     assert near[1] == (1, 3.0) and near[2][0] == 1 and near[3] == (None, None)
 
 
+def test_nearest_segments_tie_up_to_rounding(spark):
+    """The foot point on the first line is rounded, that on the second is its end; and a tie just beyond the first cells."""
+    at = spark.createDataFrame([(1, 1.4, 0.7), (2, 100.0, 0.0)], "a long, x double, y double")
+    walls = [(1, 0.0, 0.0, 3.0, 1.5), (2, 1.4, 0.7, 5.0, 5.0), (3, 99.0, 0.5 + 4e-10, 101.0, 0.5 + 4e-10), (4, 99.0, 0.5, 101.0, 0.5)]
+    walls = spark.createDataFrame(walls, "f long, ax double, ay double, bx double, by double")
+    gap = L.point_segment_distance(F.lit(1.4), F.lit(0.7), *(F.col(c) for c in ("ax", "ay", "bx", "by")))
+    assert [r.gap for r in walls.where("f = 1").select(gap.alias("gap")).collect()][0] > 0
+    assert {r.a: r.f for r in grid.nearest_segment(at, walls, 0.5, "a", "f").collect()} == {1: 1, 2: 3}
+
+
 def test_long_lines_and_chains_cost_in_proportion(spark):
     """A line of 20,000 points and a chain of 3,000 edges: quadratic plans took minutes for them."""
     began = time.perf_counter()
