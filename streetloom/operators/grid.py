@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lines import crosses, distance, point_segment_distance, segments
-from ..tables import materialise, replace
+from ..tables import materialise, replace, unbroadcast
 
 
 def cell(x: Column, size: float) -> Column:
@@ -35,7 +35,7 @@ def range_join(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
 
     right's x and y come back as rx and ry."""
     l, r = in_cells(left, radius), in_near_cells(right, radius).withColumnsRenamed({"x": "rx", "y": "ry"})
-    pairs = l.join(r, ["cx", "cy"]).drop("cx", "cy")
+    pairs = l.join(unbroadcast(r), ["cx", "cy"]).drop("cx", "cy")
     return pairs.withColumn("distance", distance(F.col("x"), F.col("y"), F.col("rx"), F.col("ry"))).where(F.col("distance") <= radius)
 
 
@@ -110,7 +110,7 @@ def nearest_segment(left: DataFrame, segments_: DataFrame, start: float, left_ke
         at = F.broadcast(in_cells(todo, size)) if n <= _FEW else in_cells(todo, size)
         # What ties with a distance within the cell size may lie a rounding further.
         cells = segment_cells(targets, size, size + _EQUAL)
-        near = at.join(cells, ["cx", "cy"]).withColumn("distance", gap)
+        near = at.join(cells if n <= _FEW else unbroadcast(cells), ["cx", "cy"]).withColumn("distance", gap)
         near = near.where(F.col("distance") <= size + _EQUAL).withColumn("steps", F.round(F.col("distance") * 1e9))
         best = near.groupBy(left_key).agg(F.min(F.struct("steps", right_key, "distance")).alias("best")).where(F.col("best.steps") <= size * 1e9)
         best = materialise(best.select(left_key, F.col(f"best.{right_key}").alias(right_key), F.col("best.distance").alias("distance")), "segment-hits")
@@ -134,7 +134,7 @@ def without_meeting(links: DataFrame, barriers: DataFrame, predicate, size: floa
     """Anti-join: links (key, ax, ay, bx, by, ...) that meet no barrier segment by predicate('l', 'b')."""
     l = segment_cells(links.select(key, "ax", "ay", "bx", "by"), size).alias("l")
     b = segment_cells(barriers.select("ax", "ay", "bx", "by"), size).alias("b")
-    bad = l.join(b, (F.col("l.cx") == F.col("b.cx")) & (F.col("l.cy") == F.col("b.cy")) & predicate("l", "b")).select(F.col(f"l.{key}").alias(key)).distinct()
+    bad = l.join(unbroadcast(b), (F.col("l.cx") == F.col("b.cx")) & (F.col("l.cy") == F.col("b.cy")) & predicate("l", "b")).select(F.col(f"l.{key}").alias(key)).distinct()
     return links.join(bad, key, "left_anti")
 
 
@@ -159,7 +159,7 @@ def without_crossing(links: DataFrame, lines: DataFrame, line_key: str, size: fl
     (a_on, a_at), (b_on, b_at) = place("b.ax", "b.ay"), place("b.bx", "b.by")
     at_vertex = c("b.goes_on") & b_on & (b_at > 0) & (b_at < square)
     along = a_on & b_on & (F.least(F.greatest(a_at, b_at), square) > F.greatest(F.least(a_at, b_at), F.lit(0.0)))
-    met = l.join(b, (c("l.cx") == c("b.cx")) & (c("l.cy") == c("b.cy")) & (crosses("l", "b") | at_vertex | along))
+    met = l.join(unbroadcast(b), (c("l.cx") == c("b.cx")) & (c("l.cy") == c("b.cy")) & (crosses("l", "b") | at_vertex | along))
     met = met.select(c(f"l.{key}").alias(key), "line_key", along.alias("along"), (crosses("l", "b") | at_vertex).alias("meets"))
     bad = met.groupBy(key, "line_key").agg(F.max("along").alias("along"), F.max("meets").alias("meets")).where("meets and not along").select(key).distinct()
     return links.join(bad, key, "left_anti")

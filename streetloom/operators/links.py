@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..config import MAJOR_ROADS, LinkParams
 from ..functions import lines as L
 from ..functions.text import direction, first_filled
-from ..tables import materialise
+from ..tables import materialise, unbroadcast
 from .components import strong_part
 from .grid import in_cells, in_near_cells, nearest
 from .roads import dense_ids, peel_new, relabelled
@@ -26,7 +26,7 @@ def way_pieces(ways: DataFrame) -> DataFrame:
     used = rows.groupBy("node").agg(F.count("*").alias("uses"))
     order = W.partitionBy("way_id").orderBy("pos")  # a way's own nodes: a few thousand at most by the data's own rules
     cut = (F.col("pos") == 0) | (F.col("pos") == F.col("n") - 1) | (F.col("uses") > 1)
-    marked = rows.join(used, "node").withColumn("cut", cut).withColumn("piece", F.sum(F.col("cut").cast("int")).over(order) - F.col("cut").cast("int"))
+    marked = rows.join(unbroadcast(used), "node").withColumn("cut", cut).withColumn("piece", F.sum(F.col("cut").cast("int")).over(order) - F.col("cut").cast("int"))
     # A cut node ends the piece before it and begins the next.
     starts = marked.where("cut and pos < n - 1").withColumn("piece", F.col("piece") + 1)
     both = marked.where("pos > 0").unionByName(starts)
@@ -39,7 +39,7 @@ def coverage(pieces: DataFrame, edges: DataFrame, p: LinkParams = LinkParams(),
     """(key, share): the share of each piece's points, every step_m, within cover_m of such a point of any edge."""
     own = L.densified(pieces, key, p.step_m).select(key, "seg", "k", "x", "y")
     there = in_cells(L.densified(edges, "eid", p.step_m).select("x", "y"), p.cover_m).select("cx", "cy", F.col("x").alias("ex"), F.col("y").alias("ey"))
-    near = in_near_cells(own, p.cover_m).join(there, ["cx", "cy"]).where(L.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey")) <= p.cover_m)
+    near = in_near_cells(own, p.cover_m).join(unbroadcast(there), ["cx", "cy"]).where(L.distance(F.col("x"), F.col("y"), F.col("ex"), F.col("ey")) <= p.cover_m)
     hit = near.select(key, "seg", "k").distinct().withColumn("hit", F.lit(1))
     return own.join(hit, [key, "seg", "k"], "left").groupBy(key).agg(F.avg(F.coalesce("hit", F.lit(0))).alias("share"))
 

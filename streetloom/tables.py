@@ -72,6 +72,12 @@ def replace(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """df as the side of a join that exchanges both sides, for rows that explode has made: Spark takes their size from the
+    file they come from, however many they are, and would send them all through the driver."""
+    return df.hint("merge")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df

@@ -11,9 +11,10 @@ from streetloom.config import CorridorParams
 from streetloom.kernels import finders, paths, raster
 from streetloom.operators import components as C
 from streetloom.functions import lines as L
-from streetloom.operators import corridor, grid, roads
+from streetloom.operators import corridor, grid, links, roads
 from streetloom.operators.detours import far_pairs, link_detours
 from streetloom.plans.build import build_graph
+from streetloom.tables import materialise
 
 LINE = "array<struct<x:double,y:double>>"
 
@@ -276,3 +277,19 @@ def test_crossroad_end_to_end(spark):
     assert 650 < sum(r.length for r in rows) < 820
     assert {r.name for r in rows} == {"Rua A"}
     assert nodes.count() == len({v for r in rows for v in (r.u, r.v)})
+
+
+def test_exploded_rows_are_not_broadcast(spark):
+    """Points every few metres of lines in a small file: Spark takes their size from the file's."""
+    k = F.col("id")
+    line = F.array(*(F.struct((k * 0.0 + x).alias("x"), (k * 1e4).alias("y")) for x in (0.0, 1000.0)))
+    lines = materialise(spark.range(1000).select(k.alias("pid"), k.alias("eid"), line.alias("line")), "test-lines")
+    points = L.densified(lines, "eid", 5.0).select("eid", "x", "y")
+    walls = L.segments(lines, "eid").select("ax", "ay", "bx", "by")
+    links_ = walls.withColumn("k", F.monotonically_increasing_id())
+    plans = [links.coverage(lines, lines), grid.pairs_within(points, 1.0, "eid")]
+    plans += [grid.without_meeting(links_, walls, L.intersects, 4.0, "k")]
+    for df in plans:
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "[cx" not in "".join(x for x in plan.splitlines() if "BroadcastHashJoin" in x), plan
+    assert [tuple(r) for r in links.coverage(lines, lines).agg(F.count("*"), F.min("share")).collect()] == [(1000, 1.0)]
