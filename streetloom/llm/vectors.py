@@ -52,19 +52,31 @@ def quantise(u: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return q.astype(np.int8), scale, error
 
 
+#: Numbers in one array of a worker at most, 1 MB of doubles.
+_AT_ONCE = 1 << 17
+
+
 def links(x: np.ndarray, qx: tuple, y: np.ndarray, qy: tuple, cosine: float) -> np.ndarray:
-    """Which rows of two tiles of raw double vectors are linked, as a boolean matrix; also see `exact_cosine`."""
+    """Which rows of two tiles of raw double vectors are linked, as a boolean matrix; also see `exact_cosine`.
+
+    Some rows of x at a time meet all of y, and some doubtful pairs at a time are computed again, so that beside the
+    matrix no array has more than _AT_ONCE numbers, or one row of x and y, however many pairs are in doubt."""
     (a, sa, ea), (b, sb, eb) = qx, qy
     # Products of int8 sum exactly in single precision up to 2**24, that is 1040 dimensions; beyond, in double.
     kind = np.float32 if a.shape[1] * 127 * 127 < 1 << 24 else np.float64
-    guess = (a.astype(kind) @ b.astype(kind).T).astype(np.float64)
-    guess *= sa[:, None]
-    guess *= sb[None]
-    bound = ea[:, None] + eb[None] + ea[:, None] * eb[None] + 1e-12
-    i, j = np.nonzero(guess + bound >= cosine)
-    out = np.zeros(guess.shape, bool)
-    for k in range(0, len(i), 1 << 16):
-        out[i[k : k + (1 << 16)], j[k : k + (1 << 16)]] = exact_cosine(x[i[k : k + (1 << 16)]], y[j[k : k + (1 << 16)]]) >= cosine
+    bt, out = b.astype(kind).T, np.zeros((len(a), len(b)), bool)
+    rows, pairs = max(1, _AT_ONCE // max(1, len(b))), max(1, _AT_ONCE // max(1, a.shape[1]))
+    for r in range(0, len(a), rows):
+        at = slice(r, r + rows)
+        guess = (a[at].astype(kind) @ bt).astype(np.float64)
+        guess *= sa[at, None]
+        guess *= sb[None]
+        guess += ea[at, None] + eb[None] + ea[at, None] * eb[None] + 1e-12
+        i, j = np.nonzero(guess >= cosine)
+        i += r
+        for k in range(0, len(i), pairs):
+            m, n = i[k : k + pairs], j[k : k + pairs]
+            out[m, n] = exact_cosine(x[m], y[n]) >= cosine
     return out
 
 
@@ -89,14 +101,26 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> list[tuple[int, int]]:
             v = root[v]
         return v
 
-    for a, b in zip(i.tolist(), j.tolist(), strict=True):
-        ra, rb = find(a), find(b)
-        if ra != rb:
-            root[max(ra, rb)] = min(ra, rb)
-            out.append((a, b))
+    for k in range(0, len(i), 1 << 14):
+        for a, b in zip(i[k : k + (1 << 14)].tolist(), j[k : k + (1 << 14)].tolist(), strict=True):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                root[max(ra, rb)] = min(ra, rb)
+                out.append((a, b))
     return out
 
 
+def packed(x: np.ndarray) -> bytes:
+    """Double rows in single precision where that loses nothing, so that tiles travel in half the bytes."""
+    with np.errstate(over="ignore"):
+        half = x.astype("<f4")
+    return (half if np.array_equal(half, x) else x.astype("<f8")).tobytes()
+
+
+def unpacked(raw: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(raw, f"<f{len(raw) // (n * dim)}").astype(np.float64).reshape(n, dim)
+
+
 def near_vectors(embeddings: DataFrame, p: VectorParams = VectorParams()) -> DataFrame:
     """embeddings (vec_id, embedding, label) -> vec_id, n_links, component_id, kept.
 
@@ -190,17 +214,16 @@ def _tiled(placed: DataFrame, pivots: dict[int, np.ndarray], p: VectorParams) ->
         pdf = pdf.sort_values("rep", kind="stable")
         x = np.stack(pdf["e"].to_numpy()).astype("<f8")
         u, one = unit(x), pdf.iloc[0]
-        q, scale, error = quantise(u)
         d = distances(u, pivots[x.shape[1]]) if x.shape[1] in pivots else np.zeros((len(x), 0))
-        raw = {"ids": pdf["rep"].to_numpy("<i8"), "copies": pdf["copies"].to_numpy("<i8"), "x": x, "q": q, "scale": scale, "error": error}
-        return pd.DataFrame({"label": [one["label"]], "dim": [one["dim"]], "lo": [d.min(0)], "hi": [d.max(0)], **{k: [v.tobytes()] for k, v in raw.items()}})
+        raw = {"ids": pdf["rep"].to_numpy("<i8"), "copies": pdf["copies"].to_numpy("<i8"), "x": x}
+        return pd.DataFrame({"label": [one["label"]], "dim": [one["dim"]], "lo": [d.min(0)], "hi": [d.max(0)], **{k: [packed(v) if k == "x" else v.tobytes()] for k, v in raw.items()}})
 
-    schema = "label string, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary, q binary, scale binary, error binary"
-    packed = dealt.select("label", "dim", "pivot", "run", "part", "rep", "copies", "e").groupBy("label", "dim", "pivot", "run", "part").applyInPandas(pack, schema)
-    return packed.withColumn("tile", F.monotonically_increasing_id())
+    schema = "label string, dim int, lo array<double>, hi array<double>, ids binary, copies binary, x binary"
+    tiles = dealt.select("label", "dim", "pivot", "run", "part", "rep", "copies", "e").groupBy("label", "dim", "pivot", "run", "part").applyInPandas(pack, schema)
+    return tiles.withColumn("tile", F.monotonically_increasing_id())
 
 
-_PACKED = ("ids", "copies", "x", "q", "scale", "error")
+_PACKED = ("ids", "copies", "x")
 
 
 def _tile_links(tiles: DataFrame, p: VectorParams) -> tuple[DataFrame, DataFrame]:
@@ -213,8 +236,8 @@ def _tile_links(tiles: DataFrame, p: VectorParams) -> tuple[DataFrame, DataFrame
                 def side(s: str, r=r):
                     get = lambda k, t: np.frombuffer(getattr(r, f"{s}_{k}"), t)
                     ids = get("ids", "<i8")
-                    shape = (len(ids), r.dim)
-                    return ids, get("copies", "<i8"), get("x", "<f8").reshape(shape), (get("q", np.int8).reshape(shape), get("scale", "<f8"), get("error", "<f8"))
+                    x = unpacked(getattr(r, f"{s}_x"), len(ids), r.dim)
+                    return ids, get("copies", "<i8"), x, quantise(unit(x))
 
                 ia, ca, xa, qa = side("l")
                 ib, cb, xb, qb = side("r")

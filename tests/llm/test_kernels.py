@@ -3,6 +3,7 @@
 import hashlib
 import io
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -159,6 +160,25 @@ def test_int8_bounds_hold_and_links_are_exact(scale):
     assert (hit == ((u @ u.T) >= 0.98)).all() and 400 < hit.sum() < 2000
 
 
+def test_dense_tiles_take_little_memory():
+    """All pairs of a tile linked: copies of each pair's vectors took 150 MB and more."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=64) + r.normal(size=(1024, 64)) * 0.01
+    q = vectors.quantise(vectors.unit(x))
+    tracemalloc.start()
+    hit = vectors.links(x, q, x, q, 0.98)
+    i, j = np.nonzero(np.triu(hit, 1))
+    edges = vectors._forest(i, j, len(x))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert hit.all() and len(edges) == 1023 and peak < 40e6
+
+
+def test_tiles_travel_without_loss():
+    for x, size in ((np.float32([[0.1, -3e38]]).astype(float), 4), (np.asarray([[0.1, 1.0]]), 8), (np.asarray([[1e300, 0.0]]), 8)):
+        assert len(vectors.packed(x)) == 2 * size and (vectors.unpacked(vectors.packed(x), 1, 2) == x).all()
+
+
 def test_features_equal_plain_ones():
     r = random.Random(4)
     texts = ["", "a", "aa bb aa aa\tcc", "Ünïcode ß 한국 x", None, " lead", "x" * 300] + ["".join(r.choice("ab é\n.") for _ in range(r.randrange(60))) for _ in range(60)]
