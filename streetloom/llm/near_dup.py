@@ -15,7 +15,8 @@
    |A ^ B| = |A ^ C| + |B ^ C| - 2 |(A ^ C) & (B ^ C)|, two residuals give the exact similarity of two members inside the
    join's condition, behind bounds by size and by the triangle inequality of Jaccard distances, so the join returns links
    only; only members outside the star's largest component start such pairs. Members of a bucket that are not near its
-   centre meet all others there behind a bound on a bit of each register, and what passes goes through step 4.
+   centre meet all others there behind a bound on the registers that differ in some bits, inside the join, which lets
+   through little more than step 4, and what passes goes through step 4.
 """
 
 from __future__ import annotations
@@ -103,18 +104,36 @@ def plausible(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, p: N
 _SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, regs binary, bits array<long>"
 
 
+#: Bits kept of each register for comparisons inside a join.
+PLANES = 4
+
+
 def bits_of(regs: np.ndarray) -> np.ndarray:
-    """A bit of each register, packed into 64-bit words: equal registers have equal bits, others in half of the cases."""
-    one = (mix(regs.astype(U) + U(1)) >> U(63)).astype(np.uint8)
-    padded = np.zeros((len(regs), -(-regs.shape[1] // 64) * 64), np.uint8)
-    padded[:, : regs.shape[1]] = one
-    return np.packbits(padded, axis=1).view(np.int64)
+    """PLANES bits of each register, packed into 64-bit words, plane after plane: equal registers have equal bits, others
+    in one of 2**PLANES cases."""
+    mixed = mix(regs.astype(U) + U(1))
+    words = -(-regs.shape[1] // 64)
+    padded = np.zeros((len(regs), PLANES, words * 64), np.uint8)
+    for i in range(PLANES):
+        padded[:, i, : regs.shape[1]] = (mixed >> U(63 - i)) & U(1)
+    return np.packbits(padded, axis=2).reshape(len(regs), -1).view(np.int64)
+
+
+def differing(p: NearDupParams) -> str:
+    """SQL for the number of registers whose bits differ between the rows x and y."""
+    words = -(-p.registers // 64)
+    either = lambda w: " | ".join(f"(x.bits[{i * words + w}] ^ y.bits[{i * words + w}])" for i in range(PLANES))
+    return "(" + " + ".join(f"bit_count({either(w)})" for w in range(words)) + ")"
 
 
-def most_bits(p: NearDupParams) -> int:
-    """Bits in which a pair at the threshold differs at most, by as many standard deviations as the likelihood allows."""
-    q = (1 - p.percent / 100) / 2
-    return int(np.ceil(p.registers * q + np.sqrt(p.reject * p.registers * q * (1 - q))))
+def most_differing(p: NearDupParams) -> int:
+    """Registers whose bits differ in a pair at the threshold at most: beyond it twice the log-likelihood ratio exceeds
+    p.reject, which by Chernoff's bound is rarer than exp(-p.reject / 2)."""
+    q, n = (1 - p.percent / 100) * (1 - 0.5**PLANES), p.registers
+    k = np.arange(int(np.ceil(n * q)), n + 1)
+    x = np.minimum(k / n, 1 - 1e-12)
+    ratio = 2 * n * (x * np.log(x / max(q, 1e-12)) + (1 - x) * np.log((1 - x) / (1 - q))) if q > 0 else np.where(k > 0, np.inf, 0.0)
+    return int(k[ratio <= p.reject].max(initial=int(np.ceil(n * q))))
 
 
 def sketch(documents: DataFrame, p: NearDupParams) -> DataFrame:
@@ -250,8 +269,7 @@ def near_duplicates(documents: DataFrame, p: NearDupParams = NearDupParams()) ->
     own = classes.select("rep", F.col("n_shingles").alias("n"), "bits").join(named, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     beside = met.join(far.select("key").distinct(), "key", "left_semi").select("key", "rep")
     x, y = far.join(own, "rep").alias("x"), beside.join(far.withColumn("far", F.lit(True)), ["key", "rep"], "left").join(own, "rep").alias("y")
-    differ = " + ".join(f"bit_count(x.bits[{i}] ^ y.bits[{i}])" for i in range(-(-p.registers // 64)))
-    alike = f"x.comp <> y.comp and (y.far is null or x.rep < y.rep) and 100 * least(x.n, y.n) >= {p.percent} * greatest(x.n, y.n) and {differ} <= {most_bits(p)}"
+    alike = f"x.comp <> y.comp and (y.far is null or x.rep < y.rep) and 100 * least(x.n, y.n) >= {p.percent} * greatest(x.n, y.n) and {differing(p)} <= {most_differing(p)}"
     pairs = x.join(y, F.expr(f"x.key = y.key and {alike}")).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     pairs = materialise(_plausible_pairs(pairs, classes, p), "nd-likely")
     found = found.union(_measured(pairs, docs, p).where(linked).select("a", "b"))

@@ -160,6 +160,24 @@ def test_int8_bounds_hold_and_links_are_exact(scale):
     assert (hit == ((u @ u.T) >= 0.98)).all() and 400 < hit.sum() < 2000
 
 
+@pytest.mark.parametrize("percent,bands", [(85, 24), (80, 36), (100, 24)])
+def test_bits_inside_the_join_part_pairs_as_registers_do(percent, bands):
+    """Pairs at the threshold pass, pairs 25 points below hardly ever; one bit of each register let through most of them."""
+    p = near_dup.NearDupParams(percent=percent, bands=bands)
+    r = np.random.default_rng(9)
+    planes, words = near_dup.PLANES, -(-p.registers // 64)
+
+    def passed(similarity):
+        a = r.integers(0, 60000, (2000, p.registers)).astype(np.uint16)
+        b = np.where(r.random(a.shape) < similarity, a, a + r.integers(1, 5000, a.shape).astype(np.uint16)).astype(np.uint16)
+        x = (near_dup.bits_of(a) ^ near_dup.bits_of(b)).view(np.uint64).reshape(-1, planes, words)
+        n = np.bitwise_count(np.bitwise_or.reduce(x, axis=1)).sum(1)
+        assert (n <= (a != b).sum(1)).all()
+        return (n <= near_dup.most_differing(p)).mean()
+
+    assert passed(percent / 100) == 1 and passed(percent / 100 - 0.25) < 0.2
+
+
 def test_dense_tiles_take_little_memory():
     """All pairs of a tile linked: copies of each pair's vectors took 150 MB and more."""
     r = np.random.default_rng(6)
