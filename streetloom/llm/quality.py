@@ -13,6 +13,7 @@ numbers whatever the corpus, which is what executors receive.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -132,6 +133,17 @@ def _packed(counts: np.ndarray) -> bytes:
     return counts.astype("<u1" if most < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes()
 
 
+def packed_bag(rows: np.ndarray, counts: np.ndarray) -> tuple[int, bytes, bytes]:
+    """The number of distinct rows (in order), the steps between them and their counts, compressed: what the driver's JVM
+    holds of a sample is a fraction of the numbers'."""
+    return len(rows), zlib.compress(_packed(np.diff(rows, prepend=0)), 1), zlib.compress(_packed(counts), 1)
+
+
+def unpacked_bag(n: int, steps: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
+    steps, counts = (np.frombuffer(raw, f"<u{len(raw) // n}") for raw in map(zlib.decompress, (steps, counts)))
+    return np.cumsum(steps, dtype=np.int32), counts
+
+
 def sample(documents: DataFrame, labels: DataFrame, p: QualityParams) -> DataFrame:
     """doc_id, quality, text of the labelled rows to learn from: one row per id, in the order of a hash, within the limits."""
     known = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("quality")).where(~held_out(F.col("doc_id")))
@@ -154,16 +166,16 @@ def fit(documents: DataFrame, labels: DataFrame, p: QualityParams = QualityParam
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
-                bags = [np.unique(x, return_counts=True) for x in features(batch.column("text"), p)]
+                bags = [packed_bag(*np.unique(x, return_counts=True)) for x in features(batch.column("text"), p)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), batch.column("quality"), pa.array([a.astype(np.int32).tobytes() for a, _ in bags], pa.binary()), pa.array([_packed(n) for _, n in bags], pa.binary())],
-                    names=["doc_id", "quality", "rows", "counts"],
+                    [batch.column("doc_id"), batch.column("quality"), *(pa.array([bag[i] for bag in bags], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary())))],
+                    names=["doc_id", "quality", "n", "steps", "counts"],
                 )
 
-    got = sorted(sample(documents, labels, p).mapInArrow(kernel, "doc_id long, quality int, rows binary, counts binary").collect())
-    # What comes to the driver: at most 4 + 4 bytes for each feature of a text, mostly 4 + 1.
+    got = sorted(sample(documents, labels, p).mapInArrow(kernel, "doc_id long, quality int, n int, steps binary, counts binary").collect())
+    # What comes to the driver: a byte or two for each distinct feature of a text.
     labels_ = [r.quality for r in got]
-    bags = [(np.frombuffer(r.rows, np.int32), np.frombuffer(r.counts, f"<u{4 * len(r.counts) // len(r.rows)}")) for r in got]
+    bags = [unpacked_bag(r.n, r.steps, r.counts) for r in got]
     del got
     return train(bags, np.asarray(labels_, np.int64), p)
 
