@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.lines import crosses, distance, point_segment_distance, segments
-from ..tables import materialise, replace, unbroadcast
+from ..tables import free, materialise, replace, unbroadcast
 
 
 def cell(x: Column, size: float) -> Column:
@@ -92,9 +92,10 @@ _FEW = 10_000
 def nearest_segment(left: DataFrame, segments_: DataFrame, start: float, left_key: str, right_key: str) -> DataFrame:
     """The nearest segment (right_key, ax, ay, bx, by) of each point (left_key, x, y), however far: left_key, right_key, distance.
 
-    Like nearest, with each segment in all cells that its box touches; a long segment is cut by the cells only, so cells
-    grow by four from round to round and end with the box around everything. Distances that agree to nine places tie, and
-    ties go to the smaller key: of lines through one point none is nearer because its foot point was rounded otherwise."""
+    A point is compared with the segments that pass its own cell, which bounds its distance, and then with those in all
+    cells that a circle of this radius touches, so it is settled with the first segment in its cell. Points in empty cells
+    go to a round with cells four times as large, until one cell holds everything. Distances that agree to nine places tie,
+    and ties go to the smaller key: of lines through one point none is nearer because its foot point was rounded otherwise."""
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     targets = materialise(segments_.where(functools.reduce(lambda a, b: a & b, map(fine, ("ax", "ay", "bx", "by")))).select(right_key, "ax", "ay", "bx", "by"), "segment-targets")
     todo = materialise(left.where(fine("x") & fine("y")).select(left_key, "x", "y"), "segment-todo")
@@ -104,24 +105,43 @@ def nearest_segment(left: DataFrame, segments_: DataFrame, start: float, left_ke
     corners = targets.select(F.col("ax").alias("x"), F.col("ay").alias("y")).union(targets.select("bx", "by")).union(todo.select("x", "y"))
     x0, x1, y0, y1 = corners.agg(*(f(c) for c in "xy" for f in (F.min, F.max))).first()
     most, size, found = 2 * max(x1 - x0, y1 - y0, start), start, None
+    slack = 1e-12 * max(map(abs, (x0, x1, y0, y1)))
     gap = point_segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
     while n := todo.count():
+        cells = passed_cells(targets, size, x0, y0, max(size / 1000, slack))
         # A bounded number of points may go to all tasks, the cells of segments never.
-        at = F.broadcast(in_cells(todo, size)) if n <= _FEW else in_cells(todo, size)
-        # What ties with a distance within the cell size may lie a rounding further.
-        cells = segment_cells(targets, size, size + _EQUAL)
-        near = at.join(cells if n <= _FEW else unbroadcast(cells), ["cx", "cy"]).withColumn("distance", gap)
-        near = near.where(F.col("distance") <= size + _EQUAL).withColumn("steps", F.round(F.col("distance") * 1e9))
-        best = near.groupBy(left_key).agg(F.min(F.struct("steps", right_key, "distance")).alias("best")).where(F.col("best.steps") <= size * 1e9)
+        meet = lambda at: F.broadcast(at).join(cells, ["cx", "cy"]) if n <= _FEW else at.join(unbroadcast(cells), ["cx", "cy"])
+        own = todo.withColumn("cx", cell(F.col("x") - x0, size)).withColumn("cy", cell(F.col("y") - y0, size))
+        bounds = materialise(todo.join(meet(own).groupBy(left_key).agg(F.min(gap).alias("bound")), left_key), "segment-bounds")
+        # What ties with the nearest may lie a rounding further.
+        reach = F.col("bound") + _EQUAL
+        around = lambda c, c0: F.explode(F.sequence(cell(F.col(c) - reach - c0, size), cell(F.col(c) + reach - c0, size)))
+        near = meet(bounds.withColumn("cx", around("x", x0)).withColumn("cy", around("y", y0))).withColumn("distance", gap).where(F.col("distance") <= reach)
+        best = near.groupBy(left_key).agg(F.min(F.struct(F.round(F.col("distance") * 1e9).alias("steps"), right_key, "distance")).alias("best"))
         best = materialise(best.select(left_key, F.col(f"best.{right_key}").alias(right_key), F.col("best.distance").alias("distance")), "segment-hits")
         found = best if found is None else found.union(best)
         if size > most:
             break
         todo = replace(todo, todo.join(best, left_key, "left_anti"), "segment-todo")
+        free(bounds)
         size = 4 * size
     return left.select(left_key).join(found, left_key, "left")
 
 
+def passed_cells(segments: DataFrame, size: float, x0: float, y0: float, slack: float) -> DataFrame:
+    """Each segment (ax, ay, bx, by) once for each cell, counted from (x0, y0), that holds a point within slack of it in x
+    and in y; a long one costs in proportion to its length. slack has to be well above the rounding of coordinates."""
+    c = F.col
+    at = lambda v, v0: cell(v - v0, size)
+    rows = segments.withColumn("cx", F.explode(F.sequence(at(F.least("ax", "bx") - slack, x0), at(F.greatest("ax", "bx") + slack, x0))))
+    # Where along it, from 0 to 1, the segment is at the column's sides, which give it slack.
+    along = lambda x, flat: F.when(c("ax") == c("bx"), flat).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (x - c("ax")) / F.nullif(c("bx") - c("ax"), F.lit(0.0)))))
+    side = c("cx") * size + x0
+    ends = [c("ay") + along(x, flat) * (c("by") - c("ay")) for x, flat in ((side - slack, 0.0), (side + size + slack, 1.0))]
+    rows = rows.withColumn("_lo", at(F.least(*ends) - slack, y0)).withColumn("_hi", at(F.greatest(*ends) + slack, y0))
+    return rows.withColumn("cy", F.explode(F.sequence("_lo", "_hi"))).drop("_lo", "_hi")
+
+
 def segment_cells(segments: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
     """Each segment (ax, ay, bx, by) once for each cell that its box, widened by margin, touches."""
     lo = lambda a, b: cell(F.least(a, b) - margin, size)

@@ -368,15 +368,15 @@ def barrier_anti_join(spark, d):
     return grid.without_meeting(cut, walls, L.intersects, 4.0, "k").select("k")
 
 
-@query(f"""WITH {nation_segments("supplier", "s")}, {nation_segments("customer", "c")}, m AS (SELECT s.eid, s.k, (s.ax + s.bx) / 2 AS x, (s.ay + s."by") / 2 AS y FROM s QUALIFY row_number() OVER (PARTITION BY s.eid ORDER BY s.k) <= 3),
+@query(f"""WITH {nation_segments("supplier", "s")}, {nation_segments("customer", "c")}, m AS (SELECT s.eid, s.k, (s.ax + s.bx) / 2 AS x, (s.ay + s."by") / 2 AS y FROM s),
 g AS (SELECT m.eid, m.k, c.eid AS face, least(1, greatest(0, coalesce(((m.x - c.ax) * (c.bx - c.ax) + (m.y - c.ay) * (c."by" - c.ay)) / nullif((c.bx - c.ax) * (c.bx - c.ax) + (c."by" - c.ay) * (c."by" - c.ay), 0), 0))) AS t, m.x, m.y, c.ax, c.ay, c.bx, c."by" FROM m, c)
 SELECT eid, k, 'N' || arg_min(face, (round(sqrt(pow(x - ax - t * (bx - ax), 2) + pow(y - ay - t * ("by" - ay), 2)), 9), face)) AS name FROM g GROUP BY eid, k""")
 def edge_names(spark, d):
-    """Names of the nearest lines, to the middle of short edges."""
+    """Names of the nearest lines, to the middles of all edges."""
     w = W.partitionBy("s_nationkey").orderBy("s_suppkey")
     x, y = (F.col("s_suppkey") % 97).cast("double"), F.col("s_acctbal") / 100
-    rows = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("eid"), F.col("s_suppkey").alias("k"), x.alias("x"), y.alias("y"), F.lead(x).over(w).alias("bx"), F.lead(y).over(w).alias("by"), F.row_number().over(w).alias("n"))
-    edges = rows.where("bx is not null and n <= 3").select(F.struct("eid", "k").alias("eid"), F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))).alias("line"), F.lit(False).alias("bridged"))
+    rows = table(spark, d, "supplier").select(F.col("s_nationkey").cast("long").alias("eid"), F.col("s_suppkey").alias("k"), x.alias("x"), y.alias("y"), F.lead(x).over(w).alias("bx"), F.lead(y).over(w).alias("by"))
+    edges = rows.where("bx is not null").select(F.struct("eid", "k").alias("eid"), F.array(F.struct("x", "y"), F.struct(F.col("bx").alias("x"), F.col("by").alias("y"))).alias("line"), F.lit(False).alias("bridged"))
     faces = nation_lines(spark, d, "customer").select(F.col("eid").alias("face_id"), F.concat(F.lit("N"), "eid").alias("name"), "line")
     return name_edges(edges, faces, 2.0).select("eid.eid", "eid.k", "name")
 

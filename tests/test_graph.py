@@ -158,6 +158,31 @@ def test_nearest_segments_tie_up_to_rounding(spark):
     assert {r.a: r.f for r in grid.nearest_segment(at, walls, 0.5, "a", "f").collect()} == {1: 1, 2: 3}
 
 
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_nearest_segments_equal_a_comparison_with_all(spark, monkeypatch, few):
+    """Points and segments of many sizes, upright, level and without length among them, away from and across zero."""
+    monkeypatch.setattr(grid, "_FEW", few)
+    rng = random.Random(5)
+    spot = lambda: (rng.choice([rng.uniform(-40, 60), float(rng.randrange(-40, 60)), rng.uniform(0, 2)]), rng.uniform(-900, -880))
+    at = [(i, *spot()) for i in range(300)] + [(300, 4000.0, 3000.0), (301, -40.0, -2000.0)]
+    walls = [(1, 0.0, -890.0, 0.0, -886.0), (2, 4.0, -888.0, 4.0, -888.0), (3, -8.0, -896.0, 8.0, -896.0), (4, 1.0, -899.0, 1.0 + 1e-13, -881.0)]
+    for i in range(5, 60):
+        (x, y), long = spot(), rng.choice([0.01, 1.0, 30.0])
+        walls.append((i, x, y, x + rng.uniform(-long, long), y + rng.uniform(-long, long)))
+    points, segments = spark.createDataFrame(at, "a long, x double, y double"), spark.createDataFrame(walls, "f long, ax double, ay double, bx double, by double")
+    gap = L.point_segment_distance(*(F.col(c) for c in ("x", "y", "ax", "ay", "bx", "by")))
+    every = points.crossJoin(segments).select("a", F.struct(F.round(gap * 1e9).alias("steps"), "f").alias("best")).groupBy("a").agg(F.min("best").alias("best"))
+    assert {r.a: r.f for r in grid.nearest_segment(points, segments, 2.0, "a", "f").collect()} == {r.a: r.best.f for r in every.collect()}
+
+
+def test_a_long_segment_is_in_the_cells_that_it_passes(spark):
+    """One across 1,000 x 1,000 cells passes 1,999 of them and comes near a few more, but not near the million of its box."""
+    long = spark.createDataFrame([(1, 0.5, 0.25, 1000.4, 1000.1)], "f long, ax double, ay double, bx double, by double")
+    got = {(r.cx, r.cy) for r in grid.passed_cells(long, 1.0, 0.0, 0.0, 1e-3).collect()}
+    inside = {(int(x), int(y)) for i in range(100_001) for x, y in [(0.5 + 999.9 * i / 100_000, 0.25 + 999.85 * i / 100_000)]}
+    assert inside <= got and len(got) < 2100
+
+
 def test_long_lines_and_chains_cost_in_proportion(spark):
     """A line of 20,000 points and a chain of 3,000 edges: quadratic plans took minutes for them."""
     began = time.perf_counter()

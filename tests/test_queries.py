@@ -26,6 +26,18 @@ def test_query_matches_sql(spark, name):
     assert rows(got[list(expected.columns)]) == rows(expected)
 
 
+def test_edge_names_has_every_edge(spark, tmp_path):
+    """All edges of a nation have names, in the query and in its SQL, however many there are."""
+    db = duckdb.connect()
+    db.execute(f"copy (select range as s_suppkey, cast(range % 2 as int) as s_nationkey, cast(range * range % 70 as double) as s_acctbal from range(40)) to '{tmp_path}/supplier.parquet'")
+    db.execute(f"copy (select range as c_custkey, cast(range % 3 as int) as c_nationkey, cast(range * 37 % 101 as double) as c_acctbal from range(90)) to '{tmp_path}/customer.parquet'")
+    for name in ("supplier", "customer"):
+        db.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    got = catalogue.QUERIES["edge_names"](spark, str(tmp_path)).toPandas()
+    assert sorted(zip(got["eid"], got["k"], strict=True)) == sorted((k % 2, k) for k in range(38))
+    assert rows(got) == rows(db.sql(catalogue.ORACLES["edge_names"]).df())
+
+
 def test_entry_imports_and_lists_all_queries():
     import __spark_entry__
 
