@@ -116,7 +116,7 @@ def bits_of(regs: np.ndarray) -> np.ndarray:
     padded = np.zeros((len(regs), PLANES, words * 64), np.uint8)
     for i in range(PLANES):
         padded[:, i, : regs.shape[1]] = (mixed >> U(63 - i)) & U(1)
-    return np.packbits(padded, axis=2).reshape(len(regs), -1).view(np.int64)
+    return np.packbits(padded, axis=2).reshape(len(regs), PLANES * words * 8).view(np.int64)
 
 
 def differing(p: NearDupParams) -> str:

@@ -178,6 +178,13 @@ def test_bits_inside_the_join_part_pairs_as_registers_do(percent, bands):
     assert passed(percent / 100) == 1 and passed(percent / 100 - 0.25) < 0.2
 
 
+def test_bits_of_no_registers():
+    """A batch of texts without words has no registers at all."""
+    p = near_dup.NearDupParams()
+    words = -(-p.registers // 64)
+    assert [near_dup.bits_of(np.zeros((n, p.registers), np.uint16)).shape for n in (0, 1, 3)] == [(n, near_dup.PLANES * words) for n in (0, 1, 3)]
+
+
 def test_dense_tiles_take_little_memory():
     """All pairs of a tile linked: copies of each pair's vectors took 150 MB and more."""
     r = np.random.default_rng(6)
